@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, mixing, packing, quality, toxicity
+from . import common, language, mixing, packing, quality, repeats, toxicity
+
+
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_toxicity, op4_quality, op5_language, op6_packing, op7_mixing)}
+    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op4_quality, op5_language, op6_packing, op7_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -44,8 +44,12 @@ class Ids(dict):
 
 def inside(word: str) -> list[int]:
     """Places of a word and of the word n-grams that begin it."""
-    parts = [word] + [f"{word[:k]}~" for k in PREFIXES if len(word) > k]
-    return spread(np.array([zlib.crc32(p.encode("utf-8", "replace")) for p in parts], np.uint64)).astype(np.int64).tolist()
+    crc, out = zlib.crc32, [zlib.crc32(word.encode("utf-8", "replace"))]
+    for k in PREFIXES:
+        if len(word) <= k:
+            break
+        out.append(crc((word[:k] + "~").encode("utf-8", "replace")))
+    return [(h * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 64 - BITS for h in out]
 
 
 def pairs(words: list[str], ids: Ids) -> np.ndarray:
