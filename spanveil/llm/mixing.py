@@ -98,7 +98,7 @@ def mix(docs: DataFrame, max_repeat: int = 3, blocks: int = BLOCKS, seed: int =
     cells = common.materialize(rows.groupBy("source", "shard", "bucket").agg(F.sum("size").alias("bucket_size")))
     plan = targets(cells.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_repeat)
     plan = (
-        plan.crossJoin(F.broadcast(plan.agg(F.sum("source_size").alias("total"))))  # one row
+        plan.withColumn("total", F.sum("source_size").over(Window.partitionBy(F.lit(1))))  # one row a source
         .withColumn("block", F.greatest(F.lit(1), F.floor(F.col("total") / blocks)).cast("long"))
         .withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long"))
         .withColumn("one", F.lit(1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, mixing, packing, quality, repeats, toxicity
+from . import chat, common, language, mixing, packing, quality, repeats, toxicity, trees
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    read = chat.digests(chat.conversations(chat.chains(rows)))
+    return read.withColumn("conv_id", F.when(F.col("tree") != "null", F.col("tree")).cast("long")).drop("tree")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
@@ -39,8 +47,14 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).drop("shard")
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
+    model = trees.fit(common.labelled_sample(docs, labels, "quality", common.fold("doc_id", 5) != 0))
+    return trees.rules(docs, model)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op4_quality, op5_language, op6_packing, op7_mixing)}
+    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_chat, op4_quality, op5_language, op6_packing, op7_mixing, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
