@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, language, mixing, packing, quality, repeats, toxicity, trees
+from . import chat, common, language, mixing, packing, quality, repeats, setjoin, toxicity, trees
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(common.table(spark, sf_dir, "documents")).drop("shard")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.linked(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
     model = trees.fit(common.labelled_sample(docs, labels, "quality", common.fold("doc_id", 5) != 0))
@@ -54,7 +58,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_chat, op4_quality, op5_language, op6_packing, op7_mixing, op10_rules)}
+    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_chat, op4_quality, op5_language, op6_packing, op7_mixing, op8_jaccard, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
