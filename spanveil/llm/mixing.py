@@ -147,3 +147,14 @@ def mix(docs: DataFrame, max_repeat: int = 3, blocks: int = BLOCKS, seed: int =
     return at.select(
         "c.doc_id", "size", "source_size", "target", (F.col("size") * F.col("rounds") + window).cast("long").alias("taken"), F.col("c.shard").alias("shard")
     )
+
+
+def resampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
+    """docs with each row as often as the mix takes it: its taken words over its size, rounded."""
+    from .repeats import identified
+
+    docs, _ = identified(docs, id_col, text)
+    taken = mix(docs, id_col="_id", text="_text", source=source, **more).where("taken > 0")
+    times = taken.select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
+    rows = docs.drop("_text").join(times, "_id")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, language, mixing, packing, quality, repeats, setjoin, toxicity, trees
+from . import annlink, chat, common, language, mixing, packing, quality, repeats, setjoin, toxicity, trees
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setjoin.linked(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return setjoin.linked(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "kept")
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annlink.near_links(common.table(spark, sf_dir, "embeddings"))
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,7 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_chat, op4_quality, op5_language, op6_packing, op7_mixing, op8_jaccard, op10_rules)}
+    return {f.__name__: f for f in (op1_repeats, op2_toxicity, op3_chat, op4_quality, op5_language, op6_packing, op7_mixing, op8_jaccard, op9_embeddings, op10_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
