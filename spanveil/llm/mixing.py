@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .repeats import identified
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 65536
@@ -151,9 +152,7 @@ def mix(docs: DataFrame, max_repeat: int = 3, blocks: int = BLOCKS, seed: int =
 
 def resampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
     """docs with each row as often as the mix takes it: its taken words over its size, rounded."""
-    from .repeats import identified
-
-    docs, _ = identified(docs, id_col, text)
+    docs, _ = identified(docs.drop("_times", "_copy"), id_col, text)
     taken = mix(docs, id_col="_id", text="_text", source=source, **more).where("taken > 0")
     times = taken.select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
     rows = docs.drop("_text").join(times, "_id")

@@ -125,10 +125,10 @@ def with_score(docs: DataFrame, make, model: dict, text: str = "text", out: str
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = common.SAMPLE_PER_CLASS, mod: int = 4, held: int = 2, keep_text: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted (and the other columns of docs if keep_text)."""
+    """doc_id, held_out, score, predicted (and the other columns of docs if keep_text; those named like these are replaced)."""
     model = fit(common.labelled_sample(docs, labels, "quality", common.fold("doc_id", mod) != held, per_class))
-    base = docs if keep_text else docs.select("doc_id", "text")
+    kept = [c for c in docs.columns if c not in ("held_out", "score", "score_", "predicted")] if keep_text else ["doc_id"]
+    base = docs.select(*[F.col(f"`{c}`") for c in kept]) if keep_text else docs.select("doc_id", "text")
     scored = with_score(base, scorer, model, out="score_")
     added = [(common.fold("doc_id", mod) == held).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= threshold).cast("int").alias("predicted")]
-    kept = docs.columns if keep_text else ["doc_id"]
     return scored.select(*[F.col(f"`{c}`") for c in kept], *added)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import annlink, chat, common, language, mixing, packing, quality, repeats, setjoin, toxicity, trees
+from . import annlink, chat, common, language, mixing, oracle, packing, quality, repeats, setjoin, toxicity, trees
 
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.oracle_sql()

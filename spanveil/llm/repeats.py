@@ -123,8 +123,10 @@ def unpack(blobs, kind: str) -> dict[str, np.ndarray]:
 
 def dealt(cols: dict[str, np.ndarray], kind: str, to: np.ndarray) -> list[tuple[int, bytes]]:
     """(bucket, blob) for each bucket that gets rows."""
+    if not len(to):
+        return []
     order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(to[order]) != 0)) if len(to) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.append(True, np.diff(to[order]) != 0))
     ends = np.append(cuts[1:], len(to))
     return [(int(to[order[a]]), pack(cols, kind, order[a:b])) for a, b in zip(cuts, ends, strict=True)]
 
@@ -133,6 +135,7 @@ def table_of(rows: list[tuple[str, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
 
+OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 OUT = "kind string, bucket int, blob binary"
 
 
@@ -218,11 +221,13 @@ def fetch(hot: np.ndarray, buckets: int, minimum: int):
 
     def run(texts: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
         p = unpack(blobs["blob"], "place")
-        text = {d: t.encode() for d, t in zip(texts["_id"], texts["_text"], strict=True) if t} if len(p["h"]) else {}
+        if not len(p["h"]):
+            return pd.DataFrame({"bucket": [], "blob": [], "bytes": []})
+        text = {d: t.encode() for d, t in zip(texts["_id"], texts["_text"], strict=True) if t}
         to = to_buckets(p["h"], p["c"], is_in(p["h"], hot), buckets)
         order = np.lexsort((p["s"], p["doc"], to))
         p, to = {n: v[order] for n, v in p.items()}, to[order]
-        cuts = np.flatnonzero(np.append(True, np.diff(to) != 0)) if len(to) else np.zeros(0, int)
+        cuts = np.flatnonzero(np.append(True, np.diff(to) != 0))
         rows = []
         for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
             spans = zip(p["doc"][a:b].tolist(), p["s"][a:b].tolist(), p["w"][a:b].tolist(), strict=True)
@@ -370,6 +375,7 @@ def cutter(with_text: bool):
 
 def identified(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
     """(docs with _id and _text, whether _id is the id). Ids that are null or repeat are replaced by an order."""
+    docs = docs.drop(*[c for c in ("_id", "_text") if c not in (id_col, text)])
     ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
     if ids.where("i is null or n > 1 or i < 0").isEmpty():
         return docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.col(text)}), True
@@ -380,9 +386,12 @@ def identified(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum: int = MIN, kmer: int = KMER, with_text: bool = False, hot: tuple[int, int] = (HOT_ONE_IN, HOT_AT)) -> DataFrame:
-    """docs without their text, with n_bytes, n_removed, n_spans, kept_sha256 (and kept: the text that is left)."""
+    """docs without their text, with n_bytes, n_removed, n_spans, kept_sha256 (and kept: the text that is left).
+
+    Columns of docs that are named like these are replaced.
+    """
     spark = docs.sparkSession
-    docs, _ = identified(docs, id_col, text)
+    docs, same_ids = identified(docs, id_col, text)
     parts = common.scan_parts(docs)
     doc_buckets, buckets = max(8, 2 * parts), max(8, 2 * parts)
     busy = hot_anchors(docs, minimum, kmer, *hot)
@@ -402,7 +411,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum
         marks = marks.unionByName(grouped.where("kind = 'window'").groupBy("bucket").applyInPandas(by_window(doc_buckets, minimum), OUT))
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     cut = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cutter(with_text), schema)
-    others = [c for c in docs.columns if c not in (text, "_text")]
+    others = [c for c in docs.columns if c not in (text, "_text", *OUTPUTS)]
     if others == [id_col, "_id"]:
-        return cut.withColumnRenamed("_id", id_col) if _ else docs.select("_id", id_col).join(cut, "_id").drop("_id")
+        return cut.withColumnRenamed("_id", id_col) if same_ids else docs.select("_id", id_col).join(cut, "_id").drop("_id")
     return docs.select(*others).join(cut, "_id").drop("_id")
