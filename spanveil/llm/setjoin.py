@@ -10,9 +10,9 @@ where it stands; only larger nodes are split further, down to DEPTH tokens.
 1. Signatures, one row a document: a digest of the set, a bin sketch, the paths of all runs.
    Sets that are equal become one class with a count.
 2. Nodes: classes on the same path. Nodes with one class are dropped, large nodes are
-   replaced by their children. In a node, leaders are compared with all others by sketch,
-   which joins whatever may be similar (generously) into one block group: rows are kept for
-   members and leaders only, never for pairs.
+   split into their children. In a node, leaders are compared with all others by sketch,
+   which joins whatever may be similar (generously); each member hands on one tie, never
+   pairs. A node that is still large at the bottom is led in shares, whose leaders meet.
 3. Groups (components of step 2) fetch their sets again and are solved exactly, as products
    of set matrices in blocks of BLOCK: each class counts its links (Jaccard >= LAMBDA, by
    integers) and hands on links of a spanning forest. Large groups are dealt as pairs of
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .repeats import mixed
+from .repeats import identified, mixed
 
 LAMBDA = (4, 5)
 WORDS = 5
@@ -50,7 +50,7 @@ BINS = 64
 RECALL = 0.999
 #: A node with more classes than this is split further.
 NODE = 512
-BLOCK = 768
+BLOCK = 2048
 #: Rows of a node that are led in one place.
 SHARE = 4096
 #: Sketch similarity: under LEAD a member leads, too; over TIE it is tied to the leader.
@@ -99,59 +99,58 @@ def sketch(s: np.ndarray, bins: int = BINS) -> bytes:
     return np.where(ends > at, (mixed(low) % np.uint64(255) + np.uint64(1)), np.uint64(0)).astype(np.uint8).tobytes()
 
 
-def chosen(s: np.ndarray, path: int, limit: np.uint64) -> np.ndarray:
-    """Children of a node: hashes of the path with each chosen token."""
-    h = mixed((s ^ np.uint64(path)) * PRIME + GOLD)
-    return mixed(h[h < limit] ^ np.uint64(path) ^ GOLD)
+def children(s: np.ndarray, parents: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """(parent, child) for each token that a node chooses: all nodes of a level and all tokens at once."""
+    at, token = np.nonzero((s[None, :] ^ parents[:, None]) * (parents[:, None] | np.uint64(1)) * PRIME < limit)
+    return parents[at], mixed((s[token] * GOLD) ^ parents[at])
 
 
-def paths_of(s: np.ndarray, runs: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
-    """Chosen paths as tuples of node ids, one for each node that is reached."""
+def paths_of(s: np.ndarray, roots: np.ndarray, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each level, (parents, nodes) of the set's chosen paths in all runs."""
     limit = np.uint64(min(2**64 - 1, int(2**64 * LAMBDA[1] / (LAMBDA[0] * len(s)))))
-    out: list[tuple[int, ...]] = []
-    for run in range(runs):
-        level: list[tuple[int, ...]] = [()]
-        for _ in range(depth):
-            level = [(*at, int(c)) for at in level for c in chosen(s, at[-1] if at else (run + 1) * 0x51ED270B27D4EB4F % 2**64, limit)]
-            out += level
+    out, level = [], roots
+    for _ in range(depth):
+        parent, node = children(s, level, limit) if len(level) else (level, level)
+        out.append((parent, node))
+        level = node
     return out
 
 
 def signatures(docs: DataFrame, runs: int) -> DataFrame:
-    """doc, digest, sketch, paths: array of (level, parent, node)."""
+    """doc, digest, sketch, and the nodes of each level with their parents: l1, p2, l2, p3, l3 (arrays of long)."""
+    names = ["doc", "digest", "sketch"] + [f"{c}{k}" for k in range(1, DEPTH + 1) for c in ("p", "l")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds()
-        kind = pa.list_(pa.struct([("level", pa.int8()), ("parent", pa.int64()), ("node", pa.int64())]))
+        ids, roots = WordIds(), mixed(np.arange(1, runs + 1, dtype=np.uint64) * GOLD)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                docs_, digests, sketches, offsets = [], [], [], [0]
-                level, parent, node = [], [], []
+                heads: list[tuple] = []
+                levels: list[list[tuple[np.ndarray, np.ndarray]]] = []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     s = shingles(text, ids)
-                    if not len(s):
-                        continue
-                    docs_.append(doc)
-                    digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    sketches.append(sketch(s))
-                    for p in paths_of(s, runs):
-                        level.append(len(p))
-                        parent.append(p[-2] if len(p) > 1 else 0)
-                        node.append(p[-1])
-                    offsets.append(len(node))
-                tree = pa.StructArray.from_arrays([pa.array(level, pa.int8()), pa.array(np.array(parent, np.uint64).view(np.int64)), pa.array(np.array(node, np.uint64).view(np.int64))], names=["level", "parent", "node"])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs_, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tree).cast(kind)], names=["doc", "digest", "sketch", "paths"]
-                )
-
-    return docs.select("_id", "_text").mapInArrow(run, "doc long, digest binary, sketch binary, paths array<struct<level:tinyint,parent:long,node:long>>")
+                    if len(s):
+                        heads.append((doc, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), sketch(s)))
+                        levels.append(paths_of(s, roots))
+                cols = [pa.array([h[i] for h in heads], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
+                for k in range(DEPTH):
+                    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[k][1]) for x in levels])]).astype(np.int32))
+                    for side in (0, 1):
+                        flat = np.concatenate([x[k][side] for x in levels]) if levels else np.zeros(0, np.uint64)
+                        cols.append(pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    arrays = ", ".join(f"{n} array<long>" for n in names[3:])
+    return docs.select("_id", "_text").mapInArrow(run, f"doc long, digest binary, sketch binary, {arrays}").drop("p1")
 
 
 def lead(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, leader) positions of a node: ties of all that may be similar. Work is members times leaders, not pairs."""
+    """(for each member of a node the first member that it is tied to, over any number of leaders; the leaders).
+
+    Work is members times leaders, not pairs, and each member yields one tie.
+    """
     n = len(sketches)
-    open_, members, leaders = np.ones(n, bool), [], []
+    open_, tied_to, leaders = np.ones(n, bool), np.arange(n), []
     filled = sketches != 0
     while True:
         at = int(open_.argmax())
@@ -164,14 +163,15 @@ def lead(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tied[at] = True
         open_ &= same < LEAD + (1 - loose) * 0.3
         open_[at] = False
-        found = np.flatnonzero(tied)
-        members.append(found)
-        leaders.append(np.full(len(found), at))
-    return np.concatenate(members), np.concatenate(leaders)
+        meet = np.unique(tied_to[tied])
+        if len(meet) > 1:
+            tied_to[np.isin(tied_to, meet)] = meet[0]
+        leaders.append(at)
+    return tied_to, np.array(leaders)
 
 
 def ties(nodes: DataFrame, parts: int) -> DataFrame:
-    """(node, a, b) from nodes (node, doc, sketch, shares): ties (a != b), and the leaders (a = b) of nodes in several shares."""
+    """(node, a, b) from nodes (node, doc, sketch, shares): ties (a != b; node is 0), and the leaders (a = b) of nodes in several shares."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         doc, node, share = (pdf[c].to_numpy() for c in ("doc", "node", "share"))
@@ -181,13 +181,17 @@ def ties(nodes: DataFrame, parts: int) -> DataFrame:
         cuts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (share[1:] != share[:-1])))
         at, a, b = [], [], []
         for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(node)).tolist(), strict=True):
-            m, r = lead(sk[lo:hi])
-            keep = (m != r) | many[lo]
-            a.append(doc[lo:hi][m[keep]])
-            b.append(doc[lo:hi][r[keep]])
-            at.append(node[lo:hi][m[keep]])
+            tied_to, leaders = lead(sk[lo:hi])
+            m = np.flatnonzero(tied_to != np.arange(hi - lo))
+            a.append(doc[lo:hi][m])
+            b.append(doc[lo:hi][tied_to[m]])
+            at.append(np.zeros(len(m), np.int64))
+            if many[lo]:
+                a.append(doc[lo:hi][leaders])
+                b.append(doc[lo:hi][leaders])
+                at.append(node[lo:hi][leaders])
         cols = {k: np.concatenate(v) if v else [] for k, v in (("node", at), ("a", a), ("b", b))}
-        return pd.DataFrame(cols, dtype="int64")
+        return pd.DataFrame(cols, dtype="int64").drop_duplicates()
 
     dealt = nodes.withColumn("share", F.pmod(F.xxhash64("doc"), F.col("shares")).cast("int"))
     return dealt.withColumn("part", F.pmod(F.xxhash64("node", "share"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(run, "node long, a long, b long")
@@ -202,20 +206,24 @@ def all_ties(nodes: DataFrame, sig: DataFrame, parts: int) -> DataFrame:
 
 
 def nodes_of(sig: DataFrame, limit: int = NODE, depth: int = DEPTH) -> DataFrame:
-    """(node, doc, sketch, shares): the nodes to solve; large ones are replaced by their children, down to `depth`."""
-    spread = sig.select("doc", F.explode("paths").alias("p")).select("doc", "p.level", "p.parent", "p.node")
-    counts = common.materialize(spread.groupBy("level", "parent", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    solve, large = None, None
+    """(node, doc, sketch, shares): the nodes to solve. A large node is split into its children, down to `depth`."""
+    rows = sig.select("doc", F.explode("l1").alias("node"))
+    solve = None
     for level in range(1, depth + 1):
-        here = counts.where(F.col("level") == level)
-        if large is not None:
-            here = here.join(large.select(F.col("node").alias("parent")), "parent", "left_semi")
-        now = here if level == depth else here.where(F.col("n") <= limit)
-        now = now.select("node", F.ceil(F.col("n") / SHARE).cast("int").alias("shares"))
-        solve = now if solve is None else solve.unionByName(now)
-        large = here.where(F.col("n") > limit)
-    members = spread.select("doc", "node").join(solve.dropDuplicates(["node"]), "node").distinct()
-    return members.join(sig.select("doc", "sketch"), "doc")
+        counts = common.materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        last = level == depth
+        now = counts if last else counts.where(F.col("n") <= limit)
+        here = rows.join(now.select("node", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "node")
+        solve = here if solve is None else solve.unionByName(here)
+        if last:
+            break
+        large = counts.where(F.col("n") > limit).select(F.col("node").alias("parent"))
+        if large.isEmpty():
+            break
+        inside = rows.join(large.withColumnRenamed("parent", "node"), "node", "left_semi").select("doc").distinct()
+        pairs = F.explode(F.arrays_zip(F.col(f"p{level + 1}").alias("parent"), F.col(f"l{level + 1}").alias("node"))).alias("x")
+        rows = common.materialize(sig.join(inside, "doc", "left_semi").select("doc", pairs).select("doc", "x.parent", "x.node").join(large, "parent").select("doc", "node"))
+    return solve.distinct().join(sig.select("doc", "sketch"), "doc")
 
 
 def block_links(sets: list[np.ndarray], rows: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -284,10 +292,8 @@ def tokens_of(docs: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall: float = RECALL, node: int = NODE, block: int = BLOCK) -> DataFrame:
-    """docs with class_id, n_links and kept."""
-    from .repeats import identified
-
-    docs, same_ids = identified(docs, id_col, text)
+    """docs with class_id, n_links and kept; columns of docs that are named like these are replaced."""
+    docs, _ = identified(docs.drop("class_id", "n_links", "kept"), id_col, text)
     parts = max(8, 2 * common.scan_parts(docs))
     sig = common.materialize(signatures(docs, runs_for(recall)))
     sets = sig.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
