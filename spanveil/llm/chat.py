@@ -38,7 +38,6 @@ _RESTS = "|".join(sorted({re.escape(c[1:]) for c in CONTROL}, key=len, reverse=T
 _HIDE = re.compile(rf"([<\[])(\\*)({_RESTS})")
 _SHOW = re.compile(rf"([<\[])\\(\\*)({_RESTS})")
 PLAIN_ROLE = re.compile(r"\w+\Z", re.ASCII)
-MAX_JUMPS = 40
 
 
 def escape(text: str) -> str:
@@ -78,15 +77,17 @@ def paths(nodes: DataFrame) -> DataFrame:
         nodes.select("node", "parent").join(known.withColumn("there", F.lit(True)), "parent", "left").select("node", F.when(F.col("there"), F.col("parent")).alias("to"))
     )
     leaves = nodes.select("node").join(jump.where("to is not null").select(F.col("to").alias("node")).distinct(), "node", "left_anti")
-    jumps = [jump]
-    while len(jumps) < MAX_JUMPS and not jumps[-1].where("to is not null").isEmpty():
+    jumps, n = [jump], nodes.count()
+    while not jumps[-1].where("to is not null").isEmpty() and 2 ** (len(jumps) - 1) <= n:
         last = jumps[-1].where("to is not null")
         jumps.append(common.materialize(last.alias("a").join(last.alias("b"), F.col("a.to") == F.col("b.node")).select("a.node", F.col("b.to").alias("to"))))
+    # Who still has an ancestor after as many steps as there are nodes is on a cycle or leads to one.
+    leaves = leaves.join(jumps[-1].where("to is not null").select("node"), "node", "left_anti") if 2 ** (len(jumps) - 1) > n else leaves
     reach = leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
         step = jumps[k].where("to is not null").select(F.col("node").alias("n"), "to")
         further = reach.join(step, reach["node"] == F.col("n")).select("leaf", F.col("to").alias("node"), (F.col("up") + 2**k).alias("up"))
-        reach = reach.unionByName(further)
+        reach = common.materialize(reach.unionByName(further))  # else each step would plan the ones before twice
     return reach
 
 
@@ -106,6 +107,7 @@ def best_paths(nodes: DataFrame, keep: int | None = None) -> DataFrame:
 
 def conversations(nodes: DataFrame, keep: int | None = None) -> DataFrame:
     """tree, leaf, place, formatted, mask: one row for each chosen path. nodes: tree, node, parent, role, text, score."""
+    nodes = common.materialize(nodes)
     chosen = best_paths(nodes, keep).join(nodes.select("node", "role", "text"), "node")
     turn = F.struct((-F.col("up")).alias("at"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = chosen.groupBy("tree", "leaf", "place").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
