@@ -25,6 +25,8 @@ class Rule:
     min_length: int = 0
     #: A plain string that every match holds; texts without it skip the scan.
     needs: str | None = None
+    #: Whether every match holds a digit; texts without one skip the scan.
+    digit: bool = True
     #: The part of a match that is the value: drop this prefix (a cue before it).
     cue: str | None = None
 
@@ -38,11 +40,11 @@ SECRET = r'token = "[0-9a-f]{40}"'
 RULES: list[Rule] = [
     Rule("email", "email address", EMAIL, needs="@"),
     Rule("email-idn", "email address", r"(?<![\w.@!+-])[\p{L}0-9._%+!-]+@[\p{L}0-9](?:[\p{L}0-9-]*[\p{L}0-9])?(?:\.[\p{L}0-9](?:[\p{L}0-9-]*[\p{L}0-9])?)*\.\p{L}{2,24}(?![\w@-])", needs="@"),
-    Rule("email-written", "email address", r"\b[A-Za-z0-9._-]{1,64} (?:at|\(at\)|\[at\]) [A-Za-z0-9-]{1,63}(?: (?:dot|\(dot\)|\[dot\]) [A-Za-z0-9-]{2,63}){1,4}\b", 0.85),
+    Rule("email-written", "email address", r"\b[A-Za-z0-9._-]{1,64} (?:at|\(at\)|\[at\]) [A-Za-z0-9-]{1,63}(?: (?:dot|\(dot\)|\[dot\]) [A-Za-z0-9-]{2,63}){1,4}\b", 0.85, digit=False),
     Rule("ipv4", "ip address", IPV4, 1.0, "ip.v4", needs="."),
     Rule("ipv6", "ip address", r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:.])|(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:.])", needs=":"),
-    Rule("mac", "mac address", r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])"),
-    Rule("url", "url", r"\b(?:https?://|www\.)[^\s<>\"']{3,2000}(?<![.,;:!?)\]])"),
+    Rule("mac", "mac address", r"(?<![0-9A-Fa-f:-])[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}(?![0-9A-Fa-f:-])", digit=False),
+    Rule("url", "url", r"\b(?:https?://|www\.)[^\s<>\"']{3,2000}(?<![.,;:!?)\]])", digit=False),
     Rule("card", "credit card number", r"(?<![0-9-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9-])", 1.0, "card"),
     Rule("iban", "iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b", 1.0, "iban"),
     Rule("phone-international", "phone number", r"(?<![\w+/.-])(?:\+|00)[1-9(][0-9 ().\-/]{6,22}[0-9](?![\w])", 0.9, "phone.international"),
@@ -76,7 +78,7 @@ RULES: list[Rule] = [
     Rule("us-docket", "case number", r"\b[0-9]{1,2}:[0-9]{2}-(?:cv|cr|bk|md|mc|mj|ap)-[0-9]{3,6}(?:-[A-Z]{2,4})*\b"),
     Rule("de-aktenzeichen", "case number", r"\bAz\.? ?:? ?[0-9IVX]{1,4} [A-Z][A-Za-z]{0,4} [0-9]{1,5}/[0-9]{2,4}\b", needs="Az"),
     Rule("pl-sygnatura", "case number", r"(?i:sygn)\. ?(?i:akt):? [IVXLC]{1,5} [A-Z][A-Za-z]{0,4} [0-9]{1,5}/[0-9]{2}\b"),
-    Rule("secret", "secret", r"(?i:\b(?:token|password|api[_-]?key|secret))\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z_\-/+]{12,128}[\"']?"),
+    Rule("secret", "secret", r"(?i:\b(?:token|password|api[_-]?key|secret))\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z_\-/+]{12,128}[\"']?", digit=False),
 ]
 
 BY_ID = {r.rule_id: r for r in RULES}
@@ -84,7 +86,8 @@ BY_ID = {r.rule_id: r for r in RULES}
 
 def matches(text: Column, rule: Rule) -> Column:
     """Spans of one rule: scan, cut the cue, validate, check the length."""
-    found = S.spans(text, rule.pattern, F.contains(text, F.lit(rule.needs)) if rule.needs else None)
+    when = F.contains(text, F.lit(rule.needs)) if rule.needs else text.rlike("[0-9]") if rule.digit else None
+    found = S.spans(text, rule.pattern, when)
     if rule.cue:
 
         def value(s: Column) -> Column:
@@ -99,6 +102,12 @@ def matches(text: Column, rule: Rule) -> Column:
     return found
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """docs over all cores, if their scan has fewer partitions than there are cores (small inputs)."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.isStreaming or docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def numbered(found: Column, rule: Rule, place: int) -> Column:
     """Matches of the rule at a place of the catalogue, with what entities carry."""
     seq = lambda i: (F.lit(place * (1 << 20)) + i).cast("long").alias("seq")
@@ -112,6 +121,7 @@ def detect(docs: DataFrame, rules: list[Rule] | None = None, labels: list[str] |
     bounded; there is no shuffle. seq keeps the order of rules and matches.
     """
     chosen = [r for r in (rules if rules is not None else RULES) if not labels or r.label in labels]
+    docs = spread(docs.select(id_col, text)) if len(chosen) > groups else docs
     t = S.normalize_search(F.col(text))
     out = None
     for lo in range(0, len(chosen), groups):

@@ -16,6 +16,7 @@ import regex
 from ..functions import vocab as V
 from .filters import PRIORITY
 
+DIGIT = re.compile("[0-9]")
 FOLD = str.maketrans("   –—“”„", '   --"""')
 
 
@@ -59,6 +60,8 @@ def _month(languages: tuple[str, ...]) -> str:
 
 def dates(text: str, languages: tuple[str, ...] = tuple(V.MONTHS)) -> list[Entity]:
     """Dates with a month name: day first, month first, month and year; the longest of each anchor."""
+    if not DIGIT.search(text):
+        return []
     month, year, day = _month(languages), r"(?:1[89]|20|21)\d{2}", r"(?:0?[1-9]|[12]\d|3[01])"
     # Fixed part: a day can be an ordinal; Romance languages say "de".
     forms = [
@@ -83,6 +86,8 @@ def dates(text: str, languages: tuple[str, ...] = tuple(V.MONTHS)) -> list[Entit
 
 def money(text: str) -> list[Entity]:
     """Amounts with a currency before or after, magnitudes, written numbers and their repetition in words."""
+    if not DIGIT.search(text) and not compiled(rf"\b(?:{any_of(V.CURRENCY_NAMES)})\b", regex.I).search(text):
+        return []
     number = r"\d{1,3}(?:[ ,.'’]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d+)?"
     magnitude = rf"(?: ?(?:{any_of(V.MAGNITUDES)})\b)?"
     unit = any_of(V.CURRENCY_SYMBOLS) + "|" + "|".join(rf"\b{c}\b" for c in V.CURRENCY_CODES)
@@ -281,17 +286,21 @@ def names(text: str, first: set[str] | None = None, last: set[str] | None = None
     """Chains of name words; see SCORES for what they earn. Lone first names don't count at a sentence's start or in capitals."""
     first, last = first or set(V.FIRST_NAMES), last or set(V.SURNAMES)
     titles = set(V.TITLES)
-    tokens = []
-    for m in regex.finditer(r"\p{L}[\p{L}\p{M}'’-]*\.?", text):
+    lower = {w for w in [*V.PARTICLES, *titles, *first, *last] if w[0].islower()}
+    tokens: list[tuple[int, int, str, bool]] = []
+    for m in compiled(r"\p{L}[\p{L}\p{M}'’-]*\.?").finditer(text):
         word = m.group()
         bare = word.rstrip(".")
-        kind = "title" if word in titles or bare in titles else "name" if bare in first else "surname" if bare in last or bare.title() in last else "abbreviation" if regex.fullmatch(r"\p{Lu}\.", word) else "particle" if bare in V.PARTICLES else "capital" if regex.match(r"\p{Lu}\p{Ll}", bare) and bare.lower() not in V.PERSON_STOP else "other"
+        if word[0].islower() and bare not in lower:
+            tokens.append((m.start(), m.start() + len(bare), "other", False))
+            continue
+        kind = "title" if word in titles or bare in titles else "name" if bare in first else "surname" if bare in last or (bare.isupper() and bare.title() in last) else "abbreviation" if regex.fullmatch(r"\p{Lu}\.", word) else "particle" if bare in V.PARTICLES else "capital" if regex.match(r"\p{Lu}\p{Ll}", bare) and bare.lower() not in V.PERSON_STOP else "other"
         end = m.end() if kind in ("title", "abbreviation") else m.start() + len(bare)
         tokens.append((m.start(), end, kind, m.end() > m.start() + len(bare)))
     out, i = [], 0
     while i < len(tokens):
         chain = []
-        for t in tokens[i:]:
+        for t in tokens[i : i + CHAIN + 1]:
             if t[2] == "other" or len(chain) == CHAIN or (chain and not regex.fullmatch(r"[ \t ]{1,4}", text[chain[-1][1] : t[0]])):
                 break
             chain.append(t)
@@ -342,7 +351,9 @@ def _check(field: str) -> int:
 
 def structured(text: str) -> list[Entity]:
     """Machine-readable zones of passports and cards (ICAO 9303 check digits) and card tracks (Luhn)."""
-    out = []
+    out: list[Entity] = []
+    if not DIGIT.search(text):
+        return out
     for m in regex.finditer(r"(?m)^P[A-Z<][A-Z<]{42}\r?\n[A-Z0-9<]{44}$", text):
         b = m.group().split("\n")[1]
         if all(b[k].isdigit() and _check(b[i:k]) == int(b[k]) for i, k in ((0, 9), (13, 19), (21, 27))):

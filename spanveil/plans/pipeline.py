@@ -56,7 +56,7 @@ def tagged(found: Column, rule: rule_catalogue.Rule) -> Column:
 def rule_matches(docs: DataFrame, config: PipelineConfig, id_col: str, text: str) -> DataFrame:
     """docs (id, text) with `found`: matches of the wanted regex rules, array of structs."""
     chosen = [r for r in rule_catalogue.RULES if not config.labels or r.label in config.labels] if "regex" in config.detectors else []
-    chosen += [rule_catalogue.Rule(f"custom-{i}", label, pattern, score) for i, (pattern, label, score) in enumerate(config.custom_regex)]
+    chosen += [rule_catalogue.Rule(f"custom-{i}", label, pattern, score, digit=False) for i, (pattern, label, score) in enumerate(config.custom_regex)]
     kind = "array<struct<start:int,end:int,label:string,score:double,custom:boolean>>"
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), S.normalize_search(text).alias("_t"), F.array().cast(kind).alias("found"))
     for lo in range(0, len(chosen), RULES_PER_PROJECTION):
@@ -148,7 +148,7 @@ def resolved(docs: DataFrame, config: PipelineConfig | None = None, id_col: str
                 names = [f.split()[0] for f in ROW.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return rule_matches(docs, config, id_col, text).mapInArrow(run, ROW)
+    return rule_matches(rule_catalogue.spread(docs.select(id_col, text)), config, id_col, text).mapInArrow(run, ROW)
 
 
 def redacted(docs: DataFrame, config: PipelineConfig | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ FIVE = [
     Rule("secret", "secret", SECRET, 0.9, needs="token = "),
 ]
 #: Cues that stand before spans of other rules: spans that overlap them on purpose.
-CUED = [Rule("cue-secret", "cue", r"token = ", 0.4), Rule("digits", "number", r"\b[0-9]{4,19}\b", 0.35), Rule("domain", "domain", r"[A-Za-z0-9-]+\.(?:com|org|net|example|test|io)\b", 0.5)]
+CUED = [Rule("cue-secret", "cue", r"token = ", 0.4, digit=False), Rule("digits", "number", r"\b[0-9]{4,19}\b", 0.35), Rule("domain", "domain", r"[A-Za-z0-9-]+\.(?:com|org|net|example|test|io)\b", 0.5, digit=False)]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,7 +95,7 @@ def nested_same_label(spark, sf_dir):
 
 def merge_adjacent(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    e = detect(d.where("lang = 'en'"), [Rule("caps", "organization", r"\b[A-Z][a-z]{5,}\b", 0.9)])
+    e = detect(d.where("lang = 'en'"), [Rule("caps", "organization", r"\b[A-Z][a-z]{5,}\b", 0.9, digit=False)])
     return filters.merge_adjacent(e, d).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "text")
 
 
@@ -253,7 +253,7 @@ def session_status(spark, sf_dir):
 def coref_alias_asof(spark, sf_dir):
     """Each e-mail address and the nearest capitalised word of six letters that ends before it, at most 200 away."""
     d = table(spark, sf_dir, "documents")
-    names = detect(d.where("lang = 'en'"), [Rule("name", "person", r"\b[A-Z][a-z]{5,}\b", 0.9)]).select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("text").alias("name"))
+    names = detect(d.where("lang = 'en'"), [Rule("name", "person", r"\b[A-Z][a-z]{5,}\b", 0.9, digit=False)]).select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("text").alias("name"))
     mails = detect(d, [FIVE[0]]).select("doc_id", F.col("start").alias("m_start"), F.col("text").alias("mail"))
     cell = lambda c: F.floor(c / 200)
     left = mails.withColumn("cell", F.explode(F.array(cell(F.col("m_start")), cell(F.col("m_start")) - 1)))
