@@ -307,7 +307,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall:
     placed = common.materialize(
         sized.join(member.where("doc = rep").select("doc", "copies"), "doc").select("doc", "copies", "grp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("own"))
     )
-    with_sets = placed.join(tokens_of(docs.join(placed.select(F.col("doc").alias("_id")), "_id", "left_semi")), "doc")
+    # A merge join at every size: the list of grouped classes grows with the corpus, so it isn't broadcast.
+    grouped = docs.join(placed.select(F.col("doc").alias("_id")).hint("merge"), "_id", "left_semi")
+    with_sets = placed.join(tokens_of(grouped), "doc")
     pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = pairs.select("doc", "copies", "set", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     solved = common.materialize(task.groupBy("grp", "i", "j").applyInPandas(solve, "doc long, n long, top long"))
