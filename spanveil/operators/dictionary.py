@@ -140,12 +140,26 @@ def countries(docs: DataFrame, surfaces: DataFrame, ambiguous: DataFrame | None
 def literal_scan(docs: DataFrame, passages: DataFrame, words_in_key: int = 5) -> DataFrame:
     """(doc_id, item_id) of documents that hold a passage (item_id, text) literally.
 
-    An equi-join on the first words of the passage, then contains(); no nested loop.
+    An equi-join on a key of the passage, then contains(); no nested loop. The key is words
+    from the second one on: they stand between separators in the passage, so they are whole
+    words of any document that holds it, whatever touches the passage's ends. Passages with too
+    few words for that are keyed by their first 1, 2, 4, 8 or 16 characters, and documents
+    yield their runs of as many characters if there is such a passage.
     """
-    key = F.array_join(F.slice(F.split("text", " "), 1, words_in_key), " ")
-    first = passages.select("item_id", F.col("text").alias("passage"), key.alias("key")).where(F.length("text") > 0)
-    grams = tokens = F.split("text", r"[ \n]")
+    sep = r"[ \n]"
+    parts = F.split("text", sep)
+    inner = F.slice(parts, 2, words_in_key)
+    lengths = [1, 2, 4, 8, 16]
+    width = F.greatest(*[F.when(F.length("text") >= n, n).otherwise(0) for n in lengths])
+    wordy = F.size(parts) >= words_in_key + 2
+    known = passages.where(F.length("text") > 0)
+    first = known.select("item_id", F.col("text").alias("passage"), F.when(wordy, F.array_join(inner, " ")).otherwise(F.substring("text", 1, width)).alias("key"))
+    widths = known.where(~wordy).agg(F.collect_set(width).alias("n")).scalar()
+    grams = tokens = F.split("text", sep)
     for k in range(1, words_in_key):  # the words one further on, again and again: linear in the text
         grams = F.zip_with(grams, F.slice(tokens, k + 1, F.size(tokens)), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
-    keys = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("key")).join(first, "key").select("doc_id", "item_id", "passage").distinct()
+    none = F.array().cast("array<string>")
+    runs = [F.when(F.array_contains("_widths", n), F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(none) for n in lengths]
+    cut = docs.where(F.col("text").isNotNull()).select("doc_id", "text", widths.alias("_widths"))
+    keys = cut.select("doc_id", F.explode(F.array_distinct(F.concat(grams, *runs))).alias("key")).join(first, "key").select("doc_id", "item_id", "passage").distinct()
     return keys.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id").distinct()

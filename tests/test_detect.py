@@ -152,6 +152,19 @@ def test_dictionaries(spark):
     assert {r["text"] for r in dictionary.deny_list(docs, d).collect()} == {"Novotny Bank", "Prague"}
 
 
+def test_literal_passages(spark):
+    long = "the quick\nbrown fox jumps over the lazy dog"
+    passages = {1: long, 2: "two words", 3: "x", 4: "eins zwei drei vier fünf sechs", 5: "漢字漢字漢字", 6: "  a  b \n c d e f", 7: "", 8: None, 9: "😀é", 10: "a b c d e f g"}
+    around = ["%s", 'say "%s" now', "(%s)", "tab\t%s\tend", "line\n%s\nend", "glued%sglued", "before %s after"]
+    texts = [a % (p or "none") for a in around for p in passages.values()] + [long.replace("\n", " "), "", None, "twowords", "漢字"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = dictionary.literal_scan(docs, spark.createDataFrame(list(passages.items()), "item_id long, text string"))
+    want = {(d, i) for d, t in enumerate(texts) for i, p in passages.items() if t and p and p in t}
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    few = dictionary.literal_scan(docs, spark.createDataFrame([(1, long)], "item_id long, text string"))
+    assert sorted(map(tuple, few.collect())) == sorted(x for x in want if x[1] == 1)
+
+
 def test_files_and_office(spark, tmp_path):
     import io
     import zipfile
