@@ -4,7 +4,10 @@ The mix holds as many words as the corpus. Each source has a target (its share b
 weight, never above `max_repeat` times its own size; the excess is reshared by weight
 until no source is above). The mix is cut into equal-token blocks; blocks go to sources
 by the highest quotients V/1, V/3, V/5, ... (Sainte-Lague), and each source's blocks go
-to its shards in the same way, which gives integer quotas for each shard. In a shard, the
+to its shards in the same way, which gives integer quotas for each shard. Sources for which
+a block is coarse (against the smallest shard, the target or the room below the repeats)
+take their target first, dealt to their shards by single words; the blocks are those of the
+words left. By words, no quota passes `max_repeat` times its shard. In a shard, the
 documents stand in a seeded order as one line of words, and the quota is taken from the
 line in whole rounds and one window of blocks at a seeded place.
 
@@ -27,6 +30,8 @@ from .repeats import identified
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 65536
+#: Blocks that the smallest shard and the target hold at least where quotas are whole blocks.
+LEAST_SHARD, LEAST_TARGET = 8, 256
 SEED = 17
 
 
@@ -41,7 +46,7 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 
 
 def targets(sources: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFrame:
-    """(source, source_size) to (source, source_size, weight, target).
+    """(source, source_size) to (source, source_size, weight, target); other columns stay.
 
     One row for each source: these windows run over the list of sources, not over rows.
     Water filling in closed form: with sources by cap / weight, the first one whose cap is
@@ -62,8 +67,7 @@ def targets(sources: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFram
     )
     first = F.min(F.when(F.col("over") == 0, F.struct("ratio", F.struct(F.col("source").isNull(), F.col("source")).alias("at"), "left", "w_left"))).over(every)
     return level.withColumn("lvl", first).select(
-        "source",
-        "source_size",
+        *sources.columns,
         "weight",
         F.when(F.col("lvl").isNull() | (cap * F.col("lvl.w_left") < F.col("weight") * F.col("lvl.left")), cap.cast("double"))
         .otherwise((F.col("weight") * F.col("lvl.left")).cast("double") / F.col("lvl.w_left").cast("double"))
@@ -97,15 +101,22 @@ def mix(docs: DataFrame, max_repeat: int = 3, blocks: int = BLOCKS, seed: int =
     """doc_id, size, source_size, target, taken and shard of every row of docs."""
     rows = common.materialize(sized(docs, seed=seed, **names))
     cells = common.materialize(rows.groupBy("source", "shard", "bucket").agg(F.sum("size").alias("bucket_size")))
-    plan = targets(cells.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), max_repeat)
+    shards = cells.groupBy("source", "shard").agg(F.sum("bucket_size").alias("shard_size"))
+    sources = shards.groupBy("source").agg(F.sum("shard_size").alias("source_size"), F.min(F.when(F.col("shard_size") > 0, F.col("shard_size"))).alias("smallest"))
+    all_sources = Window.partitionBy(F.lit(1))  # one row a source
+    few = (F.col("smallest") < LEAST_SHARD * F.col("block")) | (F.col("target") < LEAST_TARGET * F.col("block"))
+    cut = (F.col("source_size") * max_repeat - F.col("target")) * F.col("smallest") < F.col("block") * F.col("source_size")
     plan = (
-        plan.withColumn("total", F.sum("source_size").over(Window.partitionBy(F.lit(1))))  # one row a source
+        targets(sources, max_repeat)
+        .withColumn("total", F.sum("source_size").over(all_sources))
         .withColumn("block", F.greatest(F.lit(1), F.floor(F.col("total") / blocks)).cast("long"))
-        .withColumn("seats", F.floor(F.col("total") / F.col("block")).cast("long"))
+        .withColumn("by_word", F.coalesce((F.col("block") > 1) & (few | cut), F.lit(False)))
+        .withColumn("own", F.when(F.col("by_word"), F.round("target")).otherwise(0).cast("long"))
+        .withColumn("seats", F.floor((F.col("total") - F.sum("own").over(all_sources)) / F.col("block")).cast("long"))
         .withColumn("one", F.lit(1))
     )
-    plan = apportion(plan, ["one"], ["source"], "target", "seats", "source_blocks").drop("one", "seats")
-    shards = cells.groupBy("source", "shard").agg(F.sum("bucket_size").alias("shard_size"))
+    fine = plan.where("by_word").withColumns({"block": F.lit(1).cast("long"), "source_blocks": F.col("own")})
+    plan = apportion(plan.where("not by_word"), ["one"], ["source"], "target", "seats", "source_blocks").unionByName(fine).drop("one", "seats")
     same = F.col("p.source").eqNullSafe(F.col("c.source"))
     quota = (
         shards.alias("c")

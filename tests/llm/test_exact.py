@@ -166,6 +166,21 @@ def test_mixing(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(df).collect()))
 
 
+@pytest.mark.parametrize("blocks", [16, 1024])
+def test_mixing_of_tiny_sources(spark, blocks):
+    r = random.Random(3)
+    sizes = [("hot", 1000)] * 400 + [(f"t{k}", r.randrange(1, 20)) for k in range(100) for _ in range(r.randrange(1, 60))] + [("mid", 50)] * 300
+    rows = [(i, s, n) for i, (s, n) in enumerate(sizes)]
+    df = spark.createDataFrame([(i, " ".join(["x"] * n), s) for i, s, n in rows], "doc_id long, text string, source string")
+    size, target = mixture(rows)
+    source, taken = {i: s for i, s, _ in rows}, dict.fromkeys(size, 0)
+    for g in mixing.mix(df, blocks=blocks).collect():
+        assert 0 <= g["taken"] <= 3 * g["size"]
+        taken[source[g["doc_id"]]] += g["taken"]
+    assert all(abs(taken[s] - target[s]) <= max(1, 0.005 * target[s]) for s in size)
+    assert abs(sum(taken.values()) - sum(size.values())) <= max(len(size), sum(size.values()) // blocks)
+
+
 def test_sainte_lague(spark):
     votes = {"a": 53.0, "b": 24.0, "c": 23.0, "d": 0.0}
     df = spark.createDataFrame([(1, k, v, 17) for k, v in votes.items()], "g int, k string, v double, seats long")
