@@ -4,6 +4,10 @@
 mapInArrow, in one pass over the documents without a shuffle: rule matches travel as an
 array beside the text, so even the resolution of a document is narrow. Detectors that the
 configuration switches off are not in the plan.
+
+The terms of the dictionary detectors (deny lists, gazetteer, countries) and the detections of
+a caller are tables, given as `Tables`. Their hits are joined to the documents before the
+resolution, which is a shuffle; without tables there is none.
 """
 
 from __future__ import annotations
@@ -16,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
+from ..operators import dictionary as D
 from ..operators import redact as R
 from ..operators import rules as rule_catalogue
 from ..operators.filters import BAND, BONUS, ANCHOR, NEAR, ZONE_BOOST, HEADING, SIGNING
 
 #: Detectors in the fixed order in which their results are concatenated.
-ORDER = ("regex", "dates", "money", "triggers", "signatures", "legal_forms", "names", "addresses", "structured")
+ORDER = ("regex", "deny_list", "custom_deny_list", "gazetteer", "countries", "dates", "money", "triggers", "signatures", "legal_forms", "names", "addresses", "structured", "caller")
+#: All are on by default but the gazetteer.
+DEFAULT = tuple(name for name in ORDER if name != "gazetteer")
 RULES_PER_PROJECTION = 8
 
 
@@ -32,7 +39,7 @@ class PipelineConfig:
     threshold: float = 0.3
     labels: tuple[str, ...] = ()
     language: str | None = None
-    detectors: tuple[str, ...] = ORDER
+    detectors: tuple[str, ...] = DEFAULT
     zones: bool = True
     hotwords: bool = True
     confidence_boost: bool = True
@@ -48,6 +55,55 @@ class PipelineConfig:
             raise ValueError(f"bad configuration: {unknown or self.threshold}")
 
 
+@dataclass(frozen=True)
+class Tables:
+    """What the dictionary detectors look up, and a caller's spans; a missing table finds nothing."""
+
+    deny_list: DataFrame | None = None  # term, labels: of dictionary.assemble()
+    stopwords: DataFrame | None = None  # word
+    custom_deny_list: DataFrame | None = None  # value, label
+    gazetteer: DataFrame | None = None  # canonical, label, variants
+    countries: DataFrame | None = None  # surface, code
+    ambiguous: DataFrame | None = None  # surface
+    caller: DataFrame | None = None  # doc_id, start, end, label, score: of external.detections()
+
+
+LITERAL = "array<struct<rank:int,start:int,end:int,label:string,score:double,source:string,source_detail:string>>"
+
+
+def literal_hits(docs: DataFrame, config: PipelineConfig, tables: Tables) -> DataFrame:
+    """docs (doc_id, text, found) with `literal`: hits of the dictionaries and the caller, in the order of detectors.
+
+    Hits of terms belong to a text and are joined by its digest, whatever the ids are.
+    """
+
+    def shaped(hits: DataFrame, name: str) -> DataFrame:
+        detail = F.col("source_detail") if "source_detail" in hits.columns else F.lit(None)
+        hits = hits.where(F.col("label").isin(*config.labels)) if config.labels else hits
+        return hits.select("doc_id", F.struct(F.lit(ORDER.index(name)).alias("rank"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label", F.col("score").cast("double").alias("score"), "source", detail.cast("string").alias("source_detail")).alias("hit"))
+
+    texts = docs.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("doc_id"), "text")
+    runs = {
+        "deny_list": lambda t: D.deny_list(texts, t, tables.stopwords),
+        "custom_deny_list": lambda t: D.custom_deny_list(texts, t),
+        "gazetteer": lambda t: D.gazetteer(texts, D.gazetteer_terms(t)),
+        "countries": lambda t: D.countries(texts, t, tables.ambiguous),
+    }
+    hits = [shaped(run(getattr(tables, name)), name) for name, run in runs.items() if name in config.detectors and getattr(tables, name) is not None]
+    out = docs.withColumn("literal", F.array().cast(LITERAL))
+    if hits:
+        every = hits[0]
+        for more in hits[1:]:
+            every = every.unionByName(more)
+        by_text = every.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set("hit").cast(LITERAL).alias("_hits"))
+        out = out.withColumn("_key", F.sha2("text", 256)).join(by_text, "_key", "left").withColumn("literal", F.coalesce("_hits", "literal")).drop("_key", "_hits")
+    if "caller" in config.detectors and tables.caller is not None:
+        spans = shaped(tables.caller.withColumn("source", F.lit("caller")), "caller")
+        by_id = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("hit").cast(LITERAL).alias("_spans"))
+        out = out.join(by_id, F.col("doc_id") == F.col("_id"), "left").withColumn("literal", F.concat("literal", F.coalesce("_spans", F.array().cast(LITERAL)))).drop("_id", "_spans")
+    return out.select("doc_id", "text", "found", F.array_sort("literal").alias("literal"))
+
+
 def tagged(found: Column, rule: rule_catalogue.Rule) -> Column:
     custom = F.lit(rule.rule_id.startswith("custom-")).alias("custom")
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score"), custom))
@@ -65,8 +121,8 @@ def rule_matches(docs: DataFrame, config: PipelineConfig, id_col: str, text: str
     return out.select("doc_id", "text", "found")
 
 
-def analyse(text: str, found: list[dict], config: PipelineConfig):
-    """Resolved entities of one text."""
+def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[dict] = ()):
+    """Resolved entities of one text, from its rule matches, literal hits and the other detectors."""
     import regex
 
     from dataclasses import replace
@@ -75,6 +131,8 @@ def analyse(text: str, found: list[dict], config: PipelineConfig):
     from ..operators import scanner as C
 
     entities = [C.entity(text, f["start"], f["end"], f["label"], f["score"], "regex", source_detail="custom-regex" if f["custom"] else None) for f in found]
+    given = {c: [C.entity(text, h["start"], h["end"], h["label"], h["score"], h["source"], source_detail=h["source_detail"]) for h in literal if (h["source"] == "caller") == c and 0 <= h["start"] < h["end"] <= len(text)] for c in (False, True)}
+    entities += given[False]
     search, on = text.translate(C.FOLD), config.detectors
     languages = (config.language,) if config.language in V.MONTHS else tuple(V.MONTHS)
     for name, run in (("dates", lambda t: C.dates(t, languages)), ("money", C.money), ("triggers", C.triggers), ("signatures", C.signatures), ("legal_forms", C.legal_forms), ("names", lambda t: C.names(t, mode=config.name_mode))):
@@ -84,6 +142,7 @@ def analyse(text: str, found: list[dict], config: PipelineConfig):
         entities += C.addresses(search, entities, config.standalone_streets)
     if "structured" in on:
         entities += C.structured(search)
+    entities += given[True]
     entities = [replace(e, text=text[e.start : e.end]) for e in entities]
     if config.zones and entities:
         at, rows = 0, []
@@ -132,7 +191,7 @@ def analyse(text: str, found: list[dict], config: PipelineConfig):
 ROW = "doc_id long, start int, end int, label string, text string, score double, source string, source_detail string, kind string, source_text string, seq long"
 
 
-def resolved(docs: DataFrame, config: PipelineConfig | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def resolved(docs: DataFrame, config: PipelineConfig | None = None, id_col: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
     """Entity rows of all documents: no overlaps, ordered by seq in a document. Null texts have none."""
     config = config or PipelineConfig()
 
@@ -140,28 +199,29 @@ def resolved(docs: DataFrame, config: PipelineConfig | None = None, id_col: str
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part, rows = batch.slice(lo, 200), []
-                for doc, body, found in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    for k, e in enumerate(analyse(body or "", found, config)):
+                for doc, body, found, literal in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
+                    for k, e in enumerate(analyse(body or "", found, config, literal)):
                         rows.append((doc, e.start, e.end, e.label, e.text, e.score, e.source, e.source_detail, e.kind, e.source_text, k))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
                 names = [f.split()[0] for f in ROW.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return rule_matches(rule_catalogue.spread(docs.select(id_col, text)), config, id_col, text).mapInArrow(run, ROW)
+    matched = rule_matches(rule_catalogue.spread(docs.select(id_col, text)), config, id_col, text)
+    return literal_hits(matched, config, tables or Tables()).mapInArrow(run, ROW)
 
 
-def redacted(docs: DataFrame, config: PipelineConfig | None = None) -> DataFrame:
+def redacted(docs: DataFrame, config: PipelineConfig | None = None, tables: Tables | None = None) -> DataFrame:
     """redact() of the resolved entities with the operators of the configuration."""
     config = config or PipelineConfig()
-    return R.redact(docs, resolved(docs, config), config.operators)
+    return R.redact(docs, resolved(docs, config, tables=tables), config.operators)
 
 
-def stages(docs: DataFrame, config: PipelineConfig | None = None) -> dict[str, DataFrame]:
+def stages(docs: DataFrame, config: PipelineConfig | None = None, tables: Tables | None = None) -> dict[str, DataFrame]:
     """The three results of a run, as DataFrames: detected (before resolution), resolved, redacted."""
     config = config or PipelineConfig()
     detected = rule_matches(docs, config, "doc_id", "text").select("doc_id", F.explode("found").alias("e")).select("doc_id", "e.*")
-    entities = resolved(docs, config)
+    entities = resolved(docs, config, tables=tables)
     return {"detected": detected, "resolved": entities, "redacted": R.redact(docs, entities, config.operators)}
 
 

@@ -370,15 +370,20 @@ def percentile_report(spark, sf_dir):
     return e.groupBy("label").agg(F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
+def nations(spark: SparkSession, sf_dir: str) -> pipeline.Tables:
+    """The only terms that the driver's tables hold: names of nations, as countries."""
+    return pipeline.Tables(countries=table(spark, sf_dir, "nation").select(F.col("n_name").alias("surface"), F.substring("n_name", 1, 2).alias("code")))
+
+
 def pipeline_entities(spark, sf_dir):
-    """All detectors and the whole resolution over all documents."""
+    """The detectors that are on by default and the whole resolution over all documents; nations are the only dictionary."""
     ready(spark)
-    return pipeline.resolved(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "label", "text", "score", "source", "kind")
+    return pipeline.resolved(table(spark, sf_dir, "documents").select("doc_id", "text"), tables=nations(spark, sf_dir)).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "label", "text", "score", "source", "kind")
 
 
 def pipeline_redacted(spark, sf_dir):
     ready(spark)
-    out = pipeline.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pipeline.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), tables=nations(spark, sf_dir))
     return out.select("doc_id", "redacted_text", F.col("entity_count").cast("long").alias("entity_count"))
 
 

@@ -165,6 +165,28 @@ def test_literal_passages(spark):
     assert sorted(map(tuple, few.collect())) == sorted(x for x in want if x[1] == 1)
 
 
+def test_pipeline_with_tables(spark):
+    from spanveil.plans.pipeline import DEFAULT, Tables
+
+    texts = [(1, "We saw Orbitex and zorb near Freedonia, said quux."), (1, "plain words"), (None, "Nothing but Freedonia here"), (2, None), (3, "hello wibble there")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = Tables(
+        deny_list=dictionary.assemble(frame([("Orbitex", "organization", "deny-list")], "value string, label string, source string")),
+        custom_deny_list=frame([("zorb", "project")], "value string, label string"),
+        gazetteer=frame([("quux", "codename", None)], "canonical string, label string, variants array<string>"),
+        countries=frame([("Freedonia", "FD")], "surface string, code string"),
+        caller=frame([(3, 6, 12, "thing", 0.8), (3, 90, 99, "thing", 0.8)], "doc_id long, start int, end int, label string, score double"),
+    )
+    found = lambda c, t=tables: {(r["doc_id"], r["text"], r["label"], r["source"]) for r in resolved(docs, c, tables=t).collect()}
+    on = {(1, "Orbitex", "organization", "deny-list"), (1, "zorb", "project", "deny-list"), (1, "Freedonia", "country", "country"), (None, "Freedonia", "country", "country"), (3, "wibble", "thing", "caller")}
+    assert on <= found(PipelineConfig())
+    assert on | {(1, "quux", "codename", "gazetteer")} <= found(PipelineConfig(detectors=(*DEFAULT, "gazetteer")))
+    assert not {x[3] for x in found(PipelineConfig(detectors=("regex",)))} & {"deny-list", "country", "caller", "gazetteer"}
+    out = {r["doc_id"]: r["redacted_text"] for r in redacted(docs.where("doc_id = 3"), tables=tables).collect()}
+    assert out == {3: "hello [THING_1] there"}
+
+
 def test_files_and_office(spark, tmp_path):
     import io
     import zipfile
