@@ -132,14 +132,20 @@ def islands(spans: DataFrame, keys: list[str], gap: int = 0) -> DataFrame:
 
 def merge_adjacent(entities: DataFrame, docs: DataFrame) -> DataFrame:
     """Entities of one label with nothing or up to three of space, tab, comma and hyphen between become one; not countries."""
-    with_text = entities.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id")
     order = Window.partitionBy("doc_id", "label").orderBy("start", "end", "seq")
     last = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.expr("substring(_t, _last + 1, start - _last)")
-    joined = (F.col("label") != "country") & (F.col("start") >= F.col("_last")) & (F.length(gap) <= 3) & gap.rlike(r"^[ \t,\-]*$")
-    grouped = with_text.withColumn("_last", last).withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order))
-    out = grouped.groupBy("doc_id", "label", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.min_by("source", "seq").alias("source"), F.min("seq").alias("seq"), F.first("_t").alias("_t"))
-    return out.select("doc_id", "start", "end", "label", F.expr("substring(_t, start + 1, end - start)").alias("text"), "score", "source", "seq")
+    # A text meets the entities of its document once, as an array, and hands on their pieces only.
+    listed = entities.withColumn("_last", last).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "label", "score", "source", "seq", "_last")).alias("_all"))
+    near = lambda e: e["start"].between(e["_last"], e["_last"] + 3)
+    cut = lambda at, n: F.substring(F.col("_t"), at + 1, n)
+    pieces = F.transform("_all", lambda e: F.struct(e.alias("e"), F.when(near(e), cut(e["_last"], e["start"] - e["_last"])).alias("_gap"), cut(e["start"], e["end"] - e["start"]).alias("_piece")))
+    rows = listed.join(docs.select("doc_id", F.col("text").alias("_t")), "doc_id").select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.e.*", "p._gap", "p._piece")
+    joined = (F.col("label") != "country") & F.col("_gap").rlike(r"^[ \t,\-]*$")
+    grouped = rows.withColumn("_new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_g", F.sum("_new").over(order))
+    part = F.struct("start", "end", "seq", F.concat(F.when(F.col("_new") == 0, F.col("_gap")).otherwise(""), "_piece").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "")
+    out = grouped.groupBy("doc_id", "label", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("score").alias("score"), F.min_by("source", "seq").alias("source"), F.min("seq").alias("seq"), text.alias("text"))
+    return out.select("doc_id", "start", "end", "label", "text", "score", "source", "seq")
 
 
 def counts_by(entities: DataFrame, keys: list[str]) -> DataFrame:

@@ -99,6 +99,17 @@ def merge_adjacent(spark, sf_dir):
     return filters.merge_adjacent(e, d).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "text")
 
 
+#: Capitalised words of six letters or more in any script that has capitals; the word edges are spelled out.
+CAPITALISED = r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}\p{Ll}{5,}(?![\p{L}\p{M}\p{N}_])"
+
+
+def merge_adjacent_all(spark, sf_dir):
+    """merge_adjacent over all documents, whatever their language."""
+    d = table(spark, sf_dir, "documents")
+    e = detect(d, [Rule("caps", "organization", CAPITALISED, 0.9, digit=False)])
+    return filters.merge_adjacent(e, d).select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "text")
+
+
 def near_miss_boost(spark, sf_dir):
     out = filters.near_miss_boost(mixed(spark, sf_dir), threshold=0.42)
     return out.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "label", F.round("score", 6).alias("score"))
@@ -253,7 +264,17 @@ def session_status(spark, sf_dir):
 def coref_alias_asof(spark, sf_dir):
     """Each e-mail address and the nearest capitalised word of six letters that ends before it, at most 200 away."""
     d = table(spark, sf_dir, "documents")
-    names = detect(d.where("lang = 'en'"), [Rule("name", "person", r"\b[A-Z][a-z]{5,}\b", 0.9, digit=False)]).select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("text").alias("name"))
+    return nearest_names(d, d.where("lang = 'en'"), r"\b[A-Z][a-z]{5,}\b")
+
+
+def coref_alias_asof_all(spark, sf_dir):
+    """coref_alias_asof with names from all documents, whatever their language."""
+    d = table(spark, sf_dir, "documents")
+    return nearest_names(d, d, CAPITALISED)
+
+
+def nearest_names(d: DataFrame, named: DataFrame, pattern: str) -> DataFrame:
+    names = detect(named, [Rule("name", "person", pattern, 0.9, digit=False)]).select("doc_id", F.col("start").alias("n_start"), F.col("end").alias("n_end"), F.col("text").alias("name"))
     mails = detect(d, [FIVE[0]]).select("doc_id", F.col("start").alias("m_start"), F.col("text").alias("mail"))
     cell = lambda c: F.floor(c / 200)
     left = mails.withColumn("cell", F.explode(F.array(cell(F.col("m_start")), cell(F.col("m_start")) - 1)))
@@ -399,6 +420,6 @@ def queries() -> dict:
         threshold_and_labels, hotword_decay, zone_of_entity, zone_lines, dictionary_terms, dictionary_anti, dictionary_assembly, country_hits, fuzzy_gazetteer, placeholder_numbers, placeholder_reserved,
         redact_constant, redact_replace, mask_last4, operator_counts, restore_roundtrip, invalid_spans, session_cross_document, session_status, coref_alias_asof, page_pii, prf_by_label, prf_overlap,
         char_precision_recall, entity_recall, run_diff, label_quality, benchmark_overlap, blocks_neighbourhood, document_facts, block_findings, offsets, label_keys, validators, tumbling_event_counts,
-        session_windows, percentile_report, all_rules, pipeline_entities, pipeline_redacted,
+        session_windows, percentile_report, all_rules, pipeline_entities, pipeline_redacted, merge_adjacent_all, coref_alias_asof_all,
     ]
     return named | {f.__name__: f for f in plain}
