@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import spans as S
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’.-]*"
-MAX_WORDS = 6
+MAX_WORDS = 6  # of ngrams() by itself; the detectors take the longest term of their dictionary
 FUZZY_DISTANCE, FUZZY_LENGTH = 2, 4
 
 
@@ -28,11 +28,20 @@ def words(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     return found.select("doc_id", "i", F.col("s.start").alias("start"), (F.col("s.start") + F.length(trimmed)).alias("end"), trimmed.alias("word"))
 
 
-def ngrams(docs: DataFrame, most: int = MAX_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def longest(terms: DataFrame, size: Column) -> Column:
+    """The largest size of a term, 1 at least: one row, computed before the scan."""
+    return F.coalesce(terms.agg(F.greatest(F.max(size), F.lit(1))).scalar(), F.lit(1))
+
+
+def most_words(terms: DataFrame) -> Column:
+    return longest(terms, F.regexp_count("term", F.lit(WORD)))
+
+
+def ngrams(docs: DataFrame, most: int | Column = MAX_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, start, end, surface: runs of 1 to `most` words of a line, one narrow expression a document."""
     tokens = S.spans(S.normalize_search(text), WORD)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_t"), tokens.alias("w"))
-    pairs = F.flatten(F.transform("w", lambda w, i: F.transform(F.slice(F.col("w"), i + 1, F.lit(most)), lambda v: F.struct(w["start"].alias("start"), v["end"].alias("end")))))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("_t"), tokens.alias("w"), (most if isinstance(most, Column) else F.lit(most)).alias("_most"))
+    pairs = F.flatten(F.transform("w", lambda w, i: F.transform(F.slice(F.col("w"), i + 1, F.col("_most")), lambda v: F.struct(w["start"].alias("start"), v["end"].alias("end")))))
     rows = base.where(F.size("w") > 0).select("doc_id", "_t", F.explode(pairs).alias("p")).select("doc_id", "p.start", "p.end", F.expr("substring(_t, p.start + 1, p.end - p.start)").alias("surface"))
     cut = F.regexp_replace("surface", r"[.'’-]+$", "")
     return rows.where(~F.contains("surface", F.lit("\n"))).select("doc_id", "start", (F.col("start") + F.length(cut)).alias("end"), cut.alias("surface"))
@@ -68,7 +77,7 @@ def region_codes(regions: DataFrame, wanted: list[str]) -> DataFrame:
 
 def deny_list(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | None = None, **names: str) -> DataFrame:
     """Curated hits: must begin in upper case; a single stopword and a hit inside a longer one lose."""
-    hits = ngrams(docs, **names).withColumn("term", fold(F.col("surface"))).join(dictionary, "term")
+    hits = ngrams(docs, most_words(dictionary), **names).withColumn("term", fold(F.col("surface"))).join(dictionary, "term")
     hits = hits.where(F.col("surface").rlike(r"^[\p{Lu}\p{N}]"))
     if stopwords is not None:
         hits = hits.join(stopwords.select(fold(F.col("word")).alias("term")), "term", "left_anti")
@@ -81,7 +90,8 @@ def deny_list(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | Non
 
 def custom_deny_list(docs: DataFrame, terms: DataFrame, **names: str) -> DataFrame:
     """The caller's terms (value, label): no case or stopword filters, whole words."""
-    hits = ngrams(docs, **names).withColumn("term", fold(F.col("surface"))).join(terms.select(fold(F.col("value")).alias("term"), "label").distinct(), "term")
+    terms = terms.select(fold(F.col("value")).alias("term"), "label").distinct()
+    hits = ngrams(docs, most_words(terms), **names).withColumn("term", fold(F.col("surface"))).join(terms, "term")
     return hits.select("doc_id", "start", "end", "label", F.col("surface").alias("text"), F.lit(0.9).alias("score"), F.lit("deny-list").alias("source"), F.lit("custom-deny-list").alias("source_detail"), F.lit(0).cast("long").alias("seq"))
 
 
@@ -99,7 +109,8 @@ def gazetteer(docs: DataFrame, terms: DataFrame, fuzzy: bool = True, **names: st
     characters in turn or the first characters themselves, so the join is an equality and
     levenshtein() only decides about pairs that meet.
     """
-    grams = ngrams(docs, **names).withColumn("term", fold(F.col("surface")))
+    # An edit may also split a word, so near hits have up to as many words more as edits.
+    grams = ngrams(docs, most_words(terms) + (FUZZY_DISTANCE if fuzzy else 0), **names).withColumn("term", fold(F.col("surface")))
     exact = grams.join(terms, "term").select("doc_id", "start", "end", "label", F.col("surface").alias("text"), F.lit(0.9).alias("score"), F.lit("gazetteer").alias("source"), F.lit(0).cast("long").alias("seq"))
     if not fuzzy:
         return exact
@@ -118,7 +129,7 @@ def gazetteer(docs: DataFrame, terms: DataFrame, fuzzy: bool = True, **names: st
         return F.array_distinct(F.flatten(F.transform(sizes, of)))
 
     long_terms = terms.where(F.length("term") >= FUZZY_LENGTH).select("label", F.col("term").alias("known"), F.explode(F.array_distinct(pieces(F.col("term")))).alias("key"))
-    surfaces = grams.where(F.length("term").between(FUZZY_LENGTH - 2, 120)).select("term").distinct().select("term", F.explode(windows(F.col("term"))).alias("key"))
+    surfaces = grams.where(F.length("term").between(F.lit(FUZZY_LENGTH - FUZZY_DISTANCE), longest(terms, F.length("term")) + FUZZY_DISTANCE)).select("term").distinct().select("term", F.explode(windows(F.col("term"))).alias("key"))
     near = surfaces.join(long_terms, "key").where(F.abs(F.length("term") - F.length("known")) <= FUZZY_DISTANCE).select("term", "known", "label").distinct()
     near = near.withColumn("distance", F.levenshtein("term", "known", FUZZY_DISTANCE)).where(F.col("distance").between(1, FUZZY_DISTANCE))
     best = near.groupBy("term").agg(F.min(F.struct("distance", "known", "label")).alias("b")).select("term", F.col("b.label").alias("label"))
@@ -133,7 +144,7 @@ def countries(docs: DataFrame, surfaces: DataFrame, ambiguous: DataFrame | None
     terms = surfaces.select(fold(F.col("surface")).alias("term"), "code").where(F.length("term") > 3).distinct()
     if ambiguous is not None:
         terms = terms.join(ambiguous.select(fold(F.col("surface")).alias("term")), "term", "left_anti")
-    hits = ngrams(docs, **names).withColumn("term", fold(F.col("surface"))).join(terms, "term").where(F.col("surface").rlike(r"^\p{Lu}"))
+    hits = ngrams(docs, most_words(terms), **names).withColumn("term", fold(F.col("surface"))).join(terms, "term").where(F.col("surface").rlike(r"^\p{Lu}"))
     return hits.select("doc_id", "start", "end", F.lit("country").alias("label"), F.col("surface").alias("text"), F.lit(0.95).alias("score"), F.lit("country").alias("source"), F.lit(0).cast("long").alias("seq"))
 
 

@@ -152,6 +152,22 @@ def test_dictionaries(spark):
     assert {r["text"] for r in dictionary.deny_list(docs, d).collect()} == {"Novotny Bank", "Prague"}
 
 
+def test_long_terms(spark):
+    term = "The Royal Society of Old and New Friends of the Northern Sea"
+    wide = " ".join(["Wissenschaftsgesellschaft"] * 7)
+    near = term.replace("Friends", "Fri ends")
+    docs = spark.createDataFrame([(1, f"By {term} in May"), (2, f"by {wide} now"), (3, f"x {wide[:-1]}y z"), (4, f"by {near} now")], "doc_id long, text string")
+    frame = lambda label: spark.createDataFrame([(term, label), (wide, label)], "value string, label string")
+    found = lambda rows: {(r["doc_id"], r["text"]) for r in rows.collect()}
+    whole = {(1, term), (2, wide)}
+    assert found(dictionary.deny_list(docs, dictionary.assemble(frame("organization").withColumn("source", F.lit("s"))))) == whole
+    assert found(dictionary.custom_deny_list(docs, frame("x"))) == whole
+    assert found(dictionary.countries(docs, frame("x").selectExpr("value as surface", "label as code"))) == whole
+    terms = dictionary.gazetteer_terms(frame("x").selectExpr("value as canonical", "label", "cast(null as array<string>) as variants"))
+    assert found(dictionary.gazetteer(docs, terms, fuzzy=False)) == whole
+    assert whole | {(3, wide[:-1] + "y"), (4, near)} <= found(dictionary.gazetteer(docs, terms))
+
+
 def test_literal_passages(spark):
     long = "the quick\nbrown fox jumps over the lazy dog"
     passages = {1: long, 2: "two words", 3: "x", 4: "eins zwei drei vier fünf sechs", 5: "漢字漢字漢字", 6: "  a  b \n c d e f", 7: "", 8: None, 9: "😀é", 10: "a b c d e f g"}
