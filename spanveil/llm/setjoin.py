@@ -293,7 +293,7 @@ def tokens_of(docs: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall: float = RECALL, node: int = NODE, block: int = BLOCK) -> DataFrame:
     """docs with class_id, n_links and kept; columns of docs that are named like these are replaced."""
-    docs, _ = identified(docs.drop("class_id", "n_links", "kept"), id_col, text)
+    docs, same_ids = identified(docs.drop("class_id", "n_links", "kept"), id_col, text)
     parts = max(8, 2 * common.scan_parts(docs))
     sig = common.materialize(signatures(docs, runs_for(recall)))
     sets = sig.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -324,4 +324,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall:
     keep = [c for c in docs.columns if c not in ("_id", "_text")]
     joined = docs.drop("_text").join(out, "_id", "left")
     done = joined.select(*keep, "_id", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("class_id") == F.col("_id"), F.lit(True)).alias("kept"))
+    if not same_ids:  # the inner id of a class is that of its first row
+        first = docs.select(F.col("_id").alias("class_id"), F.col(id_col).cast("long").alias("_first"))
+        done = done.join(first, "class_id").select(*keep, "_id", F.col("_first").alias("class_id"), "n_links", "kept")
     return done.drop("_id")

@@ -131,6 +131,17 @@ def test_chat_chains(spark):
     assert {r["tree"]: (r["n_turns"], r["loss_chars"]) for r in out} == {"1": (3, 2), "null": (1, 0), "2": (1, 0)}
 
 
+def test_class_ids_are_document_ids(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(40)) for k in "abcd"}
+    rows = [(70, text["a"]), (50, text["a"]), (50, text["b"]), (None, text["b"]), (90, text["c"]), (-4, text["c"]), (None, text["d"]), (60, "alone")]
+    out = setjoin.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"][0], r["class_id"], r["n_links"], r["kept"]) for r in out)
+    assert got == [
+        (False, -4, "c", -4, 1, True), (False, 50, "a", 50, 1, True), (False, 50, "b", 50, 1, True), (False, 60, "a", 60, 0, True), (False, 70, "a", 50, 1, False), (False, 90, "c", -4, 1, False),
+        (True, 0, "b", 50, 1, False), (True, 0, "d", None, 0, True),
+    ]
+
+
 def mixture(rows, cap=3):
     """Targets by repeated sharing out."""
     size = {}
