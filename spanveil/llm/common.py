@@ -14,6 +14,8 @@ REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Labelled rows that a classifier is fitted on, for each class, at most.
 SAMPLE_PER_CLASS = 2000
+#: Size of the broadcast filters of ids: 2**26 bits, 8 MB.
+FILTER_BITS = 26
 
 
 def ready(spark: SparkSession) -> None:
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:  # unset, as in tests on one machine
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spanveil-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanveil-{uuid.uuid4().hex}"
@@ -63,6 +67,27 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def maybe(df: DataFrame, col: str, ids: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """df with `_maybe`: true for each row whose `col` is in ids (one long column), false for most others.
+
+    A bit filter of a fixed size, 2**bits bits (8 MB), made and read by built-in functions and
+    broadcast whatever the number of ids is. Callers follow it with an exact join, so a full
+    filter costs time and changes no result.
+    """
+
+    def place(c):
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(1 << bits))
+
+    width = 1 << 15  # bits of a row of the filter
+    (name,) = ids.columns
+    rows = ids.select(place(name).alias("p")).groupBy(F.floor(F.col("p") / width).alias("_row")).agg(F.bitmap_construct_agg(F.col("p") % width).alias("_bits"))
+    at = place(f"`{col}`") % width
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    found = df.withColumns({"_row": F.floor(place(f"`{col}`") / width), "_at": at}).join(F.broadcast(rows), "_row", "left")
+    hit = F.coalesce(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) != 0, F.lit(False))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], hit.alias("_maybe"))
+
+
 def scan_parts(df: DataFrame) -> int:
     """Partitions of the plan; it follows the bytes of the input."""
     return max(1, df.rdd.getNumPartitions())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .repeats import identified
+from .repeats import ID, TEXT, identified
 
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCKS = 65536
@@ -163,8 +163,9 @@ def mix(docs: DataFrame, max_repeat: int = 3, blocks: int = BLOCKS, seed: int =
 
 def resampled(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **more) -> DataFrame:
     """docs with each row as often as the mix takes it: its taken words over its size, rounded."""
-    docs, _ = identified(docs.drop("_times", "_copy"), id_col, text)
-    taken = mix(docs, id_col="_id", text="_text", source=source, **more).where("taken > 0")
-    times = taken.select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times")).where("_times > 0")
-    rows = docs.drop("_text").join(times, "_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).drop("_id", "_times", "_copy")
+    names = [f"`{c}`" for c in docs.columns]
+    docs, _ = identified(docs, id_col, text)
+    taken = mix(docs, id_col=ID, text=TEXT, source=source, **more).where("taken > 0")
+    times = taken.select(F.col("doc_id").alias(ID), F.round(F.col("taken") / F.col("size")).cast("int").alias(f"{ID}_n")).where(F.col(f"{ID}_n") > 0)
+    rows = docs.drop(TEXT).join(times, ID)
+    return rows.withColumn(f"{ID}_copy", F.explode(F.sequence(F.lit(1), F.col(f"{ID}_n")))).select(*names)

@@ -39,9 +39,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
+#: Inner columns: the id of a row, and its text.
+ID, TEXT = "_spanveil_id", "_spanveil_text"
+
 MIN = 100
 KMER = 24
 SEGMENT = 1 << 17
@@ -154,7 +158,7 @@ def hot_anchors(docs: DataFrame, minimum: int, kmer: int, one_in: int, at_least:
             h, n = h[n > 1], n[n > 1]
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    some = docs.where(F.pmod(F.xxhash64("_id"), F.lit(one_in)) == 0).select("_text").mapInArrow(run, "h long, n long")
+    some = docs.where(F.pmod(F.xxhash64(ID), F.lit(one_in)) == 0).select(TEXT).mapInArrow(run, "h long, n long")
     top = some.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least).orderBy(F.desc("n"), "h").limit(HOT_MOST)
     return np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(np.uint64))
 
@@ -192,7 +196,7 @@ def map_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, minimum: int, km
         if parts:
             yield flush(parts)
 
-    return docs.select("_id", "_text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select(ID, TEXT).mapInArrow(run, "bucket int, blob binary")
 
 
 def settle(hot: np.ndarray, doc_buckets: int, minimum: int):
@@ -223,7 +227,7 @@ def fetch(hot: np.ndarray, buckets: int, minimum: int):
         p = unpack(blobs["blob"], "place")
         if not len(p["h"]):
             return pd.DataFrame({"bucket": [], "blob": [], "bytes": []})
-        text = {d: t.encode() for d, t in zip(texts["_id"], texts["_text"], strict=True) if t}
+        text = {d: t.encode() for d, t in zip(texts[ID], texts[TEXT], strict=True) if t}
         to = to_buckets(p["h"], p["c"], is_in(p["h"], hot), buckets)
         order = np.lexsort((p["s"], p["doc"], to))
         p, to = {n: v[order] for n, v in p.items()}, to[order]
@@ -357,7 +361,7 @@ def cutter(with_text: bool):
         order = np.argsort(m["doc"], kind="stable")
         m = {n: v[order] for n, v in m.items()}
         rows = []
-        for doc, text in zip(texts["_id"].tolist(), texts["_text"], strict=True):
+        for doc, text in zip(texts[ID].tolist(), texts[TEXT], strict=True):
             data = (text or "").encode()
             lo, hi = np.searchsorted(m["doc"], [doc, doc + 1])
             spans = spans_of(m["s"][lo:hi], m["n"][lo:hi]) if hi > lo else []
@@ -368,21 +372,22 @@ def cutter(with_text: bool):
             rest = b"".join(kept) + data[at:]
             row = (doc, len(data), len(data) - len(rest), len(spans), hashlib.sha256(rest).hexdigest())
             rows.append((*row, rest.decode("utf-8", "ignore")) if with_text else row)
-        return pd.DataFrame(rows, columns=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
+        return pd.DataFrame(rows, columns=[ID, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_text])
 
     return run
 
 
 def identified(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
-    """(docs with _id and _text, whether _id is the id). Ids that are null or repeat are replaced by an order."""
-    docs = docs.drop(*[c for c in ("_id", "_text") if c not in (id_col, text)])
-    ids = docs.select(F.col(id_col).alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    if ids.where("i is null or n > 1 or i < 0").isEmpty():
-        return docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": F.col(text)}), True
-    order = [F.col(id_col).asc_nulls_last(), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)]
+    """(docs with ID and TEXT, whether ID is the id). Ids that aren't whole numbers from 0 on, are null or repeat are replaced by an order."""
+    own = F.col(f"`{id_col}`")
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        ids = docs.select(own.alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+        if ids.where("i is null or n > 1 or i < 0").isEmpty():
+            return docs.withColumns({ID: own.cast("long"), TEXT: F.col(f"`{text}`")}), True
+    order = [own.asc_nulls_last(), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)]
     parts = common.scan_parts(docs)
     sorted_docs = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return common.materialize(sorted_docs.withColumns({"_id": F.monotonically_increasing_id(), "_text": F.col(text)})), False
+    return common.materialize(sorted_docs.withColumns({ID: F.monotonically_increasing_id(), TEXT: F.col(f"`{text}`")})), False
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum: int = MIN, kmer: int = KMER, with_text: bool = False, hot: tuple[int, int] = (HOT_ONE_IN, HOT_AT)) -> DataFrame:
@@ -398,7 +403,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum
     found = map_anchors(docs, busy, buckets, minimum, kmer).groupBy("bucket").applyInPandas(settle(busy, doc_buckets, minimum), OUT)
     settled = common.materialize(found)
     common.release(spark)
-    texts = docs.select("_id", "_text", F.pmod("_id", F.lit(doc_buckets)).cast("int").alias("bucket"))
+    texts = docs.select(ID, TEXT, F.pmod(ID, F.lit(doc_buckets)).cast("int").alias("bucket"))
     contexts = (
         texts.groupBy("bucket")
         .cogroup(settled.where("kind = 'place'").groupBy("bucket"))
@@ -409,9 +414,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum
     marks = settled.where("kind = 'mark'").unionByName(grouped.where("kind = 'mark'"))
     if len(busy):
         marks = marks.unionByName(grouped.where("kind = 'window'").groupBy("bucket").applyInPandas(by_window(doc_buckets, minimum), OUT))
-    schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
+    schema = f"{ID} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
     cut = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cutter(with_text), schema)
-    others = [c for c in docs.columns if c not in (text, "_text", *OUTPUTS)]
-    if others == [id_col, "_id"]:
-        return cut.withColumnRenamed("_id", id_col) if same_ids else docs.select("_id", id_col).join(cut, "_id").drop("_id")
-    return docs.select(*others).join(cut, "_id").drop("_id")
+    others = [c for c in docs.columns if c not in (text, TEXT, *OUTPUTS)]
+    if others == [id_col, ID]:
+        return cut.withColumnRenamed(ID, id_col) if same_ids else docs.select(ID, id_col).join(cut, ID).drop(ID)
+    return docs.select(*others).join(cut, ID).drop(ID)

@@ -8,17 +8,21 @@ run with the recall that `runs_for` aims at. A node with few sets is solved by b
 where it stands; only larger nodes are split further, down to DEPTH tokens.
 
 1. Signatures, one row a document: a digest of the set, a bin sketch, the paths of all runs.
-   Sets that are equal become one class with a count.
-2. Nodes: classes on the same path. Nodes with one class are dropped, large nodes are
-   split into their children. In a node, leaders are compared with all others by sketch,
-   which joins whatever may be similar (generously); each member hands on one tie, never
-   pairs. A node that is still large at the bottom is led in shares, whose leaders meet.
-3. Groups (components of step 2) fetch their sets again and are solved exactly, as products
+   Sets that are equal become one class with a count; one document of each class goes on.
+2. Nodes: classes on the same path. Nodes with one class are dropped, large nodes are split
+   into their children. In a small node all pairs of sketches are compared; a pair that
+   `least_same` lets through is a tie. Ties only say what must be checked together: a node
+   hands on a spanning forest of them, never pairs. A node that is still large at the bottom
+   is led in shares: leaders are compared with all others, then the leaders of the shares.
+3. Groups (components of step 2) read their texts again and are solved exactly, as products
    of set matrices in blocks of BLOCK: each class counts its links (Jaccard >= LAMBDA, by
    integers) and hands on links of a spanning forest. Large groups are dealt as pairs of
    blocks, so that no task holds more than two blocks.
 4. Components of the exact links are the classes of the result.
 
+Only ids, paths and sketches are shuffled before step 3, and there only the sets of grouped
+documents: a fixed-size bit filter of their ids (`common.maybe`) is broadcast to the scan.
+
 The result has one row a document: class_id (smallest id that its links reach), n_links
 (documents linked directly, copies included) and kept (doc_id = class_id).
 
@@ -32,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import components
-from .repeats import identified, mixed
+from .repeats import ID, TEXT, identified, mixed
 
 LAMBDA = (4, 5)
 WORDS = 5
@@ -55,6 +60,8 @@ BLOCK = 2048
 SHARE = 4096
 #: Sketch similarity: under LEAD a member leads, too; over TIE it is tied to the leader.
 LEAD, TIE = 0.45, 0.25
+#: Share of pairs of similarity LAMBDA that the comparison of their sketches may miss.
+MISS = 1e-6
 CACHE = 400_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -100,13 +107,13 @@ def sketch(s: np.ndarray, bins: int = BINS) -> bytes:
 
 
 def children(s: np.ndarray, parents: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(parent, child) for each token that a node chooses: all nodes of a level and all tokens at once."""
+    """(place of the parent, child) for each token that a node chooses: all nodes of a level and all tokens at once."""
     at, token = np.nonzero((s[None, :] ^ parents[:, None]) * (parents[:, None] | np.uint64(1)) * PRIME < limit)
-    return parents[at], mixed((s[token] * GOLD) ^ parents[at])
+    return at.astype(np.uint64), mixed((s[token] * GOLD) ^ parents[at])
 
 
 def paths_of(s: np.ndarray, roots: np.ndarray, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level, (parents, nodes) of the set's chosen paths in all runs."""
+    """For each level, (places of the parents, nodes) of the set's chosen paths in all runs."""
     limit = np.uint64(min(2**64 - 1, int(2**64 * LAMBDA[1] / (LAMBDA[0] * len(s)))))
     out, level = [], roots
     for _ in range(depth):
@@ -117,8 +124,8 @@ def paths_of(s: np.ndarray, roots: np.ndarray, depth: int = DEPTH) -> list[tuple
 
 
 def signatures(docs: DataFrame, runs: int) -> DataFrame:
-    """doc, digest, sketch, and the nodes of each level with their parents: l1, p2, l2, p3, l3 (arrays of long)."""
-    names = ["doc", "digest", "sketch"] + [f"{c}{k}" for k in range(1, DEPTH + 1) for c in ("p", "l")]
+    """doc, digest, sketch, and the nodes of each level (l1, l2, l3) with the places of their parents in the level above (p2, p3)."""
+    names = ["doc", "digest", "sketch", "l1"] + [f"{c}{k}" for k in range(2, DEPTH + 1) for c in ("p", "l")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, roots = WordIds(), mixed(np.arange(1, runs + 1, dtype=np.uint64) * GOLD)
@@ -135,13 +142,41 @@ def signatures(docs: DataFrame, runs: int) -> DataFrame:
                 cols = [pa.array([h[i] for h in heads], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))]
                 for k in range(DEPTH):
                     offsets = pa.array(np.concatenate([[0], np.cumsum([len(x[k][1]) for x in levels])]).astype(np.int32))
-                    for side in (0, 1):
-                        flat = np.concatenate([x[k][side] for x in levels]) if levels else np.zeros(0, np.uint64)
-                        cols.append(pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64))))
+                    for side, kind in ((0, np.int32), (1, np.int64)):
+                        if k or side:
+                            flat = np.concatenate([x[k][side] for x in levels]) if levels else np.zeros(0, np.uint64)
+                            cols.append(pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64).astype(kind))))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    arrays = ", ".join(f"{n} array<long>" for n in names[3:])
-    return docs.select("_id", "_text").mapInArrow(run, f"doc long, digest binary, sketch binary, {arrays}").drop("p1")
+    arrays = ", ".join(f"{n} array<{'int' if n[0] == 'p' else 'long'}>" for n in names[3:])
+    return docs.select(ID, TEXT).mapInArrow(run, f"doc long, digest binary, sketch binary, {arrays}")
+
+
+@lru_cache
+def least_same(miss: float = MISS, bins: int = BINS) -> np.ndarray:
+    """For each number of bins that either set fills: equal ones that a pair of similarity LAMBDA has but for `miss` of such pairs."""
+    p, out = LAMBDA[0] / LAMBDA[1], [0]
+    for k in range(1, bins + 1):
+        below, s = 0.0, 0
+        while (below := below + math.comb(k, s) * p**s * (1 - p) ** (k - s)) <= miss:
+            s += 1
+        out.append(s)
+    return np.array(out)
+
+
+def brute(sketches: np.ndarray) -> np.ndarray:
+    """For each member of a small node the first member that its ties reach: all pairs of sketches are compared."""
+    n, least = len(sketches), least_same()
+    filled = sketches != 0
+    tied_to = np.arange(n)
+    for i in range(1, n):
+        same = ((sketches[:i] == sketches[i]) & filled[i]).sum(1)
+        meet = np.unique(tied_to[:i][same >= least[(filled[:i] | filled[i]).sum(1)]])
+        if len(meet):
+            tied_to[i] = meet[0]
+            if len(meet) > 1:
+                tied_to[: i + 1][np.isin(tied_to[: i + 1], meet)] = meet[0]
+    return tied_to
 
 
 def lead(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +205,7 @@ def lead(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tied_to, np.array(leaders)
 
 
-def ties(nodes: DataFrame, parts: int) -> DataFrame:
+def ties(nodes: DataFrame, parts: int, limit: int = NODE) -> DataFrame:
     """(node, a, b) from nodes (node, doc, sketch, shares): ties (a != b; node is 0), and the leaders (a = b) of nodes in several shares."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,7 +216,7 @@ def ties(nodes: DataFrame, parts: int) -> DataFrame:
         cuts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (share[1:] != share[:-1])))
         at, a, b = [], [], []
         for lo, hi in zip(cuts.tolist(), np.append(cuts[1:], len(node)).tolist(), strict=True):
-            tied_to, leaders = lead(sk[lo:hi])
+            tied_to, leaders = lead(sk[lo:hi]) if many[lo] or hi - lo > limit else (brute(sk[lo:hi]), None)
             m = np.flatnonzero(tied_to != np.arange(hi - lo))
             a.append(doc[lo:hi][m])
             b.append(doc[lo:hi][tied_to[m]])
@@ -197,17 +232,25 @@ def ties(nodes: DataFrame, parts: int) -> DataFrame:
     return dealt.withColumn("part", F.pmod(F.xxhash64("node", "share"), F.lit(parts)).cast("int")).groupBy("part").applyInPandas(run, "node long, a long, b long")
 
 
-def all_ties(nodes: DataFrame, sig: DataFrame, parts: int) -> DataFrame:
+def sketched(nodes: DataFrame, sig: DataFrame) -> DataFrame:
+    """nodes with the sketches of their documents, by a merge join at every size: both sides grow with the corpus."""
+    return nodes.join(sig.select("doc", "sketch").hint("merge"), "doc")
+
+
+def all_ties(nodes: DataFrame, sig: DataFrame, parts: int, limit: int = NODE) -> DataFrame:
     """(a, b) of all nodes. Shares of a large node are led apart, then their leaders meet."""
-    first = common.materialize(ties(nodes, parts))
-    heads = first.where("a = b").select("node", F.col("a").alias("doc")).join(sig.select("doc", "sketch"), "doc").withColumn("shares", F.lit(1))
-    again = common.materialize(ties(heads, parts))
+    first = common.materialize(ties(sketched(nodes, sig), parts, limit))
+    heads = first.where("a = b").select("node", F.col("a").alias("doc")).withColumn("shares", F.lit(1))
+    again = common.materialize(ties(sketched(heads, sig), parts, limit))
     return first.select("a", "b").unionByName(again.select("a", "b")).where("a != b")
 
 
-def nodes_of(sig: DataFrame, limit: int = NODE, depth: int = DEPTH) -> DataFrame:
-    """(node, doc, sketch, shares): the nodes to solve. A large node is split into its children, down to `depth`."""
-    rows = sig.select("doc", F.explode("l1").alias("node"))
+def nodes_of(reps: DataFrame, limit: int = NODE, depth: int = DEPTH) -> DataFrame:
+    """(node, doc, shares): the nodes to solve. A large node is split into its children, down to `depth`.
+
+    Nodes with one class, most of all nodes, are dropped before anything is joined.
+    """
+    rows = reps.select("doc", F.explode("l1").alias("node"))
     solve = None
     for level in range(1, depth + 1):
         counts = common.materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -220,10 +263,10 @@ def nodes_of(sig: DataFrame, limit: int = NODE, depth: int = DEPTH) -> DataFrame
         large = counts.where(F.col("n") > limit).select(F.col("node").alias("parent"))
         if large.isEmpty():
             break
-        inside = rows.join(large.withColumnRenamed("parent", "node"), "node", "left_semi").select("doc").distinct()
-        pairs = F.explode(F.arrays_zip(F.col(f"p{level + 1}").alias("parent"), F.col(f"l{level + 1}").alias("node"))).alias("x")
-        rows = common.materialize(sig.join(inside, "doc", "left_semi").select("doc", pairs).select("doc", "x.parent", "x.node").join(large, "parent").select("doc", "node"))
-    return solve.distinct().join(sig.select("doc", "sketch"), "doc")
+        above, below = F.col(f"l{level}"), F.arrays_zip(F.col(f"p{level + 1}").alias("p"), F.col(f"l{level + 1}").alias("node"))
+        down = reps.select("doc", F.explode(F.transform(below, lambda x: F.struct(F.get(above, x["p"]).alias("parent"), x["node"].alias("node")))).alias("x"))
+        rows = common.materialize(down.select("doc", "x.parent", "x.node").join(large, "parent").select("doc", "node"))
+    return solve
 
 
 def block_links(sets: list[np.ndarray], rows: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -278,7 +321,7 @@ def solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """docs (with _id and _text) with `set`: the shingles, 8 bytes each."""
+    """(doc, set) of docs: the shingles, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = WordIds()
@@ -288,43 +331,63 @@ def tokens_of(docs: DataFrame) -> DataFrame:
                 sets = [shingles(t, ids).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["doc", "set"])
 
-    return docs.select("_id", "_text").mapInArrow(run, "doc long, set binary")
+    return docs.select(ID, TEXT).mapInArrow(run, "doc long, set binary")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", recall: float = RECALL, node: int = NODE, block: int = BLOCK) -> DataFrame:
-    """docs with class_id, n_links and kept; columns of docs that are named like these are replaced."""
-    docs, same_ids = identified(docs.drop("class_id", "n_links", "kept"), id_col, text)
+def links(docs: DataFrame, recall: float = RECALL, node: int = NODE, block: int = BLOCK) -> DataFrame:
+    """(doc, class_id, n) of the documents with a link, from identified docs; class_id is an inner id."""
     parts = max(8, 2 * common.scan_parts(docs))
     sig = common.materialize(signatures(docs, runs_for(recall)))
-    sets = sig.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    member = common.materialize(sig.select("doc", "digest").join(sets, "digest").select("doc", "rep", "copies"))
-    reps = sig.join(member.where("doc = rep").select("doc"), "doc", "left_semi")
-    found = all_ties(nodes_of(reps, node), sig, parts)
-    common.release(docs.sparkSession)
+    # Equal sets. The table of them is written, so that the join is free to split a hot digest.
+    equal = common.materialize(sig.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copied = common.materialize(sig.select("doc", "digest").join(equal, "digest").select("doc", "rep", "copies"))
+    followers = copied.where("doc != rep")
+    reps = sig.join(followers.select("doc"), "doc", "left_anti")
+    found = all_ties(nodes_of(reps, node), sig, parts, node)
     groups = components(found).withColumnRenamed("v", "doc").withColumnRenamed("component", "grp")
+    common.drop(docs.sparkSession, sig)
+    common.release(docs.sparkSession)
     blocks = F.ceil(F.col("m") / block).cast("int")
     sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp").withColumn("blocks", blocks)
-    placed = common.materialize(
-        sized.join(member.where("doc = rep").select("doc", "copies"), "doc").select("doc", "copies", "grp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("own"))
-    )
-    # A merge join at every size: the list of grouped classes grows with the corpus, so it isn't broadcast.
-    grouped = docs.join(placed.select(F.col("doc").alias("_id")).hint("merge"), "_id", "left_semi")
-    with_sets = placed.join(tokens_of(grouped), "doc")
+    copies = sized.join(copied.where("doc = rep").select("doc", "copies"), "doc", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    placed = common.materialize(copies.select("doc", "copies", "grp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("own")))
+    near = common.maybe(docs.select(ID, TEXT), ID, placed.select("doc")).where("_maybe").drop("_maybe")
+    with_sets = placed.join(tokens_of(near), "doc")
     pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = pairs.select("doc", "copies", "set", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     solved = common.materialize(task.groupBy("grp", "i", "j").applyInPandas(solve, "doc long, n long, top long"))
     common.release(docs.sparkSession)
     exact = components(solved.where("doc != top"), "doc", "top").withColumnRenamed("v", "rep").withColumnRenamed("component", "class_id")
     counts = solved.groupBy(F.col("doc").alias("rep")).agg(F.sum("n").alias("n"))
-    out = (
-        member.join(counts, "rep", "left")
-        .join(exact, "rep", "left")
-        .select(F.col("doc").alias("_id"), F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    )
-    keep = [c for c in docs.columns if c not in ("_id", "_text")]
-    joined = docs.drop("_text").join(out, "_id", "left")
-    done = joined.select(*keep, "_id", F.coalesce("class_id", "_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce(F.col("class_id") == F.col("_id"), F.lit(True)).alias("kept"))
-    if not same_ids:  # the inner id of a class is that of its first row
-        first = docs.select(F.col("_id").alias("class_id"), F.col(id_col).cast("long").alias("_first"))
-        done = done.join(first, "class_id").select(*keep, "_id", F.col("_first").alias("class_id"), "n_links", "kept")
-    return done.drop("_id")
+    known = copied.where("doc = rep").select("rep", "copies").join(counts, "rep", "full").join(exact, "rep", "left")
+    known = common.materialize(known.select("rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n")))
+    after = followers.select("doc", "rep").join(known, "rep").select("doc", "class_id", "n")
+    return common.materialize(known.select(F.col("rep").alias("doc"), "class_id", "n").unionByName(after).where("n > 0"))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """docs with class_id, n_links and kept; columns of docs that are named like these are replaced."""
+    docs, same_ids = identified(docs.drop("class_id", "n_links", "kept"), id_col, text)
+    out = links(docs, **more).select(F.col("doc").alias(ID), F.col("class_id").alias("_class"), "n")
+    keep = [f"`{c}`" for c in docs.columns if c not in (ID, TEXT)]
+    done = docs.drop(TEXT).join(out, ID, "left").withColumn("_class", F.coalesce("_class", ID))
+    if same_ids:
+        class_id = F.col("_class").cast(docs.schema[id_col].dataType)
+    else:  # the inner id of a class is that of its first row
+        done = done.join(docs.select(F.col(ID).alias("_class"), F.col(id_col).alias("_first")), "_class")
+        class_id = F.col("_first")
+    return done.select(*keep, class_id.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), (F.col("_class") == F.col(ID)).alias("kept"))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """The rows of docs that linked() keeps, with the columns of docs as they are.
+
+    Rows that the bit filter of dropped ids lets through stay where they are; only the others are joined.
+    """
+    names = [f"`{c}`" for c in docs.columns]
+    docs, _ = identified(docs, id_col, text)
+    gone = links(docs, **more).where("doc != class_id").select("doc")
+    seen = common.maybe(docs, ID, gone)
+    sure = seen.where("not _maybe").select(*names)
+    rest = seen.where("_maybe").join(gone.select(F.col("doc").alias(ID)), ID, "left_anti").select(*names)
+    return sure.unionAll(rest)
