@@ -78,18 +78,24 @@ def targets(sources: DataFrame, max_repeat: int = 3, cycle: int = 3) -> DataFram
 def apportion(parties: DataFrame, group: list[str], key: list[str], votes: str, seats: str, out: str) -> DataFrame:
     """Sainte-Lague: `seats` of each group go to its parties by the highest quotients.
 
-    No seat count differs from its exact share by more than the number of parties of the
-    group (rounding all shares misses the total by half that at most, and closing the gap
-    moves every party the same way), so only the quotients in that range compete.
+    With V votes, S seats and n parties, the seats are the rounded votes / D for some divisor
+    D. Rounding all shares misses the total by n / 2 at most, so V / D lies within n / 2 + 1
+    of S, which bounds the seats of a party from both sides by its own votes. Only the
+    quotients between the bounds compete: 5 n of them at most in all, not n for each party.
     """
     of = Window.partitionBy(*group)
-    n = F.count(F.lit(1)).over(of)
-    share = F.when(F.sum(votes).over(of) > 0, F.col(votes) * F.col(seats) / F.sum(votes).over(of)).otherwise(F.lit(0.0))
-    base = parties.withColumn("_n", n).withColumn("_base", F.greatest(F.lit(0), F.floor(share).cast("long") - F.col("_n")))
+    base = parties.withColumns({"_n": F.count(F.lit(1)).over(of), "_votes": F.sum(votes).over(of)})
+
+    def bound(total):
+        share = F.when(F.col("_votes") > 0, F.col(votes) * total / F.col("_votes")).otherwise(F.lit(0.0))
+        return F.floor(share + 0.5).cast("long")
+
+    slack = F.col("_n") / 2 + 1
+    base = base.withColumn("_base", F.greatest(F.lit(0).cast("long"), bound(F.col(seats) - slack) - 1)).withColumn("_top", bound(F.col(seats) + slack) + 1)
     base = base.withColumn("_left", F.col(seats) - F.sum("_base").over(of))
     rank = Window.partitionBy(*group).orderBy(F.col("_q").desc(), *[F.col(k).asc_nulls_last() for k in key])
     won = (
-        base.withColumn("_k", F.explode(F.sequence(F.col("_base"), F.col("_base") + 2 * F.col("_n") + 1)))
+        base.withColumn("_k", F.explode(F.sequence(F.col("_base"), F.col("_top"))))
         .withColumn("_q", F.col(votes) / (2 * F.col("_k") + 1))
         .withColumn("_won", ((F.row_number().over(rank) <= F.col("_left")) & (F.col(votes) > 0)).cast("long"))
     )
