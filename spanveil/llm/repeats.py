@@ -384,7 +384,9 @@ def identified(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool
         ids = docs.select(own.alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("n"))
         if ids.where("i is null or n > 1 or i < 0").isEmpty():
             return docs.withColumns({ID: own.cast("long"), TEXT: F.col(f"`{text}`")}), True
-    order = [own.asc_nulls_last(), F.sha2(F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary"), 256)]
+    is_text = isinstance(docs.schema[text].dataType, T.StringType)
+    content = F.col(f"`{text}`") if is_text else F.to_json(F.struct(F.col(f"`{text}`")))
+    order = [own.asc_nulls_last(), F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)]
     parts = common.scan_parts(docs)
     sorted_docs = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return common.materialize(sorted_docs.withColumns({ID: F.monotonically_increasing_id(), TEXT: F.col(f"`{text}`")})), False

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import classes, components, with_classes
 from .repeats import ID, TEXT, identified, mixed
 
 LAMBDA = (4, 5)
@@ -241,6 +241,8 @@ def all_ties(nodes: DataFrame, sig: DataFrame, parts: int, limit: int = NODE) ->
     """(a, b) of all nodes. Shares of a large node are led apart, then their leaders meet."""
     first = common.materialize(ties(sketched(nodes, sig), parts, limit))
     heads = first.where("a = b").select("node", F.col("a").alias("doc")).withColumn("shares", F.lit(1))
+    if heads.isEmpty():
+        return first.select("a", "b")
     again = common.materialize(ties(sketched(heads, sig), parts, limit))
     return first.select("a", "b").unionByName(again.select("a", "b")).where("a != b")
 
@@ -357,26 +359,15 @@ def links(docs: DataFrame, recall: float = RECALL, node: int = NODE, block: int
     task = pairs.select("doc", "copies", "set", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     solved = common.materialize(task.groupBy("grp", "i", "j").applyInPandas(solve, "doc long, n long, top long"))
     common.release(docs.sparkSession)
-    exact = components(solved.where("doc != top"), "doc", "top").withColumnRenamed("v", "rep").withColumnRenamed("component", "class_id")
-    counts = solved.groupBy(F.col("doc").alias("rep")).agg(F.sum("n").alias("n"))
-    known = copied.where("doc = rep").select("rep", "copies").join(counts, "rep", "full").join(exact, "rep", "left")
-    known = common.materialize(known.select("rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n")))
-    after = followers.select("doc", "rep").join(known, "rep").select("doc", "class_id", "n")
-    return common.materialize(known.select(F.col("rep").alias("doc"), "class_id", "n").unionByName(after).where("n > 0"))
+    return classes(solved, copied)
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
     """docs with class_id, n_links and kept; columns of docs that are named like these are replaced."""
     docs, same_ids = identified(docs.drop("class_id", "n_links", "kept"), id_col, text)
-    out = links(docs, **more).select(F.col("doc").alias(ID), F.col("class_id").alias("_class"), "n")
     keep = [f"`{c}`" for c in docs.columns if c not in (ID, TEXT)]
-    done = docs.drop(TEXT).join(out, ID, "left").withColumn("_class", F.coalesce("_class", ID))
-    if same_ids:
-        class_id = F.col("_class").cast(docs.schema[id_col].dataType)
-    else:  # the inner id of a class is that of its first row
-        done = done.join(docs.select(F.col(ID).alias("_class"), F.col(id_col).alias("_first")), "_class")
-        class_id = F.col("_first")
-    return done.select(*keep, class_id.alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), (F.col("_class") == F.col(ID)).alias("kept"))
+    done = with_classes(docs.drop(TEXT), links(docs, **more), ID, id_col, same_ids)
+    return done.select(*keep, F.col("_class").alias("class_id"), F.col("_links").alias("n_links"), F.col("_kept").alias("kept"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
@@ -386,7 +377,7 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     names = [f"`{c}`" for c in docs.columns]
     docs, _ = identified(docs, id_col, text)
-    gone = links(docs, **more).where("doc != class_id").select("doc")
+    gone = common.materialize(links(docs, **more).where("doc != class_id").select("doc"))
     seen = common.maybe(docs, ID, gone)
     sure = seen.where("not _maybe").select(*names)
     rest = seen.where("_maybe").join(gone.select(F.col("doc").alias(ID)), ID, "left_anti").select(*names)
