@@ -32,6 +32,37 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Matches that one step of a running sum takes; arrays grow by steps, so that their copies stay linear.
+STEP = 64
+
+
+def running(items: Column, kind: T.DataType, size, emit, keep) -> Column:
+    """array of emit(at, item) over items that keep(item) wants, where `at` is the sum of size() of the items before.
+
+    A fold that appends to its array copies it for each item. Here a fold over steps of STEP
+    items appends whole arrays, and a fold inside each step starts with an empty one.
+    """
+    none = F.array().cast(T.ArrayType(kind))
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        out = F.when(keep(x), F.concat(acc["out"], F.array(emit(acc["at"], x)))).otherwise(acc["out"])
+        return F.struct((acc["at"] + size(x)).alias("at"), out.alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(T.ArrayType(kind))).alias("out"))
+
+    def step(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, start(acc["at"]), one)
+        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+
+    def fold(all_: Column) -> Column:
+        steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int")), lambda k: F.slice(all_, k * STEP + 1, STEP))
+        many = F.aggregate(steps, begin, step, lambda acc: F.flatten(acc["out"]))
+        return F.when(F.size(all_) <= STEP, F.aggregate(all_, start(F.lit(0)), one, lambda acc: acc["out"])).otherwise(many)
+
+    return F.transform(F.array(items), fold)[0]  # a variable: what makes the items is evaluated once
+
+
 def spans(text: str | Column, pattern: str, when: Column | None = None) -> Column:
     """array<struct<start,end,value>> of all matches of a pattern that never matches nothing.
 
@@ -41,18 +72,10 @@ def spans(text: str | Column, pattern: str, when: Column | None = None) -> Colum
     t = col(text)
     values = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     gaps = F.split(t, pattern, -1)
-    start0 = F.aggregate(
-        F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("g"), v.alias("v"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(SPAN)).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + F.coalesce(F.length(x["v"]), F.lit(0))).alias("at"),
-            F.when(x["v"].isNull(), acc["out"])
-            .otherwise(F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("start"), (acc["at"] + x["g"] + F.length(x["v"])).alias("end"), x["v"].alias("value")))))
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    found = F.when(t.isNull() | ~t.rlike(pattern), F.array().cast(T.ArrayType(SPAN))).otherwise(start0)
+    pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("g"), F.coalesce(F.length(v), F.lit(0)).alias("n"), v.alias("v")))
+    emit = lambda at, x: F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["v"].alias("value"))
+    placed = running(pairs, SPAN, lambda x: x["g"] + x["n"], emit, lambda x: x["v"].isNotNull())
+    found = F.when(t.isNull() | ~t.rlike(pattern), F.array().cast(T.ArrayType(SPAN))).otherwise(placed)
     return F.when(when, found).otherwise(F.array().cast(T.ArrayType(SPAN))) if when is not None else found
 
 

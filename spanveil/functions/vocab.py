@@ -1,4 +1,4 @@
-"""Fixed word lists of the sequential detectors, by language. Callers can pass their own."""
+"""Word lists of the sequential detectors, our own, by language. Callers can pass others."""
 
 from __future__ import annotations
 
@@ -26,38 +26,40 @@ TITLES = "Mr Mr. Mrs Mrs. Ms Ms. Dr Dr. Prof Prof. Sir Lady Lord Judge Justice M
 FIRST_NAMES = "Alice Anna Anne Carlos Charles Claire Daniel David Elena Emma Eva František George Hans Jan Jana Jean Johann John José Juan Julia Karel Laura Lucas Ludwig Maria Marie Martin Mary Michael Miguel Nicolas Paul Petr Peter Pierre Robert Sarah Sophie Thomas William".split()
 SURNAMES = "Brown Davis Dupont Dvořák Evans Fischer García Johnson Jones López Martin Meyer Miller Moreau Müller Novák Nováková Roberts Schmidt Schneider Smith Svoboda Taylor Weber Williams Wilson".split()
 PARTICLES = "von van de der den da di du del la le bin ibn al".split()
-PERSON_STOP = "agreement article section the this that company party seller buyer lender borrower court state bank annex schedule".split()
-ROLES = "borrower lender seller buyer tenant landlord employer employee contractor client customer supplier licensor licensee plaintiff defendant party parties company verkäufer käufer vendeur acheteur vendedor comprador prodávající kupující".split()
-STREETS = "Street St. Avenue Ave. Road Rd. Lane Drive Square Boulevard Blvd. Court Place Highway Straße Strasse Allee Platz Weg Gasse rue avenue boulevard place calle avenida plaza via piazza ulice náměstí třída".split()
+#: Nouns of documents that a capitalised line can hold but no person's name ends in.
+PERSON_STOP = "appendix attachment bill chapter clause contract deed exhibit invoice letter memorandum notice page paragraph receipt report statute table title undersigned warranty agreement article section schedule annex court bank company party state".split()
+#: Parties that documents name by what they do.
+ROLES = "agent applicant assignee assignor auditor beneficiary buyer client company consultant contractor creditor customer debtor defendant distributor donor employee employer guarantor heir insured insurer issuer landlord lender lessee lessor licensee licensor owner parties party payee payer plaintiff principal provider purchaser seller shareholder subcontractor supplier tenant trustee arbeitgeber arbeitnehmer auftraggeber auftragnehmer käufer mieter vermieter verkäufer acheteur bailleur locataire vendeur arrendador comprador vendedor kupující nájemce objednatel prodávající zhotovitel".split()
+STREETS = "Alley Ave. Avenue Blvd. Boulevard Close Court Crescent Drive Highway Lane Parkway Place Quay Rd. Road Row Square St. Street Terrace Way Allee Gasse Platz Ring Strasse Straße Ufer Weg avenue boulevard chemin impasse place quai route rue avenida calle camino carrera paseo plaza corso piazza strada via viale náměstí nábřeží třída ulice aleja plac ulica".split()
 STREET_ENDINGS = ("straße", "strasse", "gasse", "allee", "platz", "weg")
 CITIES = "Amsterdam Barcelona Berlin Bratislava Brno Brussels Chicago Dublin Frankfurt Geneva Hamburg Lisbon London Lyon Madrid Milano München Munich Paris Praha Prague Roma Vienna Warszawa Wien Zürich Boston Houston Seattle".split()
 STATES = "AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY".split()
 COUNTRIES = "Austria Belgium Canada Czechia France Germany Ireland Italy Netherlands Poland Portugal Slovakia Spain Sweden Switzerland".split()
 SURNAMES_HAN = "王 李 张 刘 陈 杨 黄 赵 吴 周 徐 孙 马 朱 胡 郭 何 林 高 罗".split()
 
-#: (cues, label, strategy, parameters, validations). Strategies: comma, line, words, id, address, pattern.
+#: Cue phrases, our own: (cues, label, strategy, parameters, validations). Strategies: comma, line, words, id, address, pattern.
 TRIGGERS = [
-    (["represented by", "vertreten durch", "zastoupená", "zastoupený", "représentée par", "rappresentata da", "representada por"], "person", "comma", {"most": 80}, ["upper"]),
-    (["born on", "geboren am", "narozen dne", "né le", "née le", "nato il"], "date of birth", "words", {"n": 4}, ["digit"]),
-    (["residing at", "resident of", "domiciled at", "wohnhaft in", "bytem", "demeurant", "domiciliado en", "residente in"], "address", "address", {"most": 120}, ["upper"]),
-    (["registration number", "company number", "company id", "Handelsregisternummer", "IČO", "KvK"], "registration number", "id", {}, ["digit"]),
-    (["VAT number", "VAT ID", "tax identification number", "tax id", "USt-IdNr.", "DIČ", "Steuernummer", "NIF", "P.IVA"], "tax identification number", "id", {}, ["digit"]),
-    (["passport number", "passport no.", "Reisepassnummer"], "passport number", "id", {}, ["digit"]),
-    (["account number", "Kontonummer", "číslo účtu", "bank account"], "bank account number", "id", {}, ["digit"]),
-    (["case number", "case no.", "Aktenzeichen", "sp. zn."], "case number", "line", {"most": 40}, ["digit"]),
-    (["phone:", "tel.:", "telephone:", "Telefon:", "fax:", "mobile:"], "phone number", "pattern", {"re": r"[+(]?[0-9][0-9 ()./-]{4,24}[0-9]"}, ["phone"]),
-    (["date of birth:", "Geburtsdatum:", "DOB:"], "date of birth", "line", {"most": 30}, ["digit"]),
+    (["acting through", "in the person of", "on behalf of whom signs", "signing for it", "represented by", "im Namen handelnd", "vertreten von", "jednající", "za niž jedná", "agissant par", "représenté par", "en la persona de", "representado por"], "person", "comma", {"most": 80}, ["upper"]),
+    (["born on", "was born", "birth date", "geboren am", "geb. am", "narozena dne", "narozen dne", "né le", "née le", "nacido el", "nacida el", "nato il", "nata il"], "date of birth", "words", {"n": 4}, ["digit"]),
+    (["residing at", "resides at", "living at", "home address", "postal address", "wohnhaft in", "Anschrift", "trvale bytem", "bydliště", "demeurant", "domicilié", "con domicilio en", "residente in"], "address", "address", {"most": 120}, ["upper"]),
+    (["registered under number", "registry number", "registration no.", "registration number", "company number", "HRB", "IČO", "SIREN", "KRS", "KvK"], "registration number", "id", {}, ["digit"]),
+    (["VAT no.", "VAT number", "taxpayer number", "tax number", "tax id", "USt-IdNr.", "Steuernummer", "DIČ", "N° TVA", "NIF", "P.IVA"], "tax identification number", "id", {}, ["digit"]),
+    (["passport no.", "passport number", "Reisepass Nr.", "Reisepassnummer", "číslo pasu", "numéro de passeport", "número de pasaporte"], "passport number", "id", {}, ["digit"]),
+    (["account no.", "account number", "bank account", "Kontonummer", "Konto-Nr.", "číslo účtu", "numéro de compte", "número de cuenta"], "bank account number", "id", {}, ["digit"]),
+    (["docket no.", "case no.", "case number", "file reference", "Aktenzeichen", "Geschäftszeichen", "sp. zn.", "n° de dossier"], "case number", "line", {"most": 40}, ["digit"]),
+    (["call us:", "cell:", "fax:", "mobile:", "phone:", "tel.:", "telephone:", "Telefon:", "téléphone:", "teléfono:"], "phone number", "pattern", {"re": r"[+(]?[0-9][0-9 ()./-]{4,24}[0-9]"}, ["phone"]),
+    (["date of birth:", "DOB:", "Geburtsdatum:", "datum narození:", "date de naissance:", "fecha de nacimiento:"], "date of birth", "line", {"most": 30}, ["digit"]),
 ]
 
-#: (hotwords, labels, score change, reach before, reach after, new label or None). Fixed values.
+#: Words that speak for a label near by, our own: (words, labels, score change, reach before, reach after, new label or None).
 HOTWORDS = [
-    (["rodné číslo", "birth number", "Geburtsnummer"], ["birth number"], 0.25, 60, 60, None),
-    (["narozen", "geboren", "born", "née"], ["date"], 0.15, 60, 60, "date of birth"),
-    (["IČO", "company number", "Handelsregister"], ["registration number"], 0.2, 60, 60, None),
-    (["DIČ", "tax ID", "Steuernummer", "VAT"], ["tax identification number"], 0.2, 60, 60, None),
-    (["tel.", "telefon", "phone", "mobil", "fax", "Handy"], ["phone number"], 0.15, 60, 60, None),
-    (["bank account", "IBAN", "číslo účtu"], ["bank account number", "iban"], 0.15, 60, 60, None),
-    (["e-mail", "email", "pec"], ["email address"], 0.1, 60, 60, None),
-    (["adresa", "sídlo", "bytem", "Adresse", "address", "indirizzo"], ["address"], 0.15, 80, 150, None),
-    (["jednatel", "ředitel", "Geschäftsführer", "director"], ["person"], 0.1, 60, 60, None),
+    (["mailbox", "write to", "inbox", "Postfach", "schránka", "courriel", "correo"], ["email address"], 0.1, 60, 60, None),
+    (["dial", "ring", "hotline", "switchboard", "Rufnummer", "volejte", "appelez", "llame"], ["phone number"], 0.15, 60, 60, None),
+    (["birthday", "birthplace", "Geburtstag", "narození", "naissance", "nacimiento"], ["date"], 0.15, 60, 60, "date of birth"),
+    (["personal number", "Personenkennzahl", "rodné č.", "PESEL"], ["birth number"], 0.25, 60, 60, None),
+    (["commercial register", "companies house", "Firmenbuch", "obchodní rejstřík", "registre du commerce", "registro mercantil"], ["registration number"], 0.2, 60, 60, None),
+    (["revenue office", "taxpayer", "Finanzamt", "finanční úřad", "fisc", "hacienda"], ["tax identification number"], 0.2, 60, 60, None),
+    (["payable to", "beneficiary account", "Überweisung", "bankovní spojení", "virement", "transferencia", "SWIFT"], ["bank account number", "iban"], 0.15, 60, 60, None),
+    (["premises", "located at", "headquarters", "Niederlassung", "provozovna", "siège", "sede"], ["address"], 0.15, 80, 120, None),
+    (["chairman", "managing partner", "notary", "Vorstand", "Prokurist", "statutární orgán", "gérant", "apoderado"], ["person"], 0.1, 60, 60, None),
 ]

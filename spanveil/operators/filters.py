@@ -7,6 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import spans as S
+
+LINE = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("l", T.StringType())])
 
 #: Sources by priority, the higher the stronger. Fixed values.
 PRIORITY = {"gazetteer": 5, "trigger": 4, "legal-form": 3, "regex": 3, "country": 3, "deny-list": 2, "coreference": 2, "caller": 1, "ner": 1}
@@ -62,7 +67,7 @@ def zones(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFr
     before the heading cancels the header.
     """
     lines = F.split(F.col(text), "\n", -1)
-    at = F.aggregate(lines, F.struct(F.lit(0).alias("p"), F.array().cast("array<struct<a:int,b:int,l:string>>").alias("o")), lambda s, x: F.struct((s["p"] + F.length(x) + 1).alias("p"), F.concat(s["o"], F.array(F.struct(s["p"].alias("a"), (s["p"] + F.length(x)).alias("b"), x.alias("l")))).alias("o")), lambda s: s["o"])
+    at = S.running(lines, LINE, lambda x: F.length(x) + 1, lambda p, x: F.struct(p.alias("a"), (p + F.length(x)).alias("b"), x.alias("l")), lambda _: F.lit(True))
     placed = docs.select(F.col(id_col).alias("doc_id"), at.alias("ls"))
     signs = F.filter("ls", lambda x: x["l"].rlike(SIGNING))
     last = F.try_element_at(F.transform(signs, lambda x: x["a"]), F.lit(-1))

@@ -85,14 +85,15 @@ BY_ID = {r.rule_id: r for r in RULES}
 
 
 def matches(text: Column, rule: Rule) -> Column:
-    """Spans of one rule: scan, cut the cue, validate, check the length."""
+    """Spans of one rule with the number k of the match before it is validated: scan, cut the cue, validate, check the length."""
     when = F.contains(text, F.lit(rule.needs)) if rule.needs else text.rlike("[0-9]") if rule.digit else None
-    found = S.spans(text, rule.pattern, when)
+    number = lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), i.cast("int").alias("k"))
+    found = F.transform(S.spans(text, rule.pattern, when), number)
     if rule.cue:
 
         def value(s: Column) -> Column:
             cut = F.regexp_replace(s["value"], rule.cue, "")
-            return F.struct((s["end"] - F.length(cut)).alias("start"), s["end"].alias("end"), cut.alias("value"))
+            return F.struct((s["end"] - F.length(cut)).alias("start"), s["end"].alias("end"), cut.alias("value"), s["k"].alias("k"))
 
         found = F.transform(found, value)
     if rule.validator:
@@ -110,8 +111,8 @@ def spread(docs: DataFrame) -> DataFrame:
 
 def numbered(found: Column, rule: Rule, place: int) -> Column:
     """Matches of the rule at a place of the catalogue, with what entities carry."""
-    seq = lambda i: (F.lit(place * (1 << 20)) + i).cast("long").alias("seq")
-    return F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score"), F.lit(rule.rule_id).alias("rule_id"), seq(i)))
+    seq = lambda k: (F.lit(place * (1 << 20)).cast("long") + k).alias("seq")
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score"), F.lit(rule.rule_id).alias("rule_id"), seq(s["k"])))
 
 
 def detect(docs: DataFrame, rules: list[Rule] | None = None, labels: list[str] | None = None, id_col: str = "doc_id", text: str = "text", groups: int = 8) -> DataFrame:
