@@ -8,6 +8,7 @@ once, all detectors run on it, nothing is shuffled. Offsets are code points.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -41,15 +42,57 @@ def entity(text: str, start: int, end: int, label: str, score: float, source: st
     return Entity(start, end, label, text[start:end], score, source, **more)
 
 
-def any_of(words: list[str]) -> str:
+@lru_cache(maxsize=None)
+def _any_of(words: tuple[str, ...]) -> str:
     return "|".join(map(regex.escape, sorted(set(words), key=lambda w: (-len(w), w))))
 
 
-@lru_cache
+def any_of(words) -> str:
+    """Alternation of literal words, the longest first."""
+    return _any_of(tuple(words))
+
+
+@lru_cache(maxsize=None)
 def compiled(pattern: str, flags: int = 0) -> regex.Pattern:
     return regex.compile(pattern, flags)
 
 
+@lru_cache(maxsize=None)
+def _lowered(words: tuple[str, ...]) -> tuple[str, ...]:
+    """Lower-case words without those that hold another one."""
+    low = sorted({w.lower() for w in words}, key=len)
+    return tuple(w for i, w in enumerate(low) if not any(v in w for v in low[:i]))
+
+
+def holds(low: str, words) -> bool:
+    """Whether a lower-case text holds one of the words at all: a plain search that spares most texts the patterns."""
+    return any(w in low for w in _lowered(tuple(words)))
+
+
+def outermost(spans) -> list[tuple[int, int]]:
+    """The spans that lie in no other, in order: one sweep."""
+    out, reach = [], -1
+    for a, b in sorted(set(spans), key=lambda x: (x[0], -x[1])):
+        if b > reach:
+            out.append((a, b))
+            reach = b
+    return out
+
+
+class Covered:
+    """Disjoint or overlapping spans that answer whether a span touches one of them."""
+
+    def __init__(self, spans):
+        self.starts, self.reach = [], []
+        for a, b in sorted(spans):
+            self.starts.append(a)
+            self.reach.append(max(b, self.reach[-1]) if self.reach else b)
+
+    def touches(self, a: int, b: int) -> bool:
+        k = bisect_left(self.starts, b)
+        return k > 0 and self.reach[k - 1] > a
+
+
 # --- dates, money -------------------------------------------------------------------------
 
 
@@ -60,7 +103,7 @@ def _month(languages: tuple[str, ...]) -> str:
 
 def dates(text: str, languages: tuple[str, ...] = tuple(V.MONTHS)) -> list[Entity]:
     """Dates with a month name: day first, month first, month and year; the longest of each anchor."""
-    if not DIGIT.search(text):
+    if not DIGIT.search(text) or not holds(text.lower(), [m for lang in languages for m in V.MONTHS[lang]]):
         return []
     month, year, day = _month(languages), r"(?:1[89]|20|21)\d{2}", r"(?:0?[1-9]|[12]\d|3[01])"
     # Fixed part: a day can be an ordinal; Romance languages say "de".
@@ -75,18 +118,17 @@ def dates(text: str, languages: tuple[str, ...] = tuple(V.MONTHS)) -> list[Entit
         for m in compiled(form, regex.I).finditer(text):
             name = compiled(rf"\b(?:{month})\b", regex.I).search(m.group())
             lower = name and name.group() == name.group().lower() and name.group() in V.AMBIGUOUS_MONTHS
-            if lower and not regex.search(year, m.group()) and not regex.match(r"\s*(?:[.,;:)\n]|$)", text[m.end() :]):
+            if lower and not regex.search(year, m.group()) and not compiled(r"\s*(?:[.,;:)\n]|$)").match(text, m.end()):
                 continue
             end = m.end()
-            time = regex.match(r",? (?:at )?\d{1,2}:\d{2}(?::\d{2})?(?: ?[ap]\.?m\.?)?", text[end : end + 20], regex.I)
-            found.append((m.start(), end + (time.end() if time else 0)))
-    longest = [a for a in set(found) if not any(b != a and b[0] <= a[0] and a[1] <= b[1] for b in found)]
-    return [entity(text, a, b, "date", 1.0, "regex") for a, b in sorted(longest)]
+            time = compiled(r",? (?:at )?\d{1,2}:\d{2}(?::\d{2})?(?: ?[ap]\.?m\.?)?", regex.I).match(text, end, end + 20)
+            found.append((m.start(), time.end() if time else end))
+    return [entity(text, a, b, "date", 1.0, "regex") for a, b in outermost(found)]
 
 
 def money(text: str) -> list[Entity]:
     """Amounts with a currency before or after, magnitudes, written numbers and their repetition in words."""
-    if not DIGIT.search(text) and not compiled(rf"\b(?:{any_of(V.CURRENCY_NAMES)})\b", regex.I).search(text):
+    if not holds(text.lower(), V.CURRENCY_NAMES + V.CURRENCY_SYMBOLS + V.CURRENCY_CODES):
         return []
     number = r"\d{1,3}(?:[ ,.'’]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d+)?"
     magnitude = rf"(?: ?(?:{any_of(V.MAGNITUDES)})\b)?"
@@ -94,17 +136,19 @@ def money(text: str) -> list[Entity]:
     name = any_of(V.CURRENCY_NAMES)
     written = rf"(?:\b(?:{any_of(V.NUMBER_WORDS)})\b[ -]?(?:and )?)+"
     forms = [rf"(?:{unit}) ?(?:{number}){magnitude}", rf"(?<![\w.,])(?:{number}){magnitude} ?(?:{unit}|(?:{name})\b)", rf"{written}(?:{name})\b"]
-    found = [m.span() for f in forms for m in compiled(f, regex.I).finditer(text) if not regex.match(r" ?(?:shares|stück|akcií|actions)\b", text[m.end() : m.end() + 20], regex.I)]
-    longest = [a for a in set(found) if not any(b != a and b[0] <= a[0] and a[1] <= b[1] for b in found)]
+    found = [m.span() for f in forms for m in compiled(f, regex.I).finditer(text) if not compiled(r" ?(?:shares|stück|akcií|actions)\b", regex.I).match(text, m.end(), m.end() + 20)]
+    repeated = compiled(r" ?\((?:in words|in figures|slovy|in Worten|en lettres|en letras)[: ][^()\n]{3,120}\)", regex.I)
     out = []
-    for a, b in sorted(longest):
-        words = regex.match(r" ?\((?:in words|slovy|in Worten|en lettres)[: ][^()\n]{3,120}\)", text[b:], regex.I)
-        out.append(entity(text, a, b + (words.end() if words else 0), "monetary amount", 0.9, "regex"))
+    for a, b in outermost(found):
+        words = repeated.match(text, b)
+        out.append(entity(text, a, words.end() if words else b, "monetary amount", 0.9, "regex"))
     return out
 
 
 def extend_money(text: str, found: list[Entity]) -> list[Entity]:
     """Amounts of a cue phrase take in a magnitude and a currency that follow."""
+    if not any(e.label == "monetary amount" and e.source == "trigger" for e in found):
+        return found
     tail = compiled(rf"(?: ?(?:{any_of(V.MAGNITUDES)})\b)?(?: ?(?:{any_of(V.CURRENCY_SYMBOLS)}|(?:{any_of(V.CURRENCY_CODES + V.CURRENCY_NAMES)})\b))?", regex.I)
     out = []
     for e in found:
@@ -163,8 +207,10 @@ def valid(value: str, checks: list[str]) -> bool:
 
 def triggers(text: str, rules=V.TRIGGERS) -> list[Entity]:
     """Values after cue phrases, 0.95."""
-    out = []
+    out, low = [], text.lower()
     for cues, label, strategy, p, checks in rules:
+        if not holds(low, cues):
+            continue
         for m in compiled(rf"(?<!\w)(?:{any_of(cues)})(?!\w)", regex.I).finditer(text):
             span = trigger_value(text, m.end(), strategy, dict(p))
             if span is None or not valid(text[slice(*span)], checks):
@@ -193,13 +239,19 @@ def name_shape(name: str) -> bool:
     return bool(regex.match(r"\p{Lu}", parts[0])) and all(len(w) <= 31 and (w.lower() in V.PARTICLES or regex.match(r"\p{Lu}[\p{L}.'’-]*$", w)) for w in parts)
 
 
+FIELD = r"\b(?:By|Name|Jméno|Nom|Nombre)[ \t]*:"
+WITNESS = r"(?i)in witness whereof|zu urkund|na důkaz"
+
+
 def signatures(text: str) -> list[Entity]:
     """Names at /s/ marks, after 'By:' and 'Name:', and under witness clauses."""
+    out: list[Entity] = []
+    if "/s/" not in text and not (":" in text and compiled(FIELD).search(text)) and not compiled(WITNESS).search(text):
+        return out
     lines, at = [], 0
     for line in text.split("\n"):
         lines.append((at, line))
         at += len(line) + 1
-    out: list[Entity] = []
 
     def add(k: int, value: str, column: int, score: float) -> bool:
         clean = value.strip(" \t_-–,;:")
@@ -223,7 +275,7 @@ def signatures(text: str) -> list[Entity]:
                     add(k, part, m.start(1), 0.95)
             else:
                 any(add(j, lines[j][1], 0, 0.9) for j in range(k + 1, min(k + 4, len(lines))))
-        if regex.search(r"(?i)in witness whereof|zu urkund|na důkaz", line):
+        if compiled(WITNESS).search(line):
             for j in range(k + 1, min(k + 7, len(lines))):
                 add(j, lines[j][1], 0, 0.85)
     return out
@@ -237,15 +289,15 @@ HEAD_TOKENS, BRIDGES = 20, 4
 def legal_forms(text: str) -> list[Entity]:
     """Organisations that end in a legal form, walked to the left over capitalised words; institutional heads, walked to the right."""
     out: dict[int, int] = {}
-    for m in compiled(rf"(?<=[\s,])(?:{any_of(V.LEGAL_FORMS)})(?![\p{{L}}\p{{N}}])").finditer(text):
+    form = compiled(rf"(?<=[\s,])(?:{any_of(V.LEGAL_FORMS)})(?![\p{{L}}\p{{N}}])")
+    for m in form.finditer(text) if any(f in text for f in V.LEGAL_FORMS) else ():
         begin, tokens, bridges = m.start(), 0, 0
         gap = text[max(0, begin - 2) : begin]
         if regex.search(r"[.;:!?] $", gap):
             continue
         start = None
-        for w in reversed(list(regex.finditer(r"\S+", text[max(0, begin - 300) : begin]))):
-            base = max(0, begin - 300)
-            word, a, b = w.group(), base + w.start(), base + w.end()
+        for w in reversed(list(compiled(r"\S+").finditer(text, max(0, begin - 300), begin))):
+            word, a, b = w.group(), w.start(), w.end()
             between = text[b : start if start is not None else begin]
             if "\n\n" in between or (start is not None and ("\n" in between or regex.search(r"[.;:!?)]$", word) and not regex.match(r"(?:\p{Lu}\.)+$", word))):
                 break
@@ -268,35 +320,50 @@ def legal_forms(text: str) -> list[Entity]:
         clip = regex.match(r"(?:The|This|Between|And|Whereas|By) (?=\p{Lu})", text[start : m.end()])
         start += clip.end() if clip else 0
         out[start] = max(out.get(start, 0), m.end())
+    formed, heads = Covered(out.items()), {}
     word = r"(?:\p{Lu}[\p{L}'’-]+|" + any_of(V.CONNECTORS) + ")"
-    for m in compiled(rf"(?<!\w)(?:{any_of(V.INSTITUTIONS)}) (?:of|for|de|du|für|der|des|del)(?: (?:the|la|le|l'))?(?: {word}){{1,12}}|(?:\p{{Lu}}[\p{{L}}'’-]+ ){{1,4}}(?:{any_of(V.INSTITUTIONS)})(?!\w)").finditer(text):
+    head = compiled(rf"(?<!\w)(?:{any_of(V.INSTITUTIONS)}) (?:of|for|de|du|für|der|des|del)(?: (?:the|la|le|l'))?(?: {word}){{1,12}}|(?:\p{{Lu}}[\p{{L}}'’-]+ ){{1,4}}(?:{any_of(V.INSTITUTIONS)})(?!\w)")
+    for m in head.finditer(text) if any(i in text for i in V.INSTITUTIONS) else ():
         end = m.start() + len(regex.sub(rf"(?: (?:{any_of(V.CONNECTORS)}))+$", "", m.group()))
-        if m.start() not in out and not any(a <= m.start() < b for a, b in out.items()):
-            out[m.start()] = end
-    kept = [(a, b) for a, b in sorted(out.items()) if not any(c <= a and b <= d and (c, d) != (a, b) for c, d in out.items())]
-    return [entity(text, a, b, "organization", 0.95, "legal-form") for a, b in kept]
+        if m.start() not in out and not formed.touches(m.start(), m.start() + 1):
+            heads[m.start()] = end
+    return [entity(text, a, b, "organization", 0.95, "legal-form") for a, b in outermost([*out.items(), *heads.items()])]
 
 
 # --- persons ------------------------------------------------------------------------------
 
 CHAIN = 5
+BLANK = regex.compile(r"[ \t\u00a0]{1,4}")
+FIRST, LAST, TITLES, PARTICLES, STOP = (frozenset(x) for x in (V.FIRST_NAMES, V.SURNAMES, V.TITLES, V.PARTICLES, V.PERSON_STOP))
+HAN = regex.compile(r"\p{Han}")
 
 
 def names(text: str, first: set[str] | None = None, last: set[str] | None = None, mode: str = "full") -> list[Entity]:
     """Chains of name words; see SCORES for what they earn. Lone first names don't count at a sentence's start or in capitals."""
-    first, last = first or set(V.FIRST_NAMES), last or set(V.SURNAMES)
-    titles = set(V.TITLES)
-    lower = {w for w in [*V.PARTICLES, *titles, *first, *last] if w[0].islower()}
+    first, last = first or FIRST, last or LAST
+    lower = tuple(sorted(w for w in {*V.PARTICLES, *TITLES, *first, *last} if w[0].islower()))
     tokens: list[tuple[int, int, str, bool]] = []
-    for m in compiled(r"\p{L}[\p{L}\p{M}'’-]*\.?").finditer(text):
+    lone = rf"|(?:{any_of(lower)})(?![\p{{L}}\p{{M}}'’-])\.?" if lower else ""
+    # Other lower-case words need no token: the gap that they leave ends a chain.
+    for m in compiled(rf"(?<![\p{{L}}\p{{M}}'’-])(?:\p{{Lu}}[\p{{L}}\p{{M}}'’-]*\.?{lone})").finditer(text):
         word = m.group()
         bare = word.rstrip(".")
-        if word[0].islower() and bare not in lower:
-            tokens.append((m.start(), m.start() + len(bare), "other", False))
-            continue
-        kind = "title" if word in titles or bare in titles else "name" if bare in first else "surname" if bare in last or (bare.isupper() and bare.title() in last) else "abbreviation" if regex.fullmatch(r"\p{Lu}\.", word) else "particle" if bare in V.PARTICLES else "capital" if regex.match(r"\p{Lu}\p{Ll}", bare) and bare.lower() not in V.PERSON_STOP else "other"
-        end = m.end() if kind in ("title", "abbreviation") else m.start() + len(bare)
-        tokens.append((m.start(), end, kind, m.end() > m.start() + len(bare)))
+        dotted = len(bare) < len(word)
+        if word in TITLES or bare in TITLES:
+            kind = "title"
+        elif bare in first:
+            kind = "name"
+        elif bare in last or (bare.isupper() and bare.title() in last):
+            kind = "surname"
+        elif dotted and len(bare) == 1:
+            kind = "abbreviation"
+        elif bare in PARTICLES:
+            kind = "particle"
+        else:
+            kind = "capital" if bare[1:2].islower() and bare.lower() not in STOP else "other"
+        tokens.append((m.start(), m.end() if kind in ("title", "abbreviation") else m.start() + len(bare), kind, dotted))
+    if not any(t[2] in ("name", "surname", "title") for t in tokens):
+        return cjk_names(text)
     out, i = [], 0
     while i < len(tokens):
         chain = []
@@ -334,7 +401,9 @@ def names(text: str, first: set[str] | None = None, last: set[str] | None = None
 
 def cjk_names(text: str) -> list[Entity]:
     """Han names of 2 to 4 characters that begin with a surname, unless the text is Chinese prose."""
-    han = len(regex.findall(r"\p{Han}", text))
+    if text.isascii() or not HAN.search(text):
+        return []
+    han = len(HAN.findall(text))
     if len(text) >= 100 and han >= 0.15 * len(text):
         return []
     found = regex.finditer(rf"(?<!\p{{Han}})(?:{any_of(V.SURNAMES_HAN)})\p{{Han}}{{1,3}}(?!\p{{Han}})", text)
@@ -352,7 +421,7 @@ def _check(field: str) -> int:
 def structured(text: str) -> list[Entity]:
     """Machine-readable zones of passports and cards (ICAO 9303 check digits) and card tracks (Luhn)."""
     out: list[Entity] = []
-    if not DIGIT.search(text):
+    if "<" not in text and "=" not in text and "^" not in text:
         return out
     for m in regex.finditer(r"(?m)^P[A-Z<][A-Z<]{42}\r?\n[A-Z0-9<]{44}$", text):
         b = m.group().split("\n")[1]
@@ -376,11 +445,11 @@ CLUSTER_GAP, BASE_SCORE, PART_SCORE, CUE_SCORE, MOST_SCORE, EXPAND = 150, 0.5, 0
 
 
 def address_seeds(text: str, found: list[Entity]) -> list[tuple[int, int, str]]:
-    street = rf"(?<!\w)(?:{any_of(V.STREETS)})(?!\w)|\b\p{{Lu}}\p{{L}}*(?:{'|'.join(V.STREET_ENDINGS)})\b"
-    seeds = [(*m.span(), "street") for m in compiled(street).finditer(text)]
-    seeds += [(*m.span(), "city") for m in compiled(rf"(?<!\w)(?:{any_of(V.CITIES)})(?!\w)").finditer(text)]
-    seeds += [(*m.span(), "state") for m in compiled(rf"(?<=, )(?:{any_of(V.STATES)})(?= \d{{5}})").finditer(text)]
-    seeds += [(*m.span(), "postal") for m in compiled(r"(?<![\w-])(?:\d{5}(?:-\d{4})?|\d{3} \d{2}|\d{2}-\d{3}|[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2})(?![\w-])").finditer(text)]
+    forms = [(rf"(?<!\w)(?:{any_of(V.STREETS)})(?!\w)", "street", any(w in text for w in V.STREETS)), (rf"\b\p{{Lu}}\p{{L}}*(?:{'|'.join(V.STREET_ENDINGS)})\b", "street", any(w in text for w in V.STREET_ENDINGS)),
+        (rf"(?<!\w)(?:{any_of(V.CITIES)})(?!\w)", "city", any(w in text for w in V.CITIES)), (rf"(?<=, )(?:{any_of(V.STATES)})(?= \d{{5}})", "state", DIGIT.search(text) is not None)]
+    seeds = [(*m.span(), kind) for form, kind, may in forms if may for m in compiled(form).finditer(text)]
+    if DIGIT.search(text):
+        seeds += [(*m.span(), "postal") for m in compiled(r"(?<![\w-])(?:\d{5}(?:-\d{4})?|\d{3} \d{2}|\d{2}-\d{3}|[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2})(?![\w-])").finditer(text)]
     seeds += [(e.start, e.end, "cue") for e in found if e.label == "address" and e.source == "trigger"]
     return sorted(seeds)
 
@@ -388,14 +457,15 @@ def address_seeds(text: str, found: list[Entity]) -> list[tuple[int, int, str]]:
 def addresses(text: str, found: list[Entity], standalone: bool = False) -> list[Entity]:
     """Clusters of address parts, scored by their kinds and grown to whole lines' parts."""
     seeds, out, group = address_seeds(text, found), [], []
-    barriers = [(e.start, e.end) for e in found if e.label != "address"]
+    if not seeds:
+        return []
+    barriers = Covered((e.start, e.end) for e in found if e.label != "address")
     clusters: list[list[tuple[int, int, str]]] = []
     for s in seeds:
         if group:
             gap = text[group[-1][1] : s[0]]
-            prose = len(regex.findall(r"(?<!\p{L})\p{Ll}{3,}", gap))
-            blocked = any(a < s[0] and group[-1][1] < b for a, b in barriers)
-            if len(gap) > CLUSTER_GAP or "\n\n" in gap or prose > 1 or blocked:
+            far = len(gap) > CLUSTER_GAP or "\n\n" in gap
+            if far or len(regex.findall(r"(?<!\p{L})\p{Ll}{3,}", gap)) > 1 or barriers.touches(group[-1][1], s[0]):
                 clusters.append(group)
                 group = []
         group = [*group, s]
@@ -403,6 +473,8 @@ def addresses(text: str, found: list[Entity], standalone: bool = False) -> list[
     for c in clusters:
         kinds = {k for *_, k in c}
         a, b = c[0][0], max(x[1] for x in c)
+        if len(kinds) < 2 and not (standalone and kinds == {"street"}):
+            continue
         left = regex.search(r"(?:\d{1,5}[A-Za-z]?(?:/\d+)?,? )?(?:\p{Lu}[\p{L}'’.-]* )*$", text[max(0, a - EXPAND) : a])
         a -= len(left.group()) if left and "street" in kinds else 0
         right = regex.match(r"(?: \p{Lu}[\p{L}'’-]*){0,3} ?\d{1,4}[A-Za-z]?(?:/\d+)?\b" if c[-1][2] == "street" else r"(?:, (?:" + any_of(V.COUNTRIES) + r"))?", text[b : b + EXPAND])
@@ -479,11 +551,16 @@ def outranks(new: Entity, old: Entity) -> bool:
 
 def merge(entities: list[Entity]) -> list[Entity]:
     """One layer without overlaps: sorted by start (stable), each entity takes the place of those kept that it overlaps only if it outranks them all."""
-    kept: list[Entity] = []
+    kept: list[Entity] = []  # disjoint and in order, so what a later entity overlaps is at the end
     for e in sorted(entities, key=lambda x: x.start):
-        over = [k for k in kept if k.start < e.end and e.start < k.end]
-        if all(outranks(e, k) for k in over):
-            kept = [k for k in kept if k not in over] + [e]
+        k = len(kept)
+        while k and kept[k - 1].end > e.start:
+            k -= 1
+        if all(outranks(e, old) for old in kept[k:] if old.start < e.end):
+            kept[k:] = [old for old in kept[k:] if old.start >= e.end]
+            kept.append(e)
+            if k + 1 < len(kept):
+                kept[k:] = sorted(kept[k:], key=lambda x: x.start)
     return sorted(kept, key=lambda x: (x.start, x.end))
 
 
@@ -636,7 +713,13 @@ def similar(alias: str, name: str) -> bool:
 def coreferences(text: str, entities: list[Entity]) -> list[Entity]:
     """Bare mentions of organisations without their legal form (0.9), and mentions of defined terms (0.95), linked to their source text."""
     out: list[Entity] = []
-    covered = lambda a, b, more: any(e.start < b and a < e.end for e in [*entities, *more])
+    known = Covered((e.start, e.end) for e in entities)
+    new: list[tuple[int, int]] = []  # disjoint, in order
+
+    def covered(a: int, b: int) -> bool:
+        k = bisect_left(new, (b, -1))
+        return known.touches(a, b) or bool(k and new[k - 1][1] > a)
+
     bases: dict[str, set[str]] = {}
     for e in entities:
         if e.label == "organization":
@@ -645,9 +728,10 @@ def coreferences(text: str, entities: list[Entity]) -> list[Entity]:
                 bases.setdefault(base, set()).add(e.text)
     for base, sources in sorted(bases.items()):
         for m in regex.finditer(rf"(?<!\w){regex.escape(base)}(?!\w)", text):
-            if not covered(*m.span(), out):
+            if not covered(*m.span()):
+                insort(new, m.span())
                 out.append(entity(text, *m.span(), "organization", 0.9, "coreference", kind="coreference", source_text=min(sources) if len(sources) == 1 else base))
-    for d in DEFINED.finditer(text):
+    for d in DEFINED.finditer(text) if entities and "(" in text else ():
         near = [e for e in entities if e.label in ("person", "organization") and e.end <= d.start() and d.start() - e.end <= BEFORE_ALIAS and not regex.search(r"[.;]\s", text[e.end : d.start()])]
         if not near:
             continue
@@ -657,7 +741,8 @@ def coreferences(text: str, entities: list[Entity]) -> list[Entity]:
             if not generic and not similar(alias, owner.text):
                 continue
             for m in regex.finditer(rf"(?<!\w){regex.escape(alias)}(?!\w)", text):
-                if not covered(*m.span(), out):
+                if not covered(*m.span()):
+                    insort(new, m.span())
                     out.append(entity(text, *m.span(), owner.label, 0.95, "coreference", kind="coreference", source_text=owner.text))
     return out
 

@@ -12,6 +12,7 @@ resolution, which is a shuffle; without tables there is none.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -153,19 +154,24 @@ def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[
         sign = next((a for a, _, x in reversed(rows) if regex.search(SIGNING, x)), None)
         head = head if sign is None or sign >= head else 0
 
+        starts = [a for a, _, _ in rows]
+
         def boosted(e):
             middle = (e.start + e.end) // 2
-            line = next((x for a, b, x in rows if a <= middle <= b), "")
+            line = rows[bisect_right(starts, middle) - 1][2]
             zone = "header" if middle < head else "signature" if sign is not None and middle >= sign else "table" if line.count("\t") >= 2 else "body"
             return replace(e, score=min(1.0, e.score + ZONE_BOOST[zone]))
 
         entities = [boosted(e) for e in entities]
     if config.hotwords and entities:
-        hits = [(m.start(), m.end(), k) for k, (words, *_) in enumerate(V.HOTWORDS) for m in C.compiled(rf"(?<!\w)(?:{C.any_of(words)})(?!\w)", regex.I).finditer(search)]
+        low = search.lower()
+        hits = sorted((m.start(), m.end(), k) for k, (words, *_) in enumerate(V.HOTWORDS) if C.holds(low, words) for m in C.compiled(rf"(?<!\w)(?:{C.any_of(words)})(?!\w)", regex.I).finditer(search))
+        begins = [a for a, _, _ in hits]
+        widest, longest = max(max(h[3], h[4]) for h in V.HOTWORDS), max((b - a for a, b, _ in hits), default=0)
 
         def adjusted(e):
             best, label = 0.0, None
-            for a, b, k in sorted(hits):
+            for a, b, k in hits[bisect_left(begins, e.start - widest - longest) : bisect_right(begins, e.end + widest)]:
                 _, labels, change, before, after, new = V.HOTWORDS[k]
                 gap, reach = (e.start - b, before) if b <= e.start else (max(0, a - e.end), after)
                 if e.label in labels and gap <= reach and abs(change * (1 - gap / reach)) > abs(best):
@@ -174,11 +180,12 @@ def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[
 
         entities = [adjusted(e) for e in entities]
     if config.confidence_boost:
-        strong = [(e.start + e.end) / 2 for e in entities if e.score >= ANCHOR]
+        strong = sorted((e.start + e.end) / 2 for e in entities if e.score >= ANCHOR)
 
         def lifted(e):
             if config.threshold - BAND <= e.score < config.threshold:
-                near = sum(abs(x - (e.start + e.end) / 2) <= NEAR for x in strong)
+                middle = (e.start + e.end) / 2
+                near = bisect_right(strong, middle + NEAR) - bisect_left(strong, middle - NEAR)
                 return replace(e, score=min(1.0, e.score + BONUS * near))
             return e
 
