@@ -36,33 +36,38 @@ def col(c: str | Column) -> Column:
 STEP = 64
 
 
-def running(items: Column, kind: T.DataType, size, emit, keep) -> Column:
-    """array of emit(at, item) over items that keep(item) wants, where `at` is the sum of size() of the items before.
+def running(items: Column, none, advance, emit, keep) -> Column:
+    """array of emit(at, item) over the items that keep(at, item) wants; `at` starts at 0 and is advance(at, item) after each item.
 
     A fold that appends to its array copies it for each item. Here a fold over steps of STEP
-    items appends whole arrays, and a fold inside each step starts with an empty one.
+    items appends whole arrays, and a fold inside each step starts with an empty one. none:
+    makes an empty array of the result's type from the items.
     """
-    none = F.array().cast(T.ArrayType(kind))
-    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
 
     def one(acc: Column, x: Column) -> Column:
-        out = F.when(keep(x), F.concat(acc["out"], F.array(emit(acc["at"], x)))).otherwise(acc["out"])
-        return F.struct((acc["at"] + size(x)).alias("at"), out.alias("out"))
+        out = F.when(keep(acc["at"], x), F.concat(acc["out"], F.array(emit(acc["at"], x)))).otherwise(acc["out"])
+        return F.struct(advance(acc["at"], x).alias("at"), out.alias("out"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(T.ArrayType(kind))).alias("out"))
+    def fold(all_: Column) -> Column:
+        empty = none(all_)
+        start = lambda at: F.struct(at.alias("at"), empty.alias("out"))
 
-    def step(acc: Column, part: Column) -> Column:
-        done = F.aggregate(part, start(acc["at"]), one)
-        return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
+        def step(acc: Column, part: Column) -> Column:
+            done = F.aggregate(part, start(acc["at"]), one)
+            return F.transform(F.array(done), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(d["out"])).alias("out")))[0]
 
-    def fold(all_: Column) -> Column:
         steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / STEP).cast("int")), lambda k: F.slice(all_, k * STEP + 1, STEP))
+        begin = F.struct(F.lit(0).alias("at"), F.filter(F.array(empty), lambda _: F.lit(False)).alias("out"))
         many = F.aggregate(steps, begin, step, lambda acc: F.flatten(acc["out"]))
         return F.when(F.size(all_) <= STEP, F.aggregate(all_, start(F.lit(0)), one, lambda acc: acc["out"])).otherwise(many)
 
     return F.transform(F.array(items), fold)[0]  # a variable: what makes the items is evaluated once
 
 
+def empty_of(kind: T.DataType):
+    return lambda _: F.array().cast(T.ArrayType(kind))
+
+
 def spans(text: str | Column, pattern: str, when: Column | None = None) -> Column:
     """array<struct<start,end,value>> of all matches of a pattern that never matches nothing.
 
@@ -74,7 +79,7 @@ def spans(text: str | Column, pattern: str, when: Column | None = None) -> Colum
     gaps = F.split(t, pattern, -1)
     pairs = F.zip_with(gaps, values, lambda g, v: F.struct(F.length(g).alias("g"), F.coalesce(F.length(v), F.lit(0)).alias("n"), v.alias("v")))
     emit = lambda at, x: F.struct((at + x["g"]).alias("start"), (at + x["g"] + x["n"]).alias("end"), x["v"].alias("value"))
-    placed = running(pairs, SPAN, lambda x: x["g"] + x["n"], emit, lambda x: x["v"].isNotNull())
+    placed = running(pairs, empty_of(SPAN), lambda at, x: at + x["g"] + x["n"], emit, lambda _, x: x["v"].isNotNull())
     found = F.when(t.isNull() | ~t.rlike(pattern), F.array().cast(T.ArrayType(SPAN))).otherwise(placed)
     return F.when(when, found).otherwise(F.array().cast(T.ArrayType(SPAN))) if when is not None else found
 
@@ -132,13 +137,24 @@ def explode_spans(docs: DataFrame, found: Column, label: str, score: float, sour
 
 def non_overlapping(entities: Column) -> Column:
     """Greedy, first start wins: entities (array of structs that begin with start, end) without overlaps."""
-    kept = F.aggregate(
-        F.array_sort(entities),
-        F.struct(F.lit(-1).alias("at"), F.filter(entities, lambda _: F.lit(False)).alias("out")),
-        lambda acc, e: F.when(e["start"] < acc["at"], acc).otherwise(F.struct(e["end"].alias("at"), F.concat(acc["out"], F.array(e)).alias("out"))),
-        lambda acc: acc["out"],
-    )
-    return kept
+    free = lambda at, e: e["start"] >= at
+    return running(F.array_sort(entities), lambda all_: F.filter(all_, lambda _: F.lit(False)), lambda at, e: F.when(free(at, e), e["end"]).otherwise(at), lambda _, e: e, free)
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with the value as a variable, so that it is evaluated once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are evaluated once a row, however often they are used.
+
+    The optimiser inlines a projection where its column is used once, even if that is in a
+    lambda that runs for each item, and pushes filters down through it; a generator that
+    makes one row of one row stops both. Only for expensive columns.
+    """
+    made = F.inline_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in columns], made)
 
 
 def render(text: str | Column, replacements: Column) -> Column:

@@ -96,8 +96,11 @@ def custom_deny_list(docs: DataFrame, terms: DataFrame, **names: str) -> DataFra
 
 
 def gazetteer_terms(entries: DataFrame) -> DataFrame:
-    """term, label, canonical from entries (canonical, label, variants): the last label of a term wins."""
-    e = entries.withColumn("_pos", F.monotonically_increasing_id())
+    """term, label, canonical from entries (canonical, label, variants, and pos if their order is known).
+
+    The last label of a term wins and its first canonical form: by pos, else by canonical form and label.
+    """
+    e = entries.withColumn("_pos", F.struct(*[F.col(c) for c in ("pos", "canonical", "label") if c in entries.columns]))
     rows = e.select("_pos", "canonical", "label", F.explode(F.array_union(F.array("canonical"), F.coalesce("variants", F.array().cast("array<string>")))).alias("v"))
     return rows.groupBy(fold(F.col("v")).alias("term")).agg(F.max_by("label", "_pos").alias("label"), F.min_by("canonical", "_pos").alias("canonical"))
 

@@ -5,7 +5,7 @@ Entities are rows: doc_id, start, end, label, text, score, source, seq and what
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,34 +48,57 @@ def near_miss_boost(entities: DataFrame, threshold: float = THRESHOLD, near: int
     distance, so the range join is an equi-join on three neighbouring cells.
     """
     middle = (F.col("start") + F.col("end")) / 2
-    marked = entities.withColumn("_mid", middle).withColumn("_row", F.monotonically_increasing_id())
+    marked = entities.withColumn("_mid", middle)
     band = marked.where((F.col("score") < threshold) & (F.col("score") >= threshold - BAND))
     cell = F.floor(F.col("_mid") / near)
-    weak = band.select("doc_id", "_row", "_mid", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    weak = band.select("doc_id", "_mid").distinct().select("doc_id", "_mid", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
     strong = marked.where(F.col("score") >= ANCHOR).select("doc_id", F.col("_mid").alias("_at"), cell.alias("_cell"))
-    hits = weak.join(strong, ["doc_id", "_cell"]).where(F.abs(F.col("_at") - F.col("_mid")) <= near).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    # A count depends on the document and the middle alone: they are the key, and stay the same if a task runs again.
+    hits = weak.join(strong, ["doc_id", "_cell"]).where(F.abs(F.col("_at") - F.col("_mid")) <= near).groupBy("doc_id", "_mid").agg(F.count(F.lit(1)).alias("_n"))
     boosted = F.least(F.lit(1.0), F.col("score") + BONUS * F.coalesce("_n", F.lit(0)))
-    weak_rows = band.join(hits, "_row", "left").withColumn("score", boosted)
-    return marked.where(F.col("score") >= threshold).unionByName(weak_rows.where(F.col("score") >= threshold).drop("_n")).drop("_mid", "_row")
+    weak_rows = band.join(hits, ["doc_id", "_mid"], "left").withColumn("score", boosted).select(*marked.columns)
+    return marked.where(F.col("score") >= threshold).unionByName(weak_rows.where(F.col("score") >= threshold)).drop("_mid")
 
 
-def zones(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a line: doc_id, line_start, line_end, zone.
+def zoned_lines(text: Column) -> Column:
+    """Array of the lines of a text: a (start), b (end), zone.
 
     The header ends before the first section heading; the signature zone begins at the last
     signing clause; lines with two tabs or more are tables; the rest is body. A signing clause
     before the heading cancels the header.
     """
-    lines = F.split(F.col(text), "\n", -1)
-    at = S.running(lines, LINE, lambda x: F.length(x) + 1, lambda p, x: F.struct(p.alias("a"), (p + F.length(x)).alias("b"), x.alias("l")), lambda _: F.lit(True))
-    placed = docs.select(F.col(id_col).alias("doc_id"), at.alias("ls"))
-    signs = F.filter("ls", lambda x: x["l"].rlike(SIGNING))
-    last = F.try_element_at(F.transform(signs, lambda x: x["a"]), F.lit(-1))
-    bounded = placed.select("doc_id", "ls", F.coalesce(F.try_element_at(F.transform(F.filter("ls", lambda x: x["l"].rlike(HEADING)), lambda x: x["a"]), F.lit(1)), F.lit(0)).alias("head"), last.alias("sign"))
-    rows = bounded.select("doc_id", "head", "sign", F.explode("ls").alias("x"))
-    header = (F.col("x.a") < F.col("head")) & (F.col("sign").isNull() | (F.col("sign") >= F.col("head")))
-    zone = F.when(header, "header").when(F.col("x.a") >= F.col("sign"), "signature").when(F.length(F.regexp_replace("x.l", r"[^\t]", "")) >= 2, "table").otherwise("body")
-    return rows.select("doc_id", F.col("x.a").alias("line_start"), F.col("x.b").alias("line_end"), zone.alias("zone"))
+    lines = F.split(text, "\n", -1)
+    at = S.running(lines, S.empty_of(LINE), lambda p, x: p + F.length(x) + 1, lambda p, x: F.struct(p.alias("a"), (p + F.length(x)).alias("b"), x.alias("l")), lambda *_: F.lit(True))
+    start = lambda pattern, ls, k: F.try_element_at(F.transform(F.filter(ls, lambda x: x["l"].rlike(pattern)), lambda x: x["a"]), F.lit(k))
+
+    def zoned(ls: Column, edges: Column) -> Column:
+        header = lambda x: (x["a"] < edges["head"]) & (edges["sign"].isNull() | (edges["sign"] >= edges["head"]))
+        zone = lambda x: F.when(header(x), "header").when(x["a"] >= edges["sign"], "signature").when(F.length(F.regexp_replace(x["l"], r"[^\t]", "")) >= 2, "table").otherwise("body")
+        return F.transform(ls, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), zone(x).alias("zone")))
+
+    edges = lambda ls: F.struct(F.coalesce(start(HEADING, ls, 1), F.lit(0)).alias("head"), start(SIGNING, ls, -1).alias("sign"))
+    return S.bound(at, lambda ls: S.bound(edges(ls), lambda e: zoned(ls, e)))
+
+
+def zones(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a line: doc_id, line_start, line_end, zone, see zoned_lines()."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(zoned_lines(F.col(text))).alias("x"))
+    return rows.select("doc_id", F.col("x.a").alias("line_start"), F.col("x.b").alias("line_end"), F.col("x.zone").alias("zone"))
+
+
+def zone_arrays(docs: DataFrame, entities: str = "entities", text: str = "text") -> DataFrame:
+    """docs (text and an array of entities) whose entities have their zone and the boosted score; a row at a time.
+
+    The line of a span is found by the number of line breaks before its middle.
+    """
+    boost = F.create_map(*[F.lit(x) for kv in ZONE_BOOST.items() for x in kv])
+
+    def placed(e: Column, ls: Column) -> Column:
+        line = F.regexp_count(F.substring(F.col(text), F.lit(1), F.floor((e["start"] + e["end"]) / 2).cast("int")), F.lit("\n"))
+        return S.bound(F.coalesce(F.get(ls, line)["zone"], F.lit("body")), lambda z: e.withField("zone", z).withField("score", F.least(F.lit(1.0), e["score"] + F.coalesce(boost[z], F.lit(0.0)))))
+
+    lines = F.when(F.size(entities) > 0, zoned_lines(F.col(text)))
+    return S.computed(docs, **{entities: S.bound(lines, lambda ls: F.transform(F.col(entities), lambda e: placed(e, ls)))})
 
 
 def zone_boost(entities: DataFrame, zoned: DataFrame) -> DataFrame:
@@ -87,23 +110,53 @@ def zone_boost(entities: DataFrame, zoned: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.least(F.lit(1.0), F.col("score") + boost))
 
 
-def hotword_adjust(entities: DataFrame, hits: DataFrame) -> DataFrame:
+def hotword_adjust(entities: DataFrame, hits: DataFrame, cell: int = 200) -> DataFrame:
     """Apply the strongest hotword near each entity.
 
     hits: doc_id, hit_start, hit_end, rule, target_label, adjustment, before, after, reclassify.
     The effect fades linearly with distance; the largest magnitude wins, the first on ties;
-    scores stay in [0, 1]; a label changes only if the effect is positive.
+    scores stay in [0, 1]; a label changes only if the effect is positive. A hit meets the
+    spans of its label in the cells of `cell` code points that it reaches, and a span counts in
+    the cells that it covers, so the join is an equality. The effect depends on a span and its
+    label alone, which are the key.
     """
-    marked = entities.withColumn("_row", F.monotonically_increasing_id())
+    place = ["doc_id", "start", "end", "label"]
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / cell), F.floor(b / cell)))
+    spans = entities.select(*place).distinct().withColumn("_cell", cells(F.col("start"), F.col("end")))
+    reached = hits.select(F.col("doc_id"), F.col("target_label").alias("label"), "hit_start", "hit_end", "rule", "adjustment", "before", "after", "reclassify", cells(F.col("hit_start") - F.col("after"), F.col("hit_end") + F.col("before")).alias("_cell"))
     gap = F.when(F.col("hit_end") <= F.col("start"), F.col("start") - F.col("hit_end")).when(F.col("hit_start") >= F.col("end"), F.col("hit_start") - F.col("end")).otherwise(F.lit(0))
     reach = F.when(F.col("hit_end") <= F.col("start"), F.col("before")).otherwise(F.col("after"))
-    near = marked.join(hits.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("label") == F.col("target_label")))
-    near = near.withColumn("_gap", gap).withColumn("_reach", reach).where(F.col("_gap") <= F.col("_reach"))
+    near = spans.join(reached, ["doc_id", "label", "_cell"]).withColumn("_gap", gap).withColumn("_reach", reach).where(F.col("_gap") <= F.col("_reach"))
     near = near.withColumn("_effect", F.col("adjustment") * (1 - F.col("_gap") / F.col("_reach")))
-    best = F.row_number().over(Window.partitionBy("_row").orderBy(F.abs("_effect").desc(), "hit_start", "rule"))
-    top = near.withColumn("_k", best).where("_k = 1").select("_row", "_effect", "reclassify")
-    out = marked.join(top, "_row", "left").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.coalesce("_effect", F.lit(0.0)))))
-    return out.withColumn("label", F.when((F.col("_effect") > 0) & F.col("reclassify").isNotNull(), F.col("reclassify")).otherwise(F.col("label"))).drop("_row", "_effect", "reclassify")
+    best = F.min(F.struct((-F.abs("_effect")).alias("w"), "hit_start", "rule", "_effect", "reclassify")).alias("_best")
+    top = near.groupBy(*place).agg(best).select(*place, "_best._effect", "_best.reclassify")
+    out = entities.join(top, place, "left").withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") + F.coalesce("_effect", F.lit(0.0)))))
+    return out.withColumn("label", F.when((F.col("_effect") > 0) & F.col("reclassify").isNotNull(), F.col("reclassify")).otherwise(F.col("label"))).select(*entities.columns)
+
+
+def hotword_arrays(docs: DataFrame, entities: str = "entities", hits: str = "hits") -> DataFrame:
+    """hotword_adjust() of documents whose entities and hits are arrays beside each other: a row at a time, nothing is joined.
+
+    hits: array of hit_start, hit_end, rule, target_label, adjustment, before, after, reclassify.
+    """
+
+    def adjusted(e: Column, hs: Column) -> Column:
+        def effect(h: Column) -> Column:
+            first = h["hit_end"] <= e["start"]
+            gap = F.when(first, e["start"] - h["hit_end"]).when(h["hit_start"] >= e["end"], h["hit_start"] - e["end"]).otherwise(F.lit(0))
+            reach = F.when(first, h["before"]).otherwise(h["after"])
+            return F.struct((-F.abs(h["adjustment"] * (1 - gap / reach))).alias("w"), h["hit_start"].alias("at"), h["rule"].alias("rule"), (h["adjustment"] * (1 - gap / reach)).alias("effect"), h["reclassify"].alias("label"), (gap <= reach).alias("near"))
+
+        near = F.filter(F.transform(F.filter(hs, lambda h: h["target_label"] == e["label"]), effect), lambda x: x["near"])
+
+        def applied(best: Column) -> Column:
+            score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), e["score"] + F.coalesce(best["effect"], F.lit(0.0))))
+            label = F.when((best["effect"] > 0) & best["label"].isNotNull(), best["label"]).otherwise(e["label"])
+            return e.withField("score", score).withField("label", label)
+
+        return S.bound(F.array_min(near), applied)
+
+    return docs.withColumn(entities, S.bound(F.col(hits), lambda hs: F.transform(F.col(entities), lambda e: adjusted(e, hs))))
 
 
 def drop_nested_same_label(entities: DataFrame) -> DataFrame:

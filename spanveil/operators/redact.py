@@ -34,14 +34,19 @@ def greedy(entities: DataFrame) -> DataFrame:
     return entities.groupBy("doc_id").agg(F.collect_list(e).alias("es")).select("doc_id", F.explode(S.non_overlapping(F.col("es"))).alias("e")).select("doc_id", "e.*").select(*entities.columns)
 
 
-def with_operators(entities: DataFrame, operators: dict[str, dict] | None = None) -> DataFrame:
-    """Columns op, mask_char, mask_n, mask_from by label; labels without an entry are replaced."""
+def check_operators(operators: dict[str, dict] | None) -> dict[str, dict]:
     rows = operators or {}
     for name, spec in rows.items():
         if spec.get("type") not in ("replace", "redact", "keep", "mask"):
             raise ValueError(f"unknown operator for {name!r}: {spec!r}")
         if spec["type"] == "mask" and (len(spec.get("char", "*")) != 1 or spec.get("n", 1) < 1 or spec.get("from", "start") not in ("start", "end")):
             raise ValueError(f"bad mask for {name!r}: {spec!r}")
+    return rows
+
+
+def with_operators(entities: DataFrame, operators: dict[str, dict] | None = None) -> DataFrame:
+    """Columns op, mask_char, mask_n, mask_from by label; labels without an entry are replaced."""
+    rows = check_operators(operators)
 
     def pick(field: str, default):
         out = F.lit(default)
@@ -80,31 +85,81 @@ def placeholders(entities: DataFrame, docs: DataFrame) -> DataFrame:
     return keyed.join(numbered, ["doc_id", "key", "ident"]).withColumn("placeholder", F.concat(F.lit("["), F.col("key"), F.lit("_"), F.col("number").cast("string"), F.lit("]")))
 
 
-def redact(docs: DataFrame, entities: DataFrame, operators: dict[str, dict] | None = None) -> DataFrame:
-    """doc_id, redacted_text, redaction_map, operator_map, replacements, entity_count.
+def _operator(operators: dict[str, dict], label: Column, field: str, default):
+    out = F.lit(default)
+    for name, spec in operators.items():
+        out = F.when(label == name, F.lit(spec.get(field, default))).otherwise(out)
+    return out
 
-    Kept spans, masked spans and replaced or redacted spans are each made disjoint; a mask
-    that a replaced span overlaps is dropped.
+
+def redact_arrays(docs: DataFrame, operators: dict[str, dict] | None = None, entities: str = "entities") -> DataFrame:
+    """docs (doc_id, text, entities: array of start, end, label, text, seq and perhaps source_text) redacted, row by row.
+
+    Returns doc_id, redacted_text, redaction_map, operator_map, replacements, entity_count and the
+    other columns of docs. Kept spans, masked spans and replaced or redacted spans are each made
+    disjoint; a mask that a replaced span overlaps is dropped. Nothing is shuffled.
     """
-    chosen = with_operators(entities, operators)
-    hidden = greedy(chosen.where("op in ('replace', 'redact')"))
-    masks = greedy(chosen.where("op = 'mask'"))
-    kept = greedy(chosen.where("op = 'keep'"))
-    numbered = placeholders(hidden.where("op = 'replace'"), docs)
-    replaced = numbered.select("doc_id", "start", "end", "label", "op", F.col("placeholder").alias("repl"), F.coalesce("source_text", "text").alias("original") if "source_text" in entities.columns else F.col("text").alias("original"))
-    struck = hidden.where("op = 'redact'").select("doc_id", "start", "end", "label", "op", F.lit(REDACTED).alias("repl"), F.col("text").alias("original"))
-    over = replaced.select(F.col("doc_id").alias("d"), F.col("start").alias("a"), F.col("end").alias("b")).unionByName(struck.select(F.col("doc_id").alias("d"), F.col("start").alias("a"), F.col("end").alias("b")))
-    free = masks.join(over, (F.col("doc_id") == F.col("d")) & (F.col("start") < F.col("b")) & (F.col("a") < F.col("end")), "left_anti")
-    hid = free.select("doc_id", "start", "end", "label", "op", masked(F.col("text"), F.col("mask_char"), F.col("mask_n"), F.col("mask_from")).alias("repl"), F.col("text").alias("original"))
-    shown = kept.select("doc_id", "start", "end", "label", "op", F.lit(None).cast("string").alias("repl"), F.col("text").alias("original"))
-    rows = replaced.unionByName(struck).unionByName(hid).unionByName(shown)
-    per = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "label", "op", "repl", "original"))).alias("es"))
-    joined = docs.select("doc_id", "text").join(per, "doc_id", "left").withColumn("es", F.coalesce("es", F.array().cast("array<struct<start:int,end:int,label:string,op:string,repl:string,original:string>>")))
-    cut = F.transform(F.filter("es", lambda e: e["repl"].isNotNull()), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["repl"].alias("replacement")))
-    shape = F.filter("es", lambda e: e["op"] == "replace")
-    first = F.aggregate(shape, F.array().cast("array<struct<placeholder:string,original:string>>"), lambda acc, e: F.when(F.exists(acc, lambda m: m["placeholder"] == e["repl"]), acc).otherwise(F.concat(acc, F.array(F.struct(e["repl"].alias("placeholder"), e["original"].alias("original"))))))
-    ops = F.transform("es", lambda e: F.struct(F.when(e["op"] == "keep", e["original"]).otherwise(e["repl"]).alias("placeholder"), e["op"].alias("operator")))
-    return joined.select("doc_id", S.render("text", cut).alias("redacted_text"), first.alias("redaction_map"), F.array_distinct(ops).alias("operator_map"), cut.alias("replacements"), F.size("es").alias("entity_count"))
+    rows = check_operators(operators)
+    fields = docs.schema[entities].dataType.elementType.names
+
+    def chosen(e: Column) -> Column:
+        said = F.coalesce(e["source_text"], e["text"]) if "source_text" in fields else e["text"]
+        return F.struct(
+            e["start"].alias("start"), e["end"].alias("end"), e["seq"].alias("seq"), e["label"].alias("label"), e["text"].alias("text"), said.alias("said"),
+            _operator(rows, e["label"], "type", "replace").alias("op"), S.label_key(e["label"]).alias("key"), identity(e["label"], said).alias("ident"),
+        )
+
+    def of(*ops: str):
+        return lambda all_: S.non_overlapping(F.filter(all_, lambda e: e["op"].isin(*ops)))
+
+    def shown(e: Column, repl: Column, original: Column) -> Column:
+        return F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), e["op"].alias("op"), repl.alias("repl"), original.alias("original"))
+
+    token = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
+    taken = F.when(F.col("text").rlike(TOKEN), F.array_distinct(token)).otherwise(F.array().cast("array<string>"))
+    taken = F.filter(F.transform(taken, lambda t: F.struct(F.regexp_extract(t, r"^\[(.+)_([0-9]+)\]$", 1).alias("key"), F.regexp_extract(t, r"^\[(.+)_([0-9]+)\]$", 2).try_cast("int").alias("n"))), lambda t: t["n"].isNotNull())
+
+    def placeholder(e: Column, pairs: Column, used: Column) -> Column:
+        """The token of a span: its identity's place among those of its key, past the numbers that the text uses."""
+        rank = F.array_position(F.transform(F.filter(pairs, lambda p: p["key"] == e["key"]), lambda p: p["ident"]), e["ident"]).cast("int")
+        own = F.transform(F.filter(used, lambda t: t["key"] == e["key"]), lambda t: t["n"])
+        free = lambda r: F.when(F.size(used) == 0, r).otherwise(F.element_at(F.array_except(F.sequence(F.lit(1), r + F.size(own)), own), r))
+        return F.concat(F.lit("["), e["key"], F.lit("_"), S.bound(rank, free).cast("string"), F.lit("]"))
+
+    hidden_rows = lambda h, used: S.bound(
+        F.array_distinct(F.transform(F.filter(h, lambda e: e["op"] == "replace"), lambda e: F.struct(e["key"].alias("key"), e["ident"].alias("ident")))),
+        lambda pairs: F.transform(h, lambda e: F.when(e["op"] == "replace", shown(e, placeholder(e, pairs, used), e["said"])).otherwise(shown(e, F.lit(REDACTED), e["text"]))),
+    )
+
+    def mask_of(e: Column) -> Column:
+        return masked(e["text"], *(_operator(rows, e["label"], f, d) for f, d in (("char", "*"), ("n", 2**31 - 1), ("from", "start"))))
+
+    def settled(all_: Column, used: Column) -> Column:
+        parts = [S.bound(of("replace", "redact")(all_), lambda h: hidden_rows(h, used))]
+        if any(spec["type"] == "mask" for spec in rows.values()):
+            crossed = lambda m, h: F.exists(h, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
+            free = S.bound(of("replace", "redact")(all_), lambda h: F.filter(of("mask")(all_), lambda m: ~crossed(m, h)))
+            parts.append(F.transform(free, lambda e: shown(e, mask_of(e), e["text"])))
+        if any(spec["type"] == "keep" for spec in rows.values()):
+            parts.append(F.transform(of("keep")(all_), lambda e: shown(e, F.lit(None).cast("string"), e["text"])))
+        return F.array_sort(F.concat(*parts))
+
+    es = F.coalesce(F.col(entities), F.filter(F.array(F.col(entities)[0]), lambda _: F.lit(False)))
+    done = S.computed(docs, _es=S.bound(taken, lambda used: S.bound(F.transform(es, chosen), lambda all_: settled(all_, used))))
+    cut = F.transform(F.filter("_es", lambda e: e["repl"].isNotNull()), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["repl"].alias("replacement")))
+    said = F.transform(F.filter("_es", lambda e: e["op"] == "replace"), lambda e: F.struct(e["repl"].alias("placeholder"), e["original"].alias("original")))
+    # The first original of each placeholder: a span is the first if no earlier one has its token.
+    first = S.bound(said, lambda m: S.bound(F.transform(m, lambda x: x["placeholder"]), lambda names: F.filter(m, lambda x, i: F.array_position(names, x["placeholder"]) == i + 1)))
+    ops = F.transform("_es", lambda e: F.struct(F.when(e["op"] == "keep", e["original"]).otherwise(e["repl"]).alias("placeholder"), e["op"].alias("operator")))
+    more = [c for c in docs.columns if c not in ("doc_id", "text", entities)]
+    return done.select("doc_id", S.render("text", cut).alias("redacted_text"), first.alias("redaction_map"), F.array_distinct(ops).alias("operator_map"), cut.alias("replacements"), F.size("_es").alias("entity_count"), *more)
+
+
+def redact(docs: DataFrame, entities: DataFrame, operators: dict[str, dict] | None = None) -> DataFrame:
+    """redact_arrays() of rows of entities: they are gathered by document and joined to the texts once."""
+    fields = ["start", "end", "label", "text", "seq", *(["source_text"] if "source_text" in entities.columns else [])]
+    per = entities.groupBy("doc_id").agg(F.collect_list(F.struct(*fields)).alias("entities"))
+    return redact_arrays(docs.select("doc_id", "text").join(per, "doc_id", "left"), operators)
 
 
 def restore(text: Column, redaction_map: Column, only: list[str] | None = None) -> Column:

@@ -115,19 +115,27 @@ def numbered(found: Column, rule: Rule, place: int) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score"), F.lit(rule.rule_id).alias("rule_id"), seq(s["k"])))
 
 
-def detect(docs: DataFrame, rules: list[Rule] | None = None, labels: list[str] | None = None, id_col: str = "doc_id", text: str = "text", groups: int = 8) -> DataFrame:
-    """doc_id, start, end, label, text, score, source, seq. Rules of labels that aren't wanted are never scanned.
+#: Rules that one projection scans; its code is bounded.
+GROUP = 8
+FOUND = "array<struct<start:int,end:int,label:string,score:double,rule_id:string,seq:bigint>>"
 
-    Rules are scanned in a few projections rather than one, as the code of a projection is
-    bounded; there is no shuffle. seq keeps the order of rules and matches.
+
+def detect_arrays(docs: DataFrame, rules: list[Rule] | None = None, labels: list[str] | None = None, text: str = "text", out: str = "entities") -> DataFrame:
+    """docs with an array of entities (start, end, label, text, score, source, rule_id, seq), in one pass over the texts.
+
+    Rules of labels that aren't wanted are never scanned. seq keeps the order of rules and matches.
     """
     chosen = [r for r in (rules if rules is not None else RULES) if not labels or r.label in labels]
-    docs = spread(docs.select(id_col, text)) if len(chosen) > groups else docs
-    t = S.normalize_search(F.col(text))
-    out = None
-    for lo in range(0, len(chosen), groups):
-        part = [numbered(matches(F.col("_t"), r), r, lo + n) for n, r in enumerate(chosen[lo : lo + groups])]
-        rows = docs.select(id_col, F.col(text).alias("_raw"), t.alias("_t")).select(id_col, "_raw", F.explode(F.concat(*part)).alias("e"))
-        rows = rows.select(id_col, "e.start", "e.end", "e.label", F.expr("substring(_raw, e.start + 1, e.end - e.start)").alias("text"), "e.score", F.lit("regex").alias("source"), "e.rule_id", "e.seq")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = docs.withColumns({"_t": S.normalize_search(F.col(text)), "_found": F.array().cast(FOUND)})
+    for lo in range(0, len(chosen), GROUP):
+        part = [numbered(matches(F.col("_t"), r), r, lo + n) for n, r in enumerate(chosen[lo : lo + GROUP])]
+        rows = rows.withColumn("_found", F.concat("_found", *part).cast(FOUND))
+    cut = lambda e: F.substring(F.col(text), e["start"] + 1, e["end"] - e["start"])
+    entity = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), cut(e).alias("text"), e["score"].alias("score"), F.lit("regex").alias("source"), e["rule_id"].alias("rule_id"), e["seq"].alias("seq"))
+    return S.computed(rows, **{out: F.transform("_found", entity)}).drop("_t", "_found")
+
+
+def detect(docs: DataFrame, rules: list[Rule] | None = None, labels: list[str] | None = None, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, start, end, label, text, score, source, rule_id, seq, one row an entity; `keep` names columns of docs that go with it."""
+    rows = detect_arrays(spread(docs.select(id_col, text, *keep)), rules, labels, text=text, out="_entities")
+    return rows.select(id_col, *keep, F.explode("_entities").alias("_e")).select(id_col, "_e.*", *keep)

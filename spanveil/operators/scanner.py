@@ -128,7 +128,10 @@ def dates(text: str, languages: tuple[str, ...] = tuple(V.MONTHS)) -> list[Entit
 
 def money(text: str) -> list[Entity]:
     """Amounts with a currency before or after, magnitudes, written numbers and their repetition in words."""
-    if not holds(text.lower(), V.CURRENCY_NAMES + V.CURRENCY_SYMBOLS + V.CURRENCY_CODES):
+    low = text.lower()
+    named = holds(low, V.CURRENCY_NAMES)
+    marked = DIGIT.search(text) is not None and (named or holds(low, V.CURRENCY_SYMBOLS) or compiled(rf"\b(?:{any_of(V.CURRENCY_CODES)})\b", regex.I).search(text) is not None)
+    if not named and not marked:
         return []
     number = r"\d{1,3}(?:[ ,.'’]\d{3})+(?:[.,]\d{1,2})?|\d+(?:[.,]\d+)?"
     magnitude = rf"(?: ?(?:{any_of(V.MAGNITUDES)})\b)?"
@@ -136,7 +139,7 @@ def money(text: str) -> list[Entity]:
     name = any_of(V.CURRENCY_NAMES)
     written = rf"(?:\b(?:{any_of(V.NUMBER_WORDS)})\b[ -]?(?:and )?)+"
     forms = [rf"(?:{unit}) ?(?:{number}){magnitude}", rf"(?<![\w.,])(?:{number}){magnitude} ?(?:{unit}|(?:{name})\b)", rf"{written}(?:{name})\b"]
-    found = [m.span() for f in forms for m in compiled(f, regex.I).finditer(text) if not compiled(r" ?(?:shares|stück|akcií|actions)\b", regex.I).match(text, m.end(), m.end() + 20)]
+    found = [m.span() for f, may in zip(forms, (marked, marked, named), strict=True) if may for m in compiled(f, regex.I).finditer(text) if not compiled(r" ?(?:shares|stück|akcií|actions)\b", regex.I).match(text, m.end(), m.end() + 20)]
     repeated = compiled(r" ?\((?:in words|in figures|slovy|in Worten|en lettres|en letras)[: ][^()\n]{3,120}\)", regex.I)
     out = []
     for a, b in outermost(found):
@@ -759,4 +762,5 @@ def resolve(text: str, entities: list[Entity], threshold: float = 0.3, labels: s
     first = once(entities)
     aliases = coreferences(text, first) if coreference else []
     final = once([*first, *aliases]) if aliases else first
+    final = [e for e in final if (not labels or e.label in labels) and (e.score >= threshold or e.source_detail == "address-context")]
     return [replace(e, source_detail=None) if e.source_detail == "address-context" else e for e in final]

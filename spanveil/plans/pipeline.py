@@ -2,26 +2,30 @@
 
 `resolved` runs regex rules as column expressions and the sequential detectors with
 mapInArrow, in one pass over the documents without a shuffle: rule matches travel as an
-array beside the text, so even the resolution of a document is narrow. Detectors that the
-configuration switches off are not in the plan.
+array beside the text, so even the resolution of a document is narrow, and the redaction
+after it is array expressions on the same row. Detectors that the configuration switches off
+are not in the plan.
 
 The terms of the dictionary detectors (deny lists, gazetteer, countries) and the detections of
-a caller are tables, given as `Tables`. Their hits are joined to the documents before the
-resolution, which is a shuffle; without tables there is none.
+a caller are tables, given as `Tables`. A deny list, custom deny list or list of countries of at
+most `lookup.SMALL_TERMS` terms travels with the tasks; larger ones, the gazetteer (its fuzzy
+hits need a join) and the caller's spans are joined to the documents before the resolution.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import spans as S
 from ..operators import dictionary as D
+from ..operators import lookup as L
 from ..operators import redact as R
 from ..operators import rules as rule_catalogue
 from ..operators.filters import BAND, BONUS, ANCHOR, NEAR, ZONE_BOOST, HEADING, SIGNING
@@ -49,6 +53,7 @@ class PipelineConfig:
     name_mode: str = "full"
     custom_regex: tuple[tuple[str, str, float], ...] = ()  # pattern, label, score
     operators: dict[str, dict] = field(default_factory=dict)
+    resolve: bool = True  # False: what the detectors find, overlaps and all
 
     def __post_init__(self):
         unknown = set(self.detectors) - set(ORDER)
@@ -92,6 +97,7 @@ def literal_hits(docs: DataFrame, config: PipelineConfig, tables: Tables) -> Dat
     }
     hits = [shaped(run(getattr(tables, name)), name) for name, run in runs.items() if name in config.detectors and getattr(tables, name) is not None]
     out = docs.withColumn("literal", F.array().cast(LITERAL))
+    more = [c for c in docs.columns if c not in ("doc_id", "text", "found")]
     if hits:
         every = hits[0]
         for more in hits[1:]:
@@ -102,7 +108,7 @@ def literal_hits(docs: DataFrame, config: PipelineConfig, tables: Tables) -> Dat
         spans = shaped(tables.caller.withColumn("source", F.lit("caller")), "caller")
         by_id = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("hit").cast(LITERAL).alias("_spans"))
         out = out.join(by_id, F.col("doc_id") == F.col("_id"), "left").withColumn("literal", F.concat("literal", F.coalesce("_spans", F.array().cast(LITERAL)))).drop("_id", "_spans")
-    return out.select("doc_id", "text", "found", F.array_sort("literal").alias("literal"))
+    return out.select("doc_id", "text", "found", F.array_sort("literal").alias("literal"), *more)
 
 
 def tagged(found: Column, rule: rule_catalogue.Rule) -> Column:
@@ -111,23 +117,62 @@ def tagged(found: Column, rule: rule_catalogue.Rule) -> Column:
 
 
 def rule_matches(docs: DataFrame, config: PipelineConfig, id_col: str, text: str) -> DataFrame:
-    """docs (id, text) with `found`: matches of the wanted regex rules, array of structs."""
+    """docs (doc_id, text, and its other columns) with `found`: matches of the wanted regex rules, array of structs."""
     chosen = [r for r in rule_catalogue.RULES if not config.labels or r.label in config.labels] if "regex" in config.detectors else []
     chosen += [rule_catalogue.Rule(f"custom-{i}", label, pattern, score, digit=False) for i, (pattern, label, score) in enumerate(config.custom_regex)]
     kind = "array<struct<start:int,end:int,label:string,score:double,custom:boolean>>"
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), S.normalize_search(text).alias("_t"), F.array().cast(kind).alias("found"))
+    more = [c for c in docs.columns if c not in (id_col, text)]
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), S.normalize_search(text).alias("_t"), F.array().cast(kind).alias("found"), *more)
     for lo in range(0, len(chosen), RULES_PER_PROJECTION):
         parts = [tagged(rule_catalogue.matches(F.col("_t"), r), r) for r in chosen[lo : lo + RULES_PER_PROJECTION]]
-        out = out.select("doc_id", "text", "_t", F.concat("found", *parts).cast(kind).alias("found"))
-    return out.select("doc_id", "text", "found")
+        out = out.withColumn("found", F.concat("found", *parts).cast(kind))
+    return out.drop("_t")
+
+
+def carried(config: PipelineConfig, tables: Tables) -> tuple[dict, Tables]:
+    """(dictionaries that travel with the tasks, the tables that are left for joins)."""
+    out, left = {}, tables
+    if "deny_list" in config.detectors and (rows := L.small(tables.deny_list, "term")) is not None and (tables.stopwords is None or (stop := L.small(tables.stopwords, "word")) is not None):
+        words = {L.folded(r["word"]) for r in stop if r["word"]} if tables.stopwords is not None else set()
+        out["deny_list"] = (L.Lexicon((r["term"], r["labels"]) for r in rows), words)
+        left = replace(left, deny_list=None)
+    if "custom_deny_list" in config.detectors and (rows := L.small(tables.custom_deny_list, "value")) is not None:
+        out["custom_deny_list"] = L.Lexicon(sorted({(L.folded(r["value"]), r["label"]) for r in rows if r["value"]}))
+        left = replace(left, custom_deny_list=None)
+    if "countries" in config.detectors and (rows := L.small(tables.countries, "surface")) is not None and (tables.ambiguous is None or (odd := L.small(tables.ambiguous, "surface")) is not None):
+        no = {L.folded(r["surface"]) for r in odd if r["surface"]} if tables.ambiguous is not None else set()
+        terms = {L.folded(r["surface"]) for r in rows if r["surface"]}
+        out["countries"] = L.Lexicon((t, "country") for t in sorted(terms - no) if len(t) > 3)
+        left = replace(left, countries=None)
+    return out, left
+
+
+def lexical(text: str, lexicons: dict, config: PipelineConfig) -> list[dict]:
+    """Hits of the dictionaries that travel with the tasks, like those of literal_hits()."""
+    out = []
+
+    def add(name: str, a: int, b: int, label: str, score: float, source: str, detail: str | None = None) -> None:
+        if not config.labels or label in config.labels:
+            out.append({"rank": ORDER.index(name), "start": a, "end": b, "label": label, "score": score, "source": source, "source_detail": detail})
+
+    if "deny_list" in lexicons:
+        for a, b, label in L.deny_list(text, *lexicons["deny_list"]):
+            add("deny_list", a, b, label, 0.9, "deny-list")
+    if "custom_deny_list" in lexicons:
+        for a, b, _, labels in lexicons["custom_deny_list"].hits(text):
+            for label in labels:
+                add("custom_deny_list", a, b, label, 0.9, "deny-list", "custom-deny-list")
+    if "countries" in lexicons:
+        for a, b, surface, _ in lexicons["countries"].hits(text):
+            if L.UPPER.match(surface):
+                add("countries", a, b, "country", 0.95, "country")
+    return out
 
 
 def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[dict] = ()):
     """Resolved entities of one text, from its rule matches, literal hits and the other detectors."""
     import regex
 
-    from dataclasses import replace
-
     from ..functions import vocab as V
     from ..operators import scanner as C
 
@@ -145,6 +190,8 @@ def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[
         entities += C.structured(search)
     entities += given[True]
     entities = [replace(e, text=text[e.start : e.end]) for e in entities]
+    if not config.resolve:
+        return sorted((e for e in entities if not config.labels or e.label in config.labels), key=lambda e: (e.start, e.end, e.label))
     if config.zones and entities:
         at, rows = 0, []
         for line in search.split("\n"):
@@ -195,41 +242,59 @@ def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[
     return C.resolve(text, entities, config.threshold, set(config.labels) or None, config.coreference)
 
 
-ROW = "doc_id long, start int, end int, label string, text string, score double, source string, source_detail string, kind string, source_text string, seq long"
+#: An entity, without its document.
+FIELDS = [("start", pa.int32()), ("end", pa.int32()), ("label", pa.string()), ("text", pa.string()), ("score", pa.float64()), ("source", pa.string()), ("source_detail", pa.string()), ("kind", pa.string()), ("source_text", pa.string()), ("seq", pa.int64())]
+ENTITIES = "array<struct<start:int,end:int,label:string,text:string,score:double,source:string,source_detail:string,kind:string,source_text:string,seq:bigint>>"
+ROWS = 200
 
 
-def resolved(docs: DataFrame, config: PipelineConfig | None = None, id_col: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
-    """Entity rows of all documents: no overlaps, ordered by seq in a document. Null texts have none."""
-    config = config or PipelineConfig()
+def resolved_arrays(docs: DataFrame, config: PipelineConfig | None = None, id_col: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
+    """docs (doc_id, text and its other columns) with `entities`: no overlaps, in order. Null texts have none."""
+    config, tables = config or PipelineConfig(), tables or Tables()
+    lexicons, tables = carried(config, tables)
+    more = [c for c in docs.columns if c not in (id_col, text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ..operators import scanner as C
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part, rows = batch.slice(lo, 200), []
-                for doc, body, found, literal in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
-                    for k, e in enumerate(analyse(body or "", found, config, literal)):
-                        rows.append((doc, e.start, e.end, e.label, e.text, e.score, e.source, e.source_detail, e.kind, e.source_text, k))
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
-                names = [f.split()[0] for f in ROW.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                cols: list[list] = [[] for _ in FIELDS]
+                ends = [0]
+                for body, found, literal in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    if body:
+                        if lexicons:
+                            literal = sorted([*literal, *lexical(body.translate(C.FOLD), lexicons, config)], key=lambda h: (h["rank"], h["start"], h["end"], h["label"]))
+                        for k, e in enumerate(analyse(body, found, config, literal)):
+                            for c, v in zip(cols, (e.start, e.end, e.label, e.text, e.score, e.source, e.source_detail, e.kind, e.source_text, k), strict=True):
+                                c.append(v)
+                    ends.append(len(cols[0]))
+                entities = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, FIELDS, strict=True)], names=[n for n, _ in FIELDS])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entities), *part.columns[4:]], names=["doc_id", "text", "entities", *more])
+
+    matched = rule_matches(rule_catalogue.spread(docs), config, id_col, text)
+    joined = literal_hits(matched, config, tables)
+    schema = T.StructType([joined.schema["doc_id"], joined.schema["text"], T.StructField("entities", T.DataType.fromDDL(ENTITIES)), *(joined.schema[c] for c in more)])
+    return joined.mapInArrow(run, schema)
+
 
-    matched = rule_matches(rule_catalogue.spread(docs.select(id_col, text)), config, id_col, text)
-    return literal_hits(matched, config, tables or Tables()).mapInArrow(run, ROW)
+def resolved(docs: DataFrame, config: PipelineConfig | None = None, id_col: str = "doc_id", text: str = "text", tables: Tables | None = None) -> DataFrame:
+    """Entity rows of all documents: no overlaps, ordered by seq in a document. Null texts have none."""
+    return resolved_arrays(docs.select(id_col, text), config, id_col, text, tables).select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.*")
 
 
 def redacted(docs: DataFrame, config: PipelineConfig | None = None, tables: Tables | None = None) -> DataFrame:
-    """redact() of the resolved entities with the operators of the configuration."""
+    """The resolved documents redacted with the operators of the configuration, row by row."""
     config = config or PipelineConfig()
-    return R.redact(docs, resolved(docs, config, tables=tables), config.operators)
+    return R.redact_arrays(resolved_arrays(docs, config, tables=tables), config.operators)
 
 
 def stages(docs: DataFrame, config: PipelineConfig | None = None, tables: Tables | None = None) -> dict[str, DataFrame]:
-    """The three results of a run, as DataFrames: detected (before resolution), resolved, redacted."""
+    """The three results of a run, as DataFrames: detected (what all detectors find, before the resolution), resolved, redacted."""
     config = config or PipelineConfig()
-    detected = rule_matches(docs, config, "doc_id", "text").select("doc_id", F.explode("found").alias("e")).select("doc_id", "e.*")
-    entities = resolved(docs, config, tables=tables)
-    return {"detected": detected, "resolved": entities, "redacted": R.redact(docs, entities, config.operators)}
+    every = replace(config, resolve=False)
+    return {"detected": resolved(docs, every, tables=tables), "resolved": resolved(docs, config, tables=tables), "redacted": redacted(docs, config, tables)}
 
 
 def diagnostics(entities: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import validators as V
 from ..operators import blocks, evaluate, filters, redact, session
 from ..operators import dictionary as terms_of
-from ..operators.rules import CARD, IPV4, NANP, SECRET, Rule, detect
+from ..operators.rules import CARD, IPV4, NANP, SECRET, Rule, detect, detect_arrays, spread
 from ..sources.text import html_to_text
 from ..streaming import streams
 from ..session import ready
@@ -36,6 +36,10 @@ def five(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"), FIVE)
 
 
+def five_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_arrays(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), FIVE)
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"), FIVE + CUED)
 
@@ -55,14 +59,13 @@ def normalize_search(spark, sf_dir):
 
 def summary_by_language(spark, sf_dir):
     """Redactable entities by language and label: the flagship."""
-    e = redact.greedy(five(spark, sf_dir))
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    return e.join(d, "doc_id").groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n_entities"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("text").alias("n_values"))
+    d = detect_arrays(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")), FIVE)
+    e = d.select("doc_id", "lang", F.explode(S.non_overlapping(F.transform("entities", lambda x: F.struct(x["start"], x["end"], x["seq"], x["label"], x["text"])))).alias("e")).select("doc_id", "lang", "e.label", "e.text")
+    return e.groupBy("lang", "label").agg(F.count(F.lit(1)).alias("n_entities"), F.countDistinct("doc_id").alias("n_docs"), F.countDistinct("text").alias("n_values"))
 
 
 def entities_rollup(spark, sf_dir):
-    e = five(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return filters.rollup_by(e, ["lang", "label"])
+    return filters.rollup_by(detect(table(spark, sf_dir, "documents"), FIVE, keep=("lang",)), ["lang", "label"])
 
 
 def non_overlapping_spans(spark, sf_dir):
@@ -123,20 +126,24 @@ def threshold_and_labels(spark, sf_dir):
 HOT = [("ip", "ip address", 0.2, 60, 60, None), ("contact", "email address", 0.1, 80, 150, "contact address"), ("call", "phone number", -0.15, 60, 60, None), ("the", "number", 0.25, 40, 40, "reference")]
 
 
+def hotword_hits(text: Column) -> Column:
+    """Hits of all hotwords as an array, from one scan."""
+    found = S.spans(F.lower(text), rf"\b(?:{'|'.join(w for w, *_ in HOT)})\b")
+    fields = ("target_label", "adjustment", "before", "after", "reclassify")
+    rows = F.create_map(*[x for k, (word, *more) in enumerate(HOT) for x in (F.lit(word), F.struct(F.lit(k).alias("rule"), *[F.lit(v).cast("string" if n in ("target_label", "reclassify") else "double" if n == "adjustment" else "int").alias(n) for n, v in zip(fields, more, strict=True)]))])
+    return F.transform(found, lambda s: F.struct(s["start"].alias("hit_start"), s["end"].alias("hit_end"), *[rows[s["value"]][n].alias(n) for n in ("rule", *fields)]))
+
+
 def hotword_decay(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    hits = None
-    for k, (word, label, change, before, after, new) in enumerate(HOT):
-        h = d.select("doc_id", F.explode(S.spans(F.lower("text"), rf"\b{word}\b")).alias("s")).select("doc_id", F.col("s.start").alias("hit_start"), F.col("s.end").alias("hit_end"), F.lit(k).alias("rule"), F.lit(label).alias("target_label"), F.lit(change).alias("adjustment"), F.lit(before).alias("before"), F.lit(after).alias("after"), F.lit(new).cast("string").alias("reclassify"))
-        hits = h if hits is None else hits.unionByName(h)
-    out = filters.hotword_adjust(mixed(spark, sf_dir), hits)
-    return out.select("doc_id", F.col("start").alias("span_start"), F.col("end").alias("span_end"), "label", F.round("score", 6).alias("score"))
+    d = detect_arrays(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), FIVE + CUED)
+    d = S.computed(d.where(F.size("entities") > 0), hits=hotword_hits(F.col("text")))
+    out = filters.hotword_arrays(d).select("doc_id", F.explode("entities").alias("e"))
+    return out.select("doc_id", F.col("e.start").alias("span_start"), F.col("e.end").alias("span_end"), "e.label", F.round("e.score", 6).alias("score"))
 
 
 def zone_of_entity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    out = filters.zone_boost(five(spark, sf_dir), filters.zones(d))
-    return out.select("doc_id", F.col("start").alias("span_start"), "label", "zone", F.round("score", 6).alias("score"))
+    out = filters.zone_arrays(five_arrays(spark, sf_dir)).select("doc_id", F.explode("entities").alias("e"))
+    return out.select("doc_id", F.col("e.start").alias("span_start"), "e.label", "e.zone", F.round("e.score", 6).alias("score"))
 
 
 def zone_lines(spark, sf_dir):
@@ -212,8 +219,7 @@ def redact_constant(spark, sf_dir):
 
 
 def redact_replace(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    out = redact.redact(d, five(spark, sf_dir))
+    out = redact.redact_arrays(five_arrays(spark, sf_dir))
     return out.where("entity_count > 0").select("doc_id", F.col("redacted_text"), F.size("redaction_map").cast("long").alias("n_keys"))
 
 
@@ -223,14 +229,12 @@ def mask_last4(spark, sf_dir):
 
 
 def operator_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    out = redact.redact(d, five(spark, sf_dir), OPERATORS)
+    out = redact.redact_arrays(five_arrays(spark, sf_dir), OPERATORS)
     return out.select(F.explode("operator_map").alias("o"), "doc_id").groupBy(F.col("o.operator").alias("operator")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def restore_roundtrip(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    out = redact.redact(d, five(spark, sf_dir)).join(d.select("doc_id", F.col("text").alias("original")), "doc_id")
+    out = redact.redact_arrays(five_arrays(spark, sf_dir).withColumn("original", F.col("text")))
     same = redact.restore(F.col("redacted_text"), F.col("redaction_map")) == F.col("original")
     return out.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(same.cast("long")).alias("n_restored"), F.sum((F.col("entity_count") > 0).cast("long")).alias("n_changed"))
 
@@ -242,8 +246,7 @@ def invalid_spans(spark, sf_dir):
 
 def session_entities(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("session_id", F.concat(F.lit("s_"), (F.col("doc_id") % 7).cast("string")))
-    e = detect(d, FIVE).join(d.select("doc_id", "session_id"), "doc_id")
-    return e.withColumn("doc_seq", F.col("doc_id"))
+    return detect(d, FIVE, keep=("session_id",)).withColumn("doc_seq", F.col("doc_id"))
 
 
 def session_cross_document(spark, sf_dir):
@@ -358,8 +361,8 @@ def block_findings(spark, sf_dir):
 
 
 def offsets(spark, sf_dir):
-    e = detect(table(spark, sf_dir, "documents"), FIVE).join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")), "doc_id")
-    return e.select("doc_id", F.col("start").alias("span_start"), S.utf8_offset("body", F.col("start")).cast("long").alias("utf8"), S.utf16_offset("body", F.col("start")).cast("long").alias("utf16"))
+    e = five_arrays(spark, sf_dir).select("doc_id", "text", F.explode("entities.start").alias("span_start"))
+    return e.select("doc_id", "span_start", S.utf8_offset("text", F.col("span_start")).cast("long").alias("utf8"), S.utf16_offset("text", F.col("span_start")).cast("long").alias("utf16"))
 
 
 def label_keys(spark, sf_dir):
