@@ -6,22 +6,23 @@ document and an earlier start). Strings are judged on the input, within document
 1. Each window of MIN bytes is served by its smallest hashed k-mer (an anchor). The choice
    depends on the window's bytes alone, so equal windows have equal anchors at equal places.
    Windows in a row with one anchor form one context: the bytes that they cover. For each
-   anchor only two hashes (of the k-mer and of the context) and the place are shuffled.
-2. Contexts that are equal as a whole keep their first place; all others are covered.
-   Anchors with one context left are done. This settles most of the text.
-3. The contexts that are left fetch their bytes. In each bucket of anchors an enhanced
-   suffix array over their windows is built (suffixes sorted, common prefixes of neighbours),
-   a stack scan walks its common-prefix interval tree, and each interval of MIN bytes or
-   more with more than one left extension is a maximal repeat group with all its places;
-   intervals with one left extension are parts of a longer group. All places of a group but
-   the first are covered.
+   anchor the hash of the k-mer, a 128-bit digest of the context (BLAKE2b) and the place are
+   shuffled. Equal contexts of one task are combined before: the first stands for them.
+2. Places of an anchor meet. An anchor with one place is done. Of equal contexts the first
+   place is the representative, the others are its further places.
+3. Representatives fetch their bytes. In each bucket of anchors an enhanced suffix array over
+   their windows is built (suffixes sorted, common prefixes of neighbours), and a stack scan
+   walks its common-prefix interval tree. Each interval of MIN bytes or more with more than
+   one left extension is a maximal repeat group with all its places; intervals with one left
+   extension are parts of a longer group. A representative with further places is a leaf of
+   several places, a group of its own. All places of a group but the first are covered.
 4. Spans are merged for each document and its bytes cut.
 
 Hot anchors: a passage in a third of all documents has, at its ends, anchors with another
 context in each document. A hash subset of the documents finds such anchors beforehand
 (this steers the dealing only; results don't depend on it). They are dealt by document in
 step 2 and by context in step 3, each share has its own suffix array, and the windows that
-no share has settled meet by fingerprint (step 3b). Long texts are read in overlapping
+no share has settled meet by a 128-bit fingerprint (step 3b). Long texts are read in overlapping
 segments. Nothing is collected but the list of hot anchors, at most HOT_MOST.
 
 Null text: no bytes. Texts under MIN bytes lose nothing. Ids that are null or repeat: rows
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,10 +55,13 @@ HOT_ONE_IN, HOT_AT, HOT_MOST, HOT_SHARES = 64, 32, 100_000, 64
 
 ONE = np.uint64(1)
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-BASE = 0x5851F42D4C957F2D
-INVERSE = pow(BASE, -1, 1 << 64)
-BYTE = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + ONE
-KINDS = {"anchor": [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("w", "u1")], "place": [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("w", "u1")], "mark": [("doc", "<i8"), ("s", "<u4"), ("n", "<u4")], "window": [("f", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("s", "<u4")]}
+#: Two independent hashes of a byte.
+BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + ONE for seed in (1, 2)]
+PLACE = [("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("w", "u1")]
+KINDS = {"anchor": PLACE, "place": PLACE, "also": PLACE, "mark": [("doc", "<i8"), ("s", "<u4"), ("n", "<u4")], "window": [("f", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("s", "<u4")]}
+SHIFTS = (5, 11, 23)
+#: Anchors that one task combines and hands on at a time.
+FLUSH = 1_000_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -65,18 +69,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def powers(base: int, n: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006
-    if len(_kept.get(base, ())) < n:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        with np.errstate(over="ignore"):
-            _kept[base] = np.multiply.accumulate(out)
-    return _kept[base][:n]
-
-
-def hashes(data: np.ndarray, length: int) -> np.ndarray:
+def hashes(data: np.ndarray, length: int, which: int = 0) -> np.ndarray:
     """A hash of the `length` bytes at each place, by doubling."""
-    h, have, got, out = BYTE[data], 1, 0, None
+    h, have, got, out = BYTES[which][data], 1, 0, None
     while True:
         if length & have:
             part = h[got : got + len(data) - length + 1]
@@ -88,8 +83,23 @@ def hashes(data: np.ndarray, length: int) -> np.ndarray:
         have *= 2
 
 
+def bucket_of(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document, whatever pattern the ids follow; the same as bucket_column()."""
+    x = doc.astype(np.uint64)
+    for k in SHIFTS:
+        x = x ^ (x >> np.uint64(k))
+    return (x % np.uint64(buckets)).astype(np.int64)
+
+
+def bucket_column(buckets: int) -> Column:
+    x = F.col(ID)
+    for k in SHIFTS:
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, k))
+    return F.pmod(x, F.lit(buckets)).cast("int")
+
+
 def anchors(data: np.ndarray, minimum: int, kmer: int) -> tuple[np.ndarray, ...]:
-    """Of a text of at least `minimum` bytes: anchors' hashes, contexts' hashes, their starts, windows served."""
+    """Of a text of at least `minimum` bytes: anchors' hashes, contexts' digests in two parts, their starts, windows served."""
     out = []
     for lo in range(0, len(data) - minimum + 1, SEGMENT):
         seg = data[lo : lo + SEGMENT + minimum - 1]
@@ -104,9 +114,10 @@ def anchors(data: np.ndarray, minimum: int, kmer: int) -> tuple[np.ndarray, ...]
         at = (m & low).astype(np.int64)
         first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
         last = np.append(first[1:], len(at)) - 1
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((seg.astype(np.uint64) + ONE) * powers(BASE, len(seg)))])
-        c = (total[last + minimum] - total[first]) * powers(INVERSE, len(seg))[first]
-        out.append((h[at[first]], mixed(c + (last - first).astype(np.uint64) * M1), first + lo, last - first + 1))
+        raw = memoryview(seg)
+        digests = [hashlib.blake2b(raw[i:j], digest_size=16).digest() for i, j in zip(first.tolist(), (last + minimum).tolist(), strict=True)]
+        c = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        out.append((h[at[first]], c[:, 0], c[:, 1], first + lo, last - first + 1))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -139,6 +150,18 @@ def table_of(rows: list[tuple[str, int, bytes]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "blob"])
 
 
+def in_order(p: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(places by anchor, context and place, where an anchor begins, where a context begins)."""
+    order = np.lexsort((p["s"], p["doc"], p["d"], p["c"], p["h"]))
+    p = {n: v[order] for n, v in p.items()}
+    new_h = np.append(True, p["h"][1:] != p["h"][:-1])[: len(order)]
+    return p, new_h, new_h | np.append(True, (p["c"][1:] != p["c"][:-1]) | (p["d"][1:] != p["d"][:-1]))[: len(order)]
+
+
+def whole_marks(p: dict[str, np.ndarray], minimum: int) -> dict[str, np.ndarray]:
+    return {"doc": p["doc"], "s": p["s"], "n": p["w"].astype(np.uint32) + minimum - 1}
+
+
 OUTPUTS = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 OUT = "kind string, bucket int, blob binary"
 
@@ -175,46 +198,48 @@ def to_buckets(h: np.ndarray, salt: np.ndarray, hot: np.ndarray, buckets: int) -
     return (key % np.uint64(buckets)).astype(np.int64)
 
 
-def map_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, minimum: int, kmer: int) -> DataFrame:
+def map_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int, minimum: int, kmer: int) -> DataFrame:
+    """Rows (bucket, kind, to, blob): places for step 2, and marks of contexts that begin earlier in the same task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
-            cols = {n: np.concatenate(v) for n, v in zip(("h", "c", "doc", "s", "w"), zip(*parts, strict=True), strict=True)}
-            rows = dealt(cols, "anchor", to_buckets(cols["h"], mixed(cols["doc"].astype(np.uint64)), is_in(cols["h"], hot), buckets))
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "blob"])
+            p, _, new = in_order({n: np.concatenate(v) for n, v in zip(("h", "c", "d", "doc", "s", "w"), zip(*parts, strict=True), strict=True)})
+            marks = whole_marks({n: v[~new] for n, v in p.items()}, minimum)
+            p = {n: v[new] for n, v in p.items()}
+            rows = [(b, "anchor", b, x) for b, x in dealt(p, "anchor", to_buckets(p["h"], mixed(p["doc"].astype(np.uint64)), is_in(p["h"], hot), buckets))]
+            rows += [(b % buckets, "mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))]
+            cols = zip(*rows, strict=True) if rows else ([],) * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.int32(), pa.binary()), strict=True)], names=["bucket", "kind", "to", "blob"])
 
         parts, held = [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8) if text.is_valid else b""
                 if len(data) >= minimum:
-                    h, c, s, w = anchors(data, minimum, kmer)
-                    parts.append((h, c, np.full(len(h), doc, np.int64), s, w))
+                    h, c, d, s, w = anchors(data, minimum, kmer)
+                    parts.append((h, c, d, np.full(len(h), doc, np.int64), s, w))
                     held += len(h)
-                if held >= 1_000_000:
+                if held >= FLUSH:
                     yield flush(parts)
                     parts, held = [], 0
         if parts:
             yield flush(parts)
 
-    return docs.select(ID, TEXT).mapInArrow(run, "bucket int, blob binary")
+    return docs.select(ID, TEXT).mapInArrow(run, "bucket int, kind string, to int, blob binary")
 
 
-def settle(hot: np.ndarray, doc_buckets: int, minimum: int):
-    """Step 2, for a bucket of anchors."""
+def settle(hot: np.ndarray, buckets: int, doc_buckets: int):
+    """Step 2, for a bucket of anchors: representatives go to their text, further places straight to step 3; marks are handed on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = unpack(pdf["blob"], "anchor")
-        order = np.lexsort((a["s"], a["doc"], a["c"], a["h"]))
-        a = {n: v[order] for n, v in a.items()}
-        new_h = np.append(True, a["h"][1:] != a["h"][:-1])
-        new_c = new_h | np.append(True, a["c"][1:] != a["c"][:-1])
-        later = ~new_c
-        marks = {"doc": a["doc"][later], "s": a["s"][later], "n": a["w"][later].astype(np.uint32) + minimum - 1}
+        is_mark = pdf["kind"] == "mark"
+        rows = [("mark", b, x) for b, x in zip(pdf["to"][is_mark].tolist(), pdf["blob"][is_mark], strict=True)]
+        p, new_h, new = in_order(unpack(pdf["blob"][~is_mark], "anchor"))
         group = np.cumsum(new_h) - 1
-        left = new_c & ((np.bincount(group, new_c)[group] > 1) | is_in(a["h"], hot))
-        places = {n: v[left] for n, v in a.items()}
-        rows = [("mark", b, x) for b, x in dealt(marks, "mark", marks["doc"] % doc_buckets)]
-        rows += [("place", b, x) for b, x in dealt(places, "place", places["doc"] % doc_buckets)]
+        goes = (np.bincount(group)[group] > 1) | is_in(p["h"], hot) if len(group) else np.zeros(0, bool)
+        reps, more = ({n: v[goes & some] for n, v in p.items()} for some in (new, ~new))
+        rows += [("place", b, x) for b, x in dealt(reps, "place", bucket_of(reps["doc"], doc_buckets))]
+        rows += [("also", b, x) for b, x in dealt(more, "also", to_buckets(more["h"], more["c"], is_in(more["h"], hot), buckets))]
         return table_of(rows)
 
     return run
@@ -262,11 +287,15 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     return order, lcp
 
 
-def maximal_repeats(lcp: np.ndarray, left: np.ndarray, minimum: int) -> Iterator[tuple[int, int, int]]:
+def maximal_repeats(lcp: np.ndarray, left: np.ndarray, minimum: int, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) in suffix order of each left-diverse interval of the common-prefix interval tree.
 
     left: the left extension of each suffix in suffix order, a value of its own where there is none.
+    leaves: (where, lengths) of suffixes that stand for several places with different left extensions.
     """
+    if leaves is not None:
+        for i, length in zip(*(x.tolist() for x in leaves), strict=True):
+            yield length, i, i
     changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
     joined = np.flatnonzero(lcp >= minimum)
     if not len(joined):
@@ -287,44 +316,72 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, minimum: int) -> Iterator
                 stack.append((depth, begin))
 
 
-def repeat_marks(p: dict[str, np.ndarray], data: np.ndarray, minimum: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Marks of all places of maximal repeat groups but the first; and each window: its record, its place in data, whether a mark covers it."""
+def repeat_marks(p: dict[str, np.ndarray], more: dict[str, np.ndarray], data: np.ndarray, minimum: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of all places of maximal repeat groups but the first; and each window: its record in p, its place in data, whether a mark covers it.
+
+    p: contexts with their bytes in `data`; more: further places of the same contexts. Contexts
+    of p that are equal (from several shares of a hot anchor) are one leaf, too.
+    """
     sizes = p["w"].astype(np.int64) + minimum - 1
     begins = np.cumsum(sizes) - sizes
-    record = np.repeat(np.arange(len(sizes)), p["w"])
-    within = np.arange(len(record)) - np.repeat(np.cumsum(p["w"].astype(np.int64)) - p["w"], p["w"])
+    n = len(sizes)
+    both = {k: np.concatenate([p[k], more[k]]) for k in p}
+    order = np.lexsort((both["s"], both["doc"], both["d"], both["c"], both["h"]))
+    new = np.append(True, np.any([both[k][order][1:] != both[k][order][:-1] for k in ("h", "c", "d")], axis=0))
+    leaf = np.cumsum(new) - 1  # of each place, in order
+    firsts = order[new]  # the first place of each context: one that has its bytes
+    assert (firsts < n).all()
+    further = [order[a:b] for a, b in zip(np.flatnonzero(new) + 1, np.append(np.flatnonzero(new)[1:], len(order)), strict=True)]
+    keep = np.sort(firsts)
+    place_of = np.empty(n, np.int64)
+    place_of[order[order < n]] = leaf[order < n]
+    record = np.repeat(keep, p["w"][keep])
+    within = np.arange(len(record)) - np.repeat(np.cumsum(p["w"][keep].astype(np.int64)) - p["w"][keep], p["w"][keep])
     starts = begins[record] + within
-    order, lcp = suffix_order(data, starts, sizes[record] - within)
-    left = np.where(within > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1 - np.arange(len(starts)))[order]
+    by, lcp = suffix_order(data, starts, sizes[record] - within)
+    left = np.where(within > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1 - np.arange(len(starts)))[by]
     doc, s = p["doc"][record], p["s"][record].astype(np.int64) + within
-    rank = np.empty(len(order), np.int64)
-    rank[np.lexsort((s, doc))] = np.arange(len(order))
-    rank = rank[order]
+    rank = np.empty(len(by), np.int64)
+    rank[np.lexsort((s, doc))] = np.arange(len(by))
+    rank = rank[by]
+    several = np.array([len(f) for f in further], np.int64)
+    where = np.flatnonzero((within[by] == 0) & (several[place_of[record[by]]] > 0))
     settled = np.zeros(len(record), bool)
-    marks: list[tuple[np.ndarray, int]] = []
-    for length, lo, hi in maximal_repeats(lcp, left, minimum):
-        places = order[lo : hi + 1]
-        others = np.delete(places, int(rank[lo : hi + 1].argmin()))
-        marks.append((others, length))
-        for k in range(length - minimum + 1):
-            settled[others + k] = True
-    at = np.concatenate([m for m, _ in marks]) if marks else np.zeros(0, np.int64)
-    n = np.concatenate([np.full(len(m), k) for m, k in marks]) if marks else np.zeros(0, np.int64)
-    return {"doc": doc[at], "s": s[at], "n": n}, record, starts, settled
+    docs, at, lengths = [], [], []
+    for length, lo, hi in maximal_repeats(lcp, left, minimum, (where, sizes[record[by[where]]])):
+        if lo == hi:  # a leaf of several places
+            others = further[place_of[record[by[lo]]]]
+            docs.append(both["doc"][others])
+            at.append(both["s"][others].astype(np.int64))
+        else:
+            places = by[lo : hi + 1]
+            others = np.delete(places, int(rank[lo : hi + 1].argmin()))
+            docs.append(doc[others])
+            at.append(s[others])
+            for k in range(length - minimum + 1):
+                settled[others + k] = True
+        lengths.append(np.full(len(others), length))
+    marks = {"doc": docs, "s": at, "n": lengths}
+    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in marks.items()}, record, starts, settled
 
 
 def by_array(hot: np.ndarray, doc_buckets: int, buckets: int, minimum: int):
     """Step 3, for a bucket of contexts; windows of hot anchors that are not settled go on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = unpack(pdf["blob"], "place")
-        marks, record, starts, settled = repeat_marks(p, data := np.frombuffer(b"".join(pdf["bytes"]), np.uint8), minimum)
-        rows = [("mark", b, x) for b, x in dealt(marks, "mark", marks["doc"] % doc_buckets)]
+        with_bytes = pdf["bytes"].notna()
+        p, more = unpack(pdf["blob"][with_bytes], "place"), unpack(pdf["blob"][~with_bytes], "also")
+        if not len(p["h"]):
+            return table_of([])
+        data = np.frombuffer(b"".join(pdf["bytes"][with_bytes]), np.uint8)
+        marks, record, starts, settled = repeat_marks(p, more, data, minimum)
+        rows = [("mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))]
         on = np.flatnonzero(is_in(p["h"], hot)[record] & ~settled)
         if len(on):
             begins = np.cumsum(p["w"].astype(np.int64) + minimum - 1) - (p["w"].astype(np.int64) + minimum - 1)
             r = record[on]
-            windows = {"f": hashes(data, minimum)[starts[on]], "h": p["h"][r], "doc": p["doc"][r], "s": p["s"][r].astype(np.int64) + starts[on] - begins[r]}
+            f, g = (hashes(data, minimum, k)[starts[on]] for k in (0, 1))
+            windows = {"f": f, "g": g, "h": p["h"][r], "doc": p["doc"][r], "s": p["s"][r].astype(np.int64) + starts[on] - begins[r]}
             rows += [("window", b, x) for b, x in dealt(windows, "window", (windows["f"] % np.uint64(buckets)).astype(np.int64))]
         return table_of(rows)
 
@@ -336,11 +393,11 @@ def by_window(doc_buckets: int, minimum: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         w = unpack(pdf["blob"], "window")
-        order = np.lexsort((w["s"], w["doc"], w["f"], w["h"]))
+        order = np.lexsort((w["s"], w["doc"], w["g"], w["f"], w["h"]))
         w = {n: v[order] for n, v in w.items()}
-        later = np.append(False, (w["f"][1:] == w["f"][:-1]) & (w["h"][1:] == w["h"][:-1]))
+        later = np.append(False, np.all([w[k][1:] == w[k][:-1] for k in ("f", "g", "h")], axis=0))
         marks = {"doc": w["doc"][later], "s": w["s"][later], "n": np.full(int(later.sum()), minimum)}
-        return table_of([("mark", b, x) for b, x in dealt(marks, "mark", marks["doc"] % doc_buckets)])
+        return table_of([("mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))])
 
     return run
 
@@ -402,14 +459,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum
     parts = common.scan_parts(docs)
     doc_buckets, buckets = max(8, 2 * parts), max(8, 2 * parts)
     busy = hot_anchors(docs, minimum, kmer, *hot)
-    found = map_anchors(docs, busy, buckets, minimum, kmer).groupBy("bucket").applyInPandas(settle(busy, doc_buckets, minimum), OUT)
+    found = map_anchors(docs, busy, buckets, doc_buckets, minimum, kmer).groupBy("bucket").applyInPandas(settle(busy, buckets, doc_buckets), OUT)
     settled = common.materialize(found)
     common.release(spark)
-    texts = docs.select(ID, TEXT, F.pmod(ID, F.lit(doc_buckets)).cast("int").alias("bucket"))
+    texts = docs.select(ID, TEXT, bucket_column(doc_buckets).alias("bucket"))
     contexts = (
         texts.groupBy("bucket")
         .cogroup(settled.where("kind = 'place'").groupBy("bucket"))
         .applyInPandas(fetch(busy, buckets, minimum), "bucket int, blob binary, bytes binary")
+        .unionByName(settled.where("kind = 'also'").select("bucket", "blob", F.lit(None).cast("binary").alias("bytes")))
     )
     grouped = common.materialize(contexts.groupBy("bucket").applyInPandas(by_array(busy, doc_buckets, buckets, minimum), OUT))
     common.release(spark)

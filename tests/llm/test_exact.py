@@ -37,18 +37,40 @@ def test_repeats(spark, fixture_docs, hot):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.removed(fixture_docs)
 
 
-def test_repeats_over_segments(spark, monkeypatch):
+def test_anchors_over_segments(monkeypatch):
+    text = np.frombuffer(words(800, 3).encode(), np.uint8)
+    whole = {(int(h), int(c), int(d)) for h, c, d, *_ in zip(*repeats.anchors(text, 100, 24))}
     monkeypatch.setattr(repeats, "SEGMENT", 256)
-    text = words(800, 3)
-    docs = [(1, text), (2, "x" + text[100:3000]), (3, text[:90])]
-    out = {}
-    for doc, t in docs:
-        h, c, s, w = repeats.anchors(np.frombuffer(t.encode(), np.uint8), 100, 24) if len(t) >= 100 else ([], [], [], [])
-        out[doc] = sum(w)
-        if len(t) >= 100:
-            assert sum(w) == len(t) - 99 and s[0] == 0 and all(a + b == c_ for a, b, c_ in zip(s, w, s[1:]))
-    whole = {(int(h), int(c)) for h, c in zip(*repeats.anchors(np.frombuffer(text.encode(), np.uint8), 100, 24)[:2])}
-    assert whole
+    h, c, d, s, w = repeats.anchors(text, 100, 24)
+    assert sum(w) == len(text) - 99 and s[0] == 0 and all(a + b == e for a, b, e in zip(s, w, s[1:]))
+    assert {int(x) for x in h} == {x for x, *_ in whole}  # the same anchors, with contexts cut at segments only
+    assert len({x for x in zip(h.tolist(), c.tolist(), d.tolist())} - whole) <= 2 * (len(text) // 256 + 1)
+
+
+def test_repeats_in_very_long_texts(spark):
+    long = words(60_000, 4, 20_000)
+    assert len(long) > 2 * repeats.SEGMENT
+    docs = [(1, long), (2, "y" + long[1000:200_000] + "z" + long[-150_000:]), (3, long[:99]), (4, "é" + long[50_000:50_150] + "é")]
+    got = repeats.removed(spark.createDataFrame(docs, DOCS).repartition(4)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.removed(docs)
+
+
+def test_repeats_whatever_the_ids_and_partitions(spark, fixture_docs):
+    docs = [(i * 64, t) for i, t in fixture_docs]  # ids in steps of a number of buckets
+    for parts in (1, 7):
+        got = repeats.removed(spark.createDataFrame(docs, DOCS).repartition(parts)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute.removed(docs)
+    names = spark.createDataFrame([(f"d{i:04}", t) for i, t in fixture_docs], "doc_id string, text string")
+    assert sum(r["n_removed"] for r in repeats.removed(names).collect()) == sum(x[1] for x in brute.removed(fixture_docs).values())
+
+
+def test_leaves_of_several_places_are_groups():
+    context = np.frombuffer(b"a" * 7 + b"bcdefghij" * 12, np.uint8)
+    place = {"h": np.uint64([1]), "c": np.uint64([2]), "d": np.uint64([3]), "doc": np.int64([5]), "s": np.uint32([9]), "w": np.uint8([len(context) - 99])}
+    more = {k: v.copy() for k, v in place.items()}
+    more["doc"], more["s"] = np.int64([8]), np.uint32([0])
+    marks, *_ = repeats.repeat_marks(place, more, context, 100)
+    assert (marks["doc"].tolist(), marks["s"].tolist(), marks["n"].tolist()) == ([8], [0], [len(context)])
 
 
 def test_maximal_repeats():
