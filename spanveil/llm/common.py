@@ -7,13 +7,15 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 #: Labelled rows that a classifier is fitted on, for each class, at most.
 SAMPLE_PER_CLASS = 2000
+#: Bytes of their texts, for each class, about.
+SAMPLE_BYTES = 64 << 20
 #: Size of the broadcast filters of ids: 2**26 bits, 8 MB.
 FILTER_BITS = 26
 
@@ -107,12 +109,15 @@ def labelled_sample(
     per_class: int = SAMPLE_PER_CLASS,
     text: str = "text",
     id_col: str = "doc_id",
+    most_bytes: int = SAMPLE_BYTES,
 ) -> list[tuple[int, str, int]]:
-    """(id, whole text, 0/1) of at most `per_class` labelled documents of each class.
+    """(id, whole text, 0/1) of at most `per_class` labelled documents and about `most_bytes` bytes of each class.
 
-    The bound is the documented parameter; the choice is by a hash of the id, so that
-    reruns agree. Ids that carry both labels, null ids, null labels and null texts are
-    left out. The ids (at most 2 * per_class) are broadcast, the texts are collected.
+    The bounds are the documented parameters; the choice is by a hash of the id, so that
+    reruns agree. Ids that carry both labels, null ids, null labels and null texts are left
+    out; of rows that repeat an id, the smallest text counts. The ids (at most 2 * per_class)
+    are broadcast, the texts are collected: documents of a class are taken in order until the
+    next one would pass the bytes, but one at least.
     """
     one = (
         labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & usable)
@@ -125,12 +130,9 @@ def labelled_sample(
     for y in (0, 1):
         part = one.where(F.col("y") == y).orderBy("rank", id_col).limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    rows = (
-        docs.select(id_col, F.col(text).alias("t"))
-        .where(F.col("t").isNotNull())
-        .join(F.broadcast(picked.select(id_col, "y", "rank")), id_col)
-        .select(id_col, "t", "y", "rank")
-        .collect()
-    )
-    rows.sort(key=lambda r: (r["rank"], r[id_col], r["t"]))
+    found = docs.select(id_col, F.col(text).alias("t")).where(F.col("t").isNotNull()).join(F.broadcast(picked.select(id_col, "y", "rank")), id_col)
+    single = found.groupBy(id_col, "y", "rank").agg(F.min("t").alias("t"))
+    in_order = Window.partitionBy("y").orderBy("rank", id_col)
+    within = single.withColumns({"bytes": F.sum(F.octet_length("t")).over(in_order), "k": F.row_number().over(in_order)}).where((F.col("k") == 1) | (F.col("bytes") <= most_bytes))
+    rows = sorted(within.select(id_col, "t", "y", "rank").collect(), key=lambda r: (r["rank"], r[id_col]))
     return [(r[id_col], r["t"], r["y"]) for r in rows]

@@ -6,8 +6,9 @@ The score is the share of that language in a softmax of the saved bytes, so narr
 score near 1 / languages; `rejected` marks margins under `margin` bits of the smallest
 size, and identify(reject=True) answers `und` for them.
 
-The dictionaries come from at most PER_LANGUAGE rows of each language (a documented bound);
-identification reads whole texts: all their letters, in words, a word that repeats the
+The dictionaries come from pieces of at most PER_LANGUAGE rows of each language and hold at
+most DICT_BYTES each and TOTAL_BYTES in all (documented bounds); every language that occurs in
+the labelled rows has one. Identification reads whole texts: all their letters, in words, a word that repeats the
 one before it counted once. Null text or one without a letter: `und`, score 0. Ties: the
 language with the most rows. No labelled rows: `und` for all. Repeated rows get the same
 answer.
@@ -21,16 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 from .quality import compressor, raw_dictionary, sizes
 
-PER_LANGUAGE = 3000
-#: Languages that get a dictionary, by rows, at most.
-LANGUAGES = 256
-DICT_BYTES = 512 << 10
+PER_LANGUAGE = 2000
+DICT_BYTES, TOTAL_BYTES, LEAST_BYTES = 512 << 10, 64 << 20, 1 << 10
+#: Characters of the piece of a text, and the fewest.
+PIECE, LEAST_PIECE = 4096, 512
+#: Rows beyond PER_LANGUAGE that are read so that enough are left, as a factor and a number.
+SPARE = (1.2, 100)
 BLOCK = 512
 MARGIN = 0.01
 LETTER = regex.compile(r"\p{L}")
@@ -43,25 +47,29 @@ def letters(text: str) -> str:
 
 
 def sample(docs: DataFrame, usable, per_language: int = PER_LANGUAGE, text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select("doc_id", F.col(lang).alias("l"), F.xxhash64(F.lit("lid"), "doc_id").alias("rank"))
-    langs = [r["l"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()]
-    picked = None
-    for one in langs:
-        part = rows.where(F.col("l") == one).orderBy("rank", "doc_id").limit(per_language)
-        picked = part if picked is None else picked.unionByName(part)
-    if picked is None:
-        return {}
-    got = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select("doc_id", F.col(text).alias("t"), F.col(lang).alias("l"))
-    got = got.join(F.broadcast(picked.select("doc_id", "rank").distinct()), "doc_id").collect()  # per_language * LANGUAGES ids at most
+    """Pieces of texts by language, the language with the most rows first.
+
+    Two passes over the labelled rows: counts of the languages, then the rows with the smallest
+    hashes. How small a hash must be follows from the count, so a language with a third of all
+    rows sends about as many as any other, and only pieces of texts are collected.
+    """
+    rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit("lid"), F.col("doc_id").cast("string"), F.col(text)).alias("rank"))
+    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    least = F.lit(-(2.0**63)) + 2.0**64 * F.least(F.lit(1.0), (per_language * SPARE[0] + SPARE[1]) / F.col("n"))
+    chosen = rows.join(counts, "l").where(F.col("rank").cast("double") <= least)
+    size = F.greatest(F.lit(LEAST_PIECE), F.least(F.lit(PIECE), F.floor(F.lit(DICT_BYTES) / F.col("n")))).cast("int")
+    at = F.when(F.length("t") > size, F.crc32(F.col("t").cast("binary")) % (F.length("t") - size)).otherwise(0).cast("int")
+    best = Window.partitionBy("l").orderBy("rank", "piece")
+    pieces = chosen.select("l", "n", "rank", F.substring(F.col("t"), at + 1, size).alias("piece")).withColumn("k", F.row_number().over(best)).where(F.col("k") <= per_language)
     by: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r["rank"], r["doc_id"] or 0, r["t"])):
-        by.setdefault(r["l"], []).append(letters(r["t"]))
-    by = {one: by[one] for one in langs if one in by}
+    for r in sorted(pieces.collect(), key=lambda r: (-r["n"], r["l"], r["k"])):
+        by.setdefault(r["l"], []).append(letters(r["piece"]))
     return by
 
 
 def fit(by: dict[str, list[str]]) -> dict[str, bytes]:
-    return {name: raw_dictionary(texts, DICT_BYTES) for name, texts in by.items()}
+    size = max(LEAST_BYTES, min(DICT_BYTES, TOTAL_BYTES // max(1, len(by))))
+    return {name: raw_dictionary(texts, size) for name, texts in by.items()}
 
 
 def identifier(model: dict[str, bytes], margin: float = MARGIN):
@@ -82,10 +90,12 @@ def identifier(model: dict[str, bytes], margin: float = MARGIN):
 
 
 def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margin: float = MARGIN, reject: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score, rejected."""
+    """doc_id (of its own type), lang_pred, score, rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = identifier(model, margin)
+        one = identifier(shared.value, margin)
         for batch in batches:
             got = [one(t.as_py()) for t in batch.column(1)]
             if reject:
@@ -93,4 +103,4 @@ def identify(docs: DataFrame, model: dict[str, bytes], text: str = "text", margi
             cols = list(zip(*got, strict=True)) if got else [[], [], []]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, schema)

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
@@ -97,9 +98,10 @@ def default_paths() -> tuple[str, str]:
 
 
 def tokenize(docs: DataFrame, paths: tuple[str, str], id_col: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary, two bytes each), n, part, at: its first id's place in the partition."""
+    """doc_id (of its own type), ids (binary, two bytes each), n, part, at: its first id's place in the partition."""
     end = array("H", [end_id]).tobytes()
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("at", pa.int64())])
+    names = ["doc_id", "ids", "n", "part", "at"]
+    fields = [T.StructField("doc_id", docs.schema[id_col].dataType), *T.DataType.fromDDL("ids binary, n long, part int, at long").fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -113,9 +115,9 @@ def tokenize(docs: DataFrame, paths: tuple[str, str], id_col: str = "doc_id", te
                 n = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
-                yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)], schema=schema)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts)], names=names)
 
-    return docs.select(id_col, text).mapInArrow(run, "doc_id long, ids binary, n long, part int, at long")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, T.StructType(fields))
 
 
 def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -125,23 +127,23 @@ def cut(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     offsets = totals.select("part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
     few = totals.count() <= BROADCAST_PARTS
     placed = tokens.join(F.broadcast(offsets) if few else offsets, "part").select("doc_id", "ids", (F.col("base") + F.col("at")).alias("first"))
-    schema = pa.schema([("doc_id", pa.int64())] + [(c, pa.int64()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
+    names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, ids, first in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for row, (ids, first) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
                 wide = np.frombuffer(ids.as_buffer(), np.uint16).astype("<u4")
                 n, start = len(wide), 0
                 while start < n:
                     sequence, offset = divmod(first + start, length)
                     end = min(n, start + length - offset)
-                    out.append((doc, start, end - start, zlib.crc32(wide[start:end]), n, sequence, offset))
+                    out.append((row, start, end - start, zlib.crc32(wide[start:end]), n, sequence, offset))
                     start = end
-            cols = list(zip(*out, strict=True)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=schema)
+            row, *cols = (pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 7))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), *cols], names=["doc_id", *names])
 
-    return placed.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return placed.mapInArrow(run, T.StructType([tokens.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def pack(docs: DataFrame, length: int = LENGTH, paths: tuple[str, str] | None = None, **names: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 Two zstandard dictionaries are built from good and from bad labelled text. A document is
 compressed with each in blocks; the difference of the two sizes over its length is the
-evidence, and a logistic model on it and the two ratios, fitted on labelled rows that the
-dictionaries haven't seen, makes a calibrated score from it.
+evidence. A logistic model, fitted on labelled rows that the dictionaries haven't seen, makes
+a calibrated score from it. It has a weight for each size, as a byte of one dictionary isn't
+worth a byte of the other, and nothing else: a text's length alone moves no score.
 
-The fit uses at most `common.SAMPLE_PER_CLASS` labelled rows of each class (a documented
-bound); scoring reads every byte of every text. Null or empty text: the score of a text of
+The fit uses at most `common.SAMPLE_PER_CLASS` labelled rows and `common.SAMPLE_BYTES` bytes
+of each class (documented bounds). A dictionary takes pieces of LEAST_PIECE to PIECE bytes,
+the shorter the more texts there are, up to DICT_BYTES. Scoring reads every byte of every text. Null or empty text: the score of a text of
 no bytes. No labelled rows of a class: every score is the share of label 1 (0.5 without
 labels). Repeated rows get the same score.
 """
@@ -28,15 +30,16 @@ from . import common
 DICT_BYTES = 256 << 10
 BLOCK = 1024
 LEVEL = 3
-PIECE = 4096
+PIECE, LEAST_PIECE = 4096, 512
 FRAME = dict(write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def raw_dictionary(texts: list[str], size: int = DICT_BYTES, piece: int = PIECE) -> bytes:
-    """Pieces of the texts, one of each at a place that its hash gives, up to `size` bytes."""
+def raw_dictionary(texts: list[str], size: int = DICT_BYTES, piece: int = PIECE, least: int = LEAST_PIECE) -> bytes:
+    """Pieces of the texts, one of each at a place that its hash gives, up to `size` bytes; of many texts, each gives a shorter one."""
+    piece = min(piece, max(least, size // max(1, len(texts))))
     out, total = [], 0
     for text in texts:
-        data = text.encode()
+        data = text.encode("utf-8", "replace")
         at = zlib.crc32(data) % (len(data) - piece) if len(data) > piece else 0
         out.append(data[at : at + piece])
         total += len(out[-1]) + 1
@@ -64,10 +67,13 @@ def sizes(text: str | None, coders: list[zstandard.ZstdCompressor], block: int =
     return len(data), got
 
 
+#: Bytes that smooth the sizes of short texts.
+SMOOTH = (20, 2)
+
+
 def evidence(n: int, good: int, bad: int) -> list[float]:
-    n, good, bad = n + 20, good + 2, bad + 2
-    d, g, b, length = (bad - good) / n, good / n, bad / n, float(np.log(n))
-    return [d, g, b, d * d, g * g, g * d, length, d / (g + b), length * d]
+    """The two compressed sizes over the length: what the weighted difference is made of."""
+    return [(bad + SMOOTH[1]) / (n + SMOOTH[0]), (good + SMOOTH[1]) / (n + SMOOTH[0])]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 40) -> dict:
@@ -103,7 +109,7 @@ def scorer(model: dict):
     coders = [compressor(model["good"]), compressor(model["bad"])]
 
     def score(texts: list[str | None]) -> np.ndarray:
-        x = np.array([evidence(n, *got) for n, got in (sizes(t, coders) for t in texts)]).reshape(-1, 9)
+        x = np.array([evidence(n, *got) for n, got in (sizes(t, coders) for t in texts)]).reshape(-1, 2)
         a = np.c_[np.ones(len(x)), (x - model["mean"]) / model["scale"]]
         return 1 / (1 + np.exp(-np.clip(a @ model["w"], -30, 30)))
 
@@ -111,12 +117,14 @@ def scorer(model: dict):
 
 
 def with_score(docs: DataFrame, make, model: dict, text: str = "text", out: str = "score") -> DataFrame:
-    """docs with the column `out` by make(model), which scores lists of whole texts."""
+    """docs with the column `out` (replaced if there is one) by make(model), which scores lists of whole texts. The model is broadcast."""
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != out])
     names = docs.columns
     at = names.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = make(model)
+        score = make(shared.value)
         for batch in batches:
             got = [score(batch.column(at).slice(lo, 512).to_pylist()) for lo in range(0, batch.num_rows, 512)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], names=[*names, out])
@@ -124,11 +132,21 @@ def with_score(docs: DataFrame, make, model: dict, text: str = "text", out: str
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = common.SAMPLE_PER_CLASS, mod: int = 4, held: int = 2, keep_text: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted (and the other columns of docs if keep_text; those named like these are replaced)."""
-    model = fit(common.labelled_sample(docs, labels, "quality", common.fold("doc_id", mod) != held, per_class))
-    kept = [c for c in docs.columns if c not in ("held_out", "score", "score_", "predicted")] if keep_text else ["doc_id"]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept]) if keep_text else docs.select("doc_id", "text")
-    scored = with_score(base, scorer, model, out="score_")
-    added = [(common.fold("doc_id", mod) == held).alias("held_out"), F.col("score_").alias("score"), (F.col("score_") >= threshold).cast("int").alias("predicted")]
-    return scored.select(*[F.col(f"`{c}`") for c in kept], *added)
+#: Inner column of accepted().
+SCORE = "_spanveil_score"
+
+
+def model_of(docs: DataFrame, labels: DataFrame, per_class: int = common.SAMPLE_PER_CLASS, mod: int = 4, held: int = 2) -> dict:
+    return fit(common.labelled_sample(docs, labels, "quality", common.fold("doc_id", mod) != held, per_class))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, per_class: int = common.SAMPLE_PER_CLASS, mod: int = 4, held: int = 2) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    scored = with_score(docs.select("doc_id", "text"), scorer, model_of(docs, labels, per_class, mod, held))
+    return scored.select("doc_id", (common.fold("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **more) -> DataFrame:
+    """The rows of docs that classify() predicts as 1, with the columns of docs as they are."""
+    scored = with_score(docs, scorer, model_of(docs, labels, **more), out=SCORE)
+    return scored.where(F.col(SCORE) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

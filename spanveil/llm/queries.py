@@ -13,11 +13,7 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (common.table(spark, sf_dir, t) for t in ("documents", "labels"))
-    held = common.fold("doc_id", 5) == 0
-    model = toxicity.fit(common.labelled_sample(docs, labels, "toxic", ~held))
-    scored = quality.with_score(docs.select("doc_id", "text"), toxicity.scorer, model)
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.classify(*(common.table(spark, sf_dir, t) for t in ("documents", "labels")))
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -449,13 +449,9 @@ def identified(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool
     return common.materialize(sorted_docs.withColumns({ID: F.monotonically_increasing_id(), TEXT: F.col(f"`{text}`")})), False
 
 
-def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum: int = MIN, kmer: int = KMER, with_text: bool = False, hot: tuple[int, int] = (HOT_ONE_IN, HOT_AT)) -> DataFrame:
-    """docs without their text, with n_bytes, n_removed, n_spans, kept_sha256 (and kept: the text that is left).
-
-    Columns of docs that are named like these are replaced.
-    """
+def cut(docs: DataFrame, minimum: int = MIN, kmer: int = KMER, with_text: bool = False, hot: tuple[int, int] = (HOT_ONE_IN, HOT_AT)) -> DataFrame:
+    """ID, n_bytes, n_removed, n_spans, kept_sha256 (and kept) of identified documents."""
     spark = docs.sparkSession
-    docs, same_ids = identified(docs, id_col, text)
     parts = common.scan_parts(docs)
     doc_buckets, buckets = max(8, 2 * parts), max(8, 2 * parts)
     busy = hot_anchors(docs, minimum, kmer, *hot)
@@ -475,8 +471,30 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", minimum
     if len(busy):
         marks = marks.unionByName(grouped.where("kind = 'window'").groupBy("bucket").applyInPandas(by_window(doc_buckets, minimum), OUT))
     schema = f"{ID} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    cut = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cutter(with_text), schema)
+    return texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInPandas(cutter(with_text), schema)
+
+
+def removed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """docs without their text, with n_bytes, n_removed, n_spans, kept_sha256 (and kept, the text that is left, if with_text).
+
+    Columns of docs that are named like these are replaced.
+    """
+    docs, same_ids = identified(docs, id_col, text)
+    out = cut(docs, **more)
     others = [c for c in docs.columns if c not in (text, TEXT, *OUTPUTS)]
-    if others == [id_col, ID]:
-        return cut.withColumnRenamed(ID, id_col) if same_ids else docs.select(ID, id_col).join(cut, ID).drop(ID)
-    return docs.select(*others).join(cut, ID).drop(ID)
+    if others == [id_col, ID] and same_ids:
+        return out.select(F.col(ID).cast(docs.schema[id_col].dataType).alias(id_col), *[c for c in out.columns if c != ID])
+    return docs.select(*[F.col(f"`{c}`") for c in others]).join(out, ID).drop(ID)
+
+
+def stripped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **more) -> DataFrame:
+    """docs with the text that is left and its length in `n_chars` (if docs have it), and all other columns as they are.
+
+    A character that is cut in part goes as a whole.
+    """
+    names = docs.columns
+    docs, _ = identified(docs, id_col, text)
+    left = f"{ID}_left"
+    out = cut(docs, with_text=True, **more).select(ID, F.col("kept").alias(left))
+    made = {text: F.col(left), n_chars: F.length(left).cast("long")}
+    return docs.drop(TEXT).drop(F.col(f"`{text}`")).join(out, ID).select(*[made[c].alias(c) if c in made else F.col(f"`{c}`") for c in names])

@@ -16,6 +16,10 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common, quality
 
 BITS = 20
 ALPHA, BETA, L2, EPOCHS = 0.3, 1.0, 0.5, 6
@@ -121,3 +125,10 @@ def scorer(model: dict):
         return float(table[sorted(found)].sum(dtype=np.float64)) + model["bias"]
 
     return lambda texts: 1 / (1 + np.exp(-np.clip(np.fromiter(map(one, texts), float, len(texts)), -30, 30)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class: int = common.SAMPLE_PER_CLASS, mod: int = 5, held: int = 0) -> DataFrame:
+    """doc_id, held_out, score, predicted; the weights are broadcast."""
+    model = fit(common.labelled_sample(docs, labels, "toxic", common.fold("doc_id", mod) != held, per_class))
+    scored = quality.with_score(docs.select("doc_id", "text"), scorer, model)
+    return scored.select("doc_id", (common.fold("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -8,7 +8,7 @@ all documents of a batch go down each tree together.
 
 The fit uses at most `common.SAMPLE_PER_CLASS` labelled rows of each class (a documented
 bound); statistics and scores cover whole texts. Null or empty text: no words, base_failed.
-No labelled rows of a class: the score is constant, and base_failed alone decides. Repeated
+Labelled rows of one class: every score says that class. No labelled rows: base_failed alone decides. Repeated
 rows get the same answer.
 """
 
@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WHITE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -76,7 +78,8 @@ def fit(rows: list[tuple[int, str, int]], trees: int = TREES, depth: int = DEPTH
     y = np.array([r[2] for r in rows], float)
     flat: dict[str, list] = {k: [] for k in ("feature", "threshold", "left", "right", "value", "roots")}
     if not len(y) or y.min() == y.max():
-        return {"prior": 4.0, **{k: np.array(v, float if k in ("threshold", "value") else int) for k, v in flat.items()}}
+        share = float(y.mean()) if len(y) else 1.0  # one class: its label for all; no labels: base_failed alone decides
+        return {"prior": float(np.log((share + 1e-3) / (1 - share + 1e-3))), **{k: np.array(v, float if k in ("threshold", "value") else int) for k, v in flat.items()}}
     x = np.array([statistics(t)[1] for _, t, _ in rows])
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)  # bin <= k means x <= cuts[k]
@@ -139,7 +142,8 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def rules(docs: DataFrame, model: dict, keep_at: float = KEEP_AT, text: str = "text") -> DataFrame:
-    """doc_id, the counts in BASE, base_failed, kept and score."""
+    """doc_id (of its own type), the counts in BASE, base_failed, kept and score."""
+    fields = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(b, T.LongType()) for b in BASE), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("score", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,4 +154,4 @@ def rules(docs: DataFrame, model: dict, keep_at: float = KEEP_AT, text: str = "t
             cols = [batch.column(0), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(~failed & (score >= keep_at)), pa.array(score)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *BASE, "base_failed", "kept", "score"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id long, " + ", ".join(f"{b} long" for b in BASE) + ", base_failed boolean, kept boolean, score double")
+    return docs.select("doc_id", F.col(f"`{text}`")).mapInArrow(run, T.StructType(fields))
