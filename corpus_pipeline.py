@@ -9,7 +9,6 @@ shared folder and the next stage reads it. All but the last return the columns o
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanveil.llm import common, mixing, packing, quality, repeats, setjoin
 
@@ -17,8 +16,7 @@ from spanveil.llm import common, mixing, packing, quality, repeats, setjoin
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier accepts."""
     common.ready(spark)
-    scored = quality.classify(docs, common.table(spark, sf_dir, "labels"), keep_text=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, common.table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +28,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of long strings that start earlier; a character that is cut in part goes."""
     common.ready(spark)
-    cut = repeats.removed(docs, with_text=True).withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast("long"))
-    return cut.select(*docs.columns)
+    return repeats.stripped(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
