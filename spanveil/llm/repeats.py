@@ -10,12 +10,15 @@ document and an earlier start). Strings are judged on the input, within document
    shuffled. Equal contexts of one task are combined before: the first stands for them.
 2. Places of an anchor meet. An anchor with one place is done. Of equal contexts the first
    place is the representative, the others are its further places.
-3. Representatives fetch their bytes. In each bucket of anchors an enhanced suffix array over
-   their windows is built (suffixes sorted, common prefixes of neighbours), and a stack scan
-   walks its common-prefix interval tree. Each interval of MIN bytes or more with more than
-   one left extension is a maximal repeat group with all its places; intervals with one left
-   extension are parts of a longer group. A representative with further places is a leaf of
-   several places, a group of its own. All places of a group but the first are covered.
+3. Representatives fetch their bytes. In each bucket an enhanced suffix array over their
+   windows is built (suffixes sorted, common prefixes of neighbours), and a stack scan walks
+   its common-prefix interval tree. Each interval of MIN bytes or more with more than one left
+   extension is a maximal repeat group with all its places; intervals with one left extension
+   are parts of a longer group. A representative with further places is a leaf of several
+   places, a group of its own. All places of a group but the first are covered. Where an
+   anchor has a single context, all its places extend to the left alike but at the context's
+   start, so only that suffix enters the array; such contexts are dealt by document, where
+   neighbours share their bytes.
 4. Spans are merged for each document and its bytes cut.
 
 Hot anchors: a passage in a third of all documents has, at its ends, anchors with another
@@ -58,7 +61,7 @@ M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 #: Two independent hashes of a byte.
 BYTES = [np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + ONE for seed in (1, 2)]
 PLACE = [("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("s", "<u4"), ("w", "u1")]
-KINDS = {"anchor": PLACE, "place": PLACE, "also": PLACE, "mark": [("doc", "<i8"), ("s", "<u4"), ("n", "<u4")], "window": [("f", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("s", "<u4")]}
+KINDS = {"anchor": PLACE, "place": PLACE, "also": PLACE, "lone": PLACE, "part": [*PLACE, ("o", "<u4")], "mark": [("doc", "<i8"), ("s", "<u4"), ("n", "<u4")], "window": [("f", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("s", "<u4")]}
 SHIFTS = (5, 11, 23)
 #: Anchors that one task combines and hands on at a time.
 FLUSH = 1_000_000
@@ -204,7 +207,7 @@ def map_anchors(docs: DataFrame, hot: np.ndarray, buckets: int, doc_buckets: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
             p, _, new = in_order({n: np.concatenate(v) for n, v in zip(("h", "c", "d", "doc", "s", "w"), zip(*parts, strict=True), strict=True)})
-            marks = whole_marks({n: v[~new] for n, v in p.items()}, minimum)
+            marks = joined(whole_marks({n: v[~new] for n, v in p.items()}, minimum))
             p = {n: v[new] for n, v in p.items()}
             rows = [(b, "anchor", b, x) for b, x in dealt(p, "anchor", to_buckets(p["h"], mixed(p["doc"].astype(np.uint64)), is_in(p["h"], hot), buckets))]
             rows += [(b % buckets, "mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))]
@@ -235,33 +238,53 @@ def settle(hot: np.ndarray, buckets: int, doc_buckets: int):
         is_mark = pdf["kind"] == "mark"
         rows = [("mark", b, x) for b, x in zip(pdf["to"][is_mark].tolist(), pdf["blob"][is_mark], strict=True)]
         p, new_h, new = in_order(unpack(pdf["blob"][~is_mark], "anchor"))
-        group = np.cumsum(new_h) - 1
-        goes = (np.bincount(group)[group] > 1) | is_in(p["h"], hot) if len(group) else np.zeros(0, bool)
-        reps, more = ({n: v[goes & some] for n, v in p.items()} for some in (new, ~new))
-        rows += [("place", b, x) for b, x in dealt(reps, "place", bucket_of(reps["doc"], doc_buckets))]
-        rows += [("also", b, x) for b, x in dealt(more, "also", to_buckets(more["h"], more["c"], is_in(more["h"], hot), buckets))]
+        if not len(new):
+            return table_of(rows)
+        group, leaf = np.cumsum(new_h) - 1, np.cumsum(new) - 1
+        busy = is_in(p["h"], hot)
+        several = np.bincount(group, new)[group] > 1  # contexts of the anchor
+        lone = ~several & ~busy & (np.bincount(leaf)[leaf] > 1)
+        to = np.where(lone, bucket_of(p["doc"][new][leaf], buckets), to_buckets(p["h"], p["c"], busy, buckets))
+        for kind, some in (("place", new & (several | busy)), ("lone", new & lone)):
+            reps = {n: v[some] for n, v in p.items()}
+            rows += [(kind, b, x) for b, x in dealt(reps, kind, bucket_of(reps["doc"], doc_buckets))]
+        rows += [("also", b, x) for b, x in dealt({n: v[~new] for n, v in p.items()}, "also", to[~new])]
         return table_of(rows)
 
     return run
 
 
 def fetch(hot: np.ndarray, buckets: int, minimum: int):
-    """Bytes of the contexts, for a bucket of documents: rows (bucket, records, bytes)."""
+    """Bytes of the contexts, for a bucket of documents: rows (kind, bucket, records, bytes). Lone contexts that overlap share their bytes."""
 
     def run(texts: pd.DataFrame, blobs: pd.DataFrame) -> pd.DataFrame:
-        p = unpack(blobs["blob"], "place")
-        if not len(p["h"]):
-            return pd.DataFrame({"bucket": [], "blob": [], "bytes": []})
-        text = {d: t.encode() for d, t in zip(texts[ID], texts[TEXT], strict=True) if t}
-        to = to_buckets(p["h"], p["c"], is_in(p["h"], hot), buckets)
-        order = np.lexsort((p["s"], p["doc"], to))
-        p, to = {n: v[order] for n, v in p.items()}, to[order]
-        cuts = np.flatnonzero(np.append(True, np.diff(to) != 0))
+        text = {d: t.encode() for d, t in zip(texts[ID], texts[TEXT], strict=True) if t} if len(blobs) else {}
         rows = []
-        for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
-            spans = zip(p["doc"][a:b].tolist(), p["s"][a:b].tolist(), p["w"][a:b].tolist(), strict=True)
-            rows.append((int(to[a]), pack(p, "place", slice(a, b)), b"".join([text[d][s : s + w + minimum - 1] for d, s, w in spans])))
-        return pd.DataFrame(rows, columns=["bucket", "blob", "bytes"])
+        for kind in ("place", "lone"):
+            p = unpack(blobs["blob"][blobs["kind"] == kind], kind)
+            if not len(p["h"]):
+                continue
+            to = bucket_of(p["doc"], buckets) if kind == "lone" else to_buckets(p["h"], p["c"], is_in(p["h"], hot), buckets)
+            order = np.lexsort((p["s"], p["doc"], to))
+            p, to = {n: v[order] for n, v in p.items()}, to[order]
+            ends = p["s"].astype(np.int64) + p["w"] + minimum - 1
+            cuts = np.flatnonzero(np.append(True, np.diff(to) != 0))
+            for a, b in zip(cuts, np.append(cuts[1:], len(to)), strict=True):
+                pieces, offsets, at, last = [], [], 0, (-1, 0, 0)  # last: document, end of its piece, and where the piece would begin if it began at 0
+                for d, s, e in zip(p["doc"][a:b].tolist(), p["s"][a:b].tolist(), ends[a:b].tolist(), strict=True):
+                    if kind == "lone" and last[0] == d and s <= last[1]:
+                        if e > last[1]:
+                            pieces.append(text[d][last[1] : e])
+                            at += e - last[1]
+                            last = (d, e, last[2])
+                    else:
+                        pieces.append(text[d][s:e])
+                        last = (d, e, at - s)
+                        at += e - s
+                    offsets.append(last[2] + s)
+                cols = {n: v[a:b] for n, v in p.items()} | {"o": np.array(offsets)}
+                rows.append((kind, int(to[a]), pack(cols, "part"), b"".join(pieces)))
+        return pd.DataFrame(rows, columns=["kind", "bucket", "blob", "bytes"])
 
     return run
 
@@ -287,15 +310,11 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> t
     return order, lcp
 
 
-def maximal_repeats(lcp: np.ndarray, left: np.ndarray, minimum: int, leaves: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, int, int]]:
+def maximal_repeats(lcp: np.ndarray, left: np.ndarray, minimum: int) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) in suffix order of each left-diverse interval of the common-prefix interval tree.
 
     left: the left extension of each suffix in suffix order, a value of its own where there is none.
-    leaves: (where, lengths) of suffixes that stand for several places with different left extensions.
     """
-    if leaves is not None:
-        for i, length in zip(*(x.tolist() for x in leaves), strict=True):
-            yield length, i, i
     changes = np.concatenate([[0], np.cumsum(left[1:] != left[:-1])])
     joined = np.flatnonzero(lcp >= minimum)
     if not len(joined):
@@ -316,27 +335,23 @@ def maximal_repeats(lcp: np.ndarray, left: np.ndarray, minimum: int, leaves: tup
                 stack.append((depth, begin))
 
 
-def repeat_marks(p: dict[str, np.ndarray], more: dict[str, np.ndarray], data: np.ndarray, minimum: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Marks of all places of maximal repeat groups but the first; and each window: its record in p, its place in data, whether a mark covers it.
+def repeat_marks(p: dict[str, np.ndarray], begins: np.ndarray, lone: np.ndarray, more: dict[str, np.ndarray], data: np.ndarray, minimum: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Marks of all places of maximal repeat groups but the first; and each window in the array: its record in p, its place in data, whether a mark covers it.
 
-    p: contexts with their bytes in `data`; more: further places of the same contexts. Contexts
-    of p that are equal (from several shares of a hot anchor) are one leaf, too.
+    p: contexts whose bytes begin at `begins` in `data`, and whether they are alone in their
+    anchor; more: further places of the same contexts. Contexts of p that are equal (from
+    several shares of a hot anchor) are one leaf, too.
     """
     sizes = p["w"].astype(np.int64) + minimum - 1
-    begins = np.cumsum(sizes) - sizes
     n = len(sizes)
-    both = {k: np.concatenate([p[k], more[k]]) for k in p}
-    order = np.lexsort((both["s"], both["doc"], both["d"], both["c"], both["h"]))
-    new = np.append(True, np.any([both[k][order][1:] != both[k][order][:-1] for k in ("h", "c", "d")], axis=0))
-    leaf = np.cumsum(new) - 1  # of each place, in order
-    firsts = order[new]  # the first place of each context: one that has its bytes
+    both, _, new = in_order({k: np.concatenate([p[k], more[k]]) for k in more} | {"at": np.arange(n + len(more["h"]))})
+    firsts = both["at"][new]  # the first place of each context is one that has its bytes
     assert (firsts < n).all()
-    further = [order[a:b] for a, b in zip(np.flatnonzero(new) + 1, np.append(np.flatnonzero(new)[1:], len(order)), strict=True)]
+    leaves = whole_marks({k: v[~new] for k, v in both.items()}, minimum)
     keep = np.sort(firsts)
-    place_of = np.empty(n, np.int64)
-    place_of[order[order < n]] = leaf[order < n]
-    record = np.repeat(keep, p["w"][keep])
-    within = np.arange(len(record)) - np.repeat(np.cumsum(p["w"][keep].astype(np.int64)) - p["w"][keep], p["w"][keep])
+    windows = np.where(lone[keep], 1, p["w"][keep]).astype(np.int64)
+    record = np.repeat(keep, windows)
+    within = np.arange(len(record)) - np.repeat(np.cumsum(windows) - windows, windows)
     starts = begins[record] + within
     by, lcp = suffix_order(data, starts, sizes[record] - within)
     left = np.where(within > 0, data[np.maximum(starts - 1, 0)].astype(np.int64), -1 - np.arange(len(starts)))[by]
@@ -344,41 +359,52 @@ def repeat_marks(p: dict[str, np.ndarray], more: dict[str, np.ndarray], data: np
     rank = np.empty(len(by), np.int64)
     rank[np.lexsort((s, doc))] = np.arange(len(by))
     rank = rank[by]
-    several = np.array([len(f) for f in further], np.int64)
-    where = np.flatnonzero((within[by] == 0) & (several[place_of[record[by]]] > 0))
     settled = np.zeros(len(record), bool)
-    docs, at, lengths = [], [], []
-    for length, lo, hi in maximal_repeats(lcp, left, minimum, (where, sizes[record[by[where]]])):
-        if lo == hi:  # a leaf of several places
-            others = further[place_of[record[by[lo]]]]
-            docs.append(both["doc"][others])
-            at.append(both["s"][others].astype(np.int64))
-        else:
-            places = by[lo : hi + 1]
-            others = np.delete(places, int(rank[lo : hi + 1].argmin()))
-            docs.append(doc[others])
-            at.append(s[others])
-            for k in range(length - minimum + 1):
-                settled[others + k] = True
+    docs, at, lengths = [leaves["doc"]], [leaves["s"].astype(np.int64)], [leaves["n"].astype(np.int64)]
+    for length, lo, hi in maximal_repeats(lcp, left, minimum):
+        places = by[lo : hi + 1]
+        others = np.delete(places, int(rank[lo : hi + 1].argmin()))
+        docs.append(doc[others])
+        at.append(s[others])
         lengths.append(np.full(len(others), length))
-    marks = {"doc": docs, "s": at, "n": lengths}
-    return {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in marks.items()}, record, starts, settled
+        for k in range(length - minimum + 1):
+            settled[others + k] = True
+    return {"doc": np.concatenate(docs), "s": np.concatenate(at), "n": np.concatenate(lengths)}, record, starts, settled
+
+
+def joined(marks: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The same cover in fewer marks: those of a document that overlap or touch are one."""
+    order = np.lexsort((marks["s"], marks["doc"]))
+    doc, s = marks["doc"][order], marks["s"][order].astype(np.int64)
+    if not len(doc):
+        return marks
+    group = np.cumsum(np.append(False, doc[1:] != doc[:-1])).astype(np.int64) << np.int64(33)  # a text is shorter than 2**32 bytes
+    reach = np.maximum.accumulate(group + s + marks["n"][order].astype(np.int64))
+    new = np.append(True, (group + s)[1:] > reach[:-1])
+    ends = np.append(np.flatnonzero(new)[1:], len(s)) - 1
+    return {"doc": doc[new], "s": s[new], "n": reach[ends] - (group + s)[new]}
 
 
 def by_array(hot: np.ndarray, doc_buckets: int, buckets: int, minimum: int):
     """Step 3, for a bucket of contexts; windows of hot anchors that are not settled go on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        with_bytes = pdf["bytes"].notna()
-        p, more = unpack(pdf["blob"][with_bytes], "place"), unpack(pdf["blob"][~with_bytes], "also")
-        if not len(p["h"]):
+        with_bytes = pdf[pdf["bytes"].notna()]
+        more = unpack(pdf["blob"][pdf["bytes"].isna()], "also")
+        parts = [unpack([blob], "part") for blob in with_bytes["blob"]]
+        if not parts:
             return table_of([])
-        data = np.frombuffer(b"".join(pdf["bytes"][with_bytes]), np.uint8)
-        marks, record, starts, settled = repeat_marks(p, more, data, minimum)
+        p = {n: np.concatenate([x[n] for x in parts]) for n in parts[0]}
+        counts = [len(x["h"]) for x in parts]
+        lone = np.repeat((with_bytes["kind"] == "lone").to_numpy(), counts)
+        sizes = np.array([len(x) for x in with_bytes["bytes"]], np.int64)
+        begins = np.repeat(np.cumsum(sizes) - sizes, counts) + p["o"]
+        data = np.frombuffer(b"".join(with_bytes["bytes"]), np.uint8)
+        marks, record, starts, settled = repeat_marks(p, begins, lone, more, data, minimum)
+        marks = joined(marks)
         rows = [("mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))]
         on = np.flatnonzero(is_in(p["h"], hot)[record] & ~settled)
         if len(on):
-            begins = np.cumsum(p["w"].astype(np.int64) + minimum - 1) - (p["w"].astype(np.int64) + minimum - 1)
             r = record[on]
             f, g = (hashes(data, minimum, k)[starts[on]] for k in (0, 1))
             windows = {"f": f, "g": g, "h": p["h"][r], "doc": p["doc"][r], "s": p["s"][r].astype(np.int64) + starts[on] - begins[r]}
@@ -461,9 +487,9 @@ def cut(docs: DataFrame, minimum: int = MIN, kmer: int = KMER, with_text: bool =
     texts = docs.select(ID, TEXT, bucket_column(doc_buckets).alias("bucket"))
     contexts = (
         texts.groupBy("bucket")
-        .cogroup(settled.where("kind = 'place'").groupBy("bucket"))
-        .applyInPandas(fetch(busy, buckets, minimum), "bucket int, blob binary, bytes binary")
-        .unionByName(settled.where("kind = 'also'").select("bucket", "blob", F.lit(None).cast("binary").alias("bytes")))
+        .cogroup(settled.where("kind in ('place', 'lone')").groupBy("bucket"))
+        .applyInPandas(fetch(busy, buckets, minimum), "kind string, bucket int, blob binary, bytes binary")
+        .unionByName(settled.where("kind = 'also'").select("kind", "bucket", "blob", F.lit(None).cast("binary").alias("bytes")))
     )
     grouped = common.materialize(contexts.groupBy("bucket").applyInPandas(by_array(busy, doc_buckets, buckets, minimum), OUT))
     common.release(spark)

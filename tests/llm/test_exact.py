@@ -69,8 +69,15 @@ def test_leaves_of_several_places_are_groups():
     place = {"h": np.uint64([1]), "c": np.uint64([2]), "d": np.uint64([3]), "doc": np.int64([5]), "s": np.uint32([9]), "w": np.uint8([len(context) - 99])}
     more = {k: v.copy() for k, v in place.items()}
     more["doc"], more["s"] = np.int64([8]), np.uint32([0])
-    marks, *_ = repeats.repeat_marks(place, more, context, 100)
-    assert (marks["doc"].tolist(), marks["s"].tolist(), marks["n"].tolist()) == ([8], [0], [len(context)])
+    for lone in (False, True):
+        marks, *_ = repeats.repeat_marks(place, np.zeros(1, np.int64), np.array([lone]), more, context, 100)
+        assert (marks["doc"].tolist(), marks["s"].tolist(), marks["n"].tolist()) == ([8], [0], [len(context)])
+
+
+def test_marks_are_joined():
+    marks = {"doc": np.int64([7, 3, 7, 3, 3]), "s": np.uint32([5, 0, 0, 10, 21]), "n": np.uint32([5, 10, 5, 10, 4])}
+    got = repeats.joined(marks)
+    assert (got["doc"].tolist(), got["s"].tolist(), got["n"].tolist()) == ([3, 3, 7], [0, 21, 0], [20, 4, 10])
 
 
 def test_maximal_repeats():
