@@ -137,7 +137,7 @@ def cz_birth(v: Column) -> Column:
     month = F.substring(d, 3, 2).try_cast("int")
     real = F.when(month > 70, month - 70).when(month > 50, month - 50).when(month > 20, month - 20).otherwise(month)
     day = F.substring(d, 5, 2).try_cast("int")
-    return real.between(1, 12) & day.between(1, 31) & ((F.length(d) == 9) | ((F.length(d) == 10) & (d.try_cast("long") % 11 == 0)))
+    return real.between(1, 12) & day.between(1, 31) & (((F.length(d) == 9) & ~F.substring(d, 1, 2).try_cast("int").between(54, 79)) | ((F.length(d) == 10) & (d.try_cast("long") % 11 == 0)))
 
 
 def pl_pesel(v: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans as S
-from ..functions.validators import VALIDATORS
+from ..functions.idnumbers import ALL as VALIDATORS
 
 
 @dataclass(frozen=True)
@@ -57,22 +57,37 @@ RULES: list[Rule] = [
     Rule("percent", "monetary amount", r"(?<![\w.,])[-+]?[0-9]{1,3}(?:[.,' ]?[0-9]{3})*(?:[.,][0-9]+)? ?%(?: ?[–-] ?[0-9]+(?:[.,][0-9]+)? ?%)?", needs="%"),
     Rule("eth", "crypto", r"\b0x[0-9a-fA-F]{40}\b", 0.9, "crypto.wallet", needs="0x"),
     Rule("bech32", "crypto", r"\b(?:bc1|BC1)[02-9A-HJ-NP-Za-hj-np-z]{11,71}\b", 0.9, "crypto.wallet"),
-    Rule("base58", "crypto", r"(?i:wallet|bitcoin|btc)[^\n]{0,40}?\b[13][1-9A-HJ-NP-Za-km-z]{25,34}\b", 0.9, "crypto.wallet", cue=r"^(?s:.*?)\b(?=[13][1-9A-HJ-NP-Za-km-z]{25,34}$)"),
-    Rule("passport", "passport number", r"(?i:passport)(?: (?i:number|no|num))?[.:#]{0,2} {0,2}[0-9]{0,2}[A-Z]{1,2}[0-9]{5,8}\b", 0.9, cue=r"^(?i)passport(?: (?:number|no|num))?[.:#]{0,2} {0,2}"),
-    Rule("nhs", "national identification number", r"(?i:NHS)(?: (?i:number|no))?[.:]{0,2} {0,2}[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", 1.0, "uk.nhs", cue=r"^(?i)NHS(?: (?:number|no))?[.:]{0,2} {0,2}"),
+    Rule("base58", "crypto", r"\b(?i:(?:btc|bitcoin|crypto)(?: (?:wallet|address))?|wallet(?: address)?)[: ]{1,2}[13][1-9A-HJ-NP-Za-km-z]{25,34}\b"),
+    Rule("passport", "passport number", r"\b(?:(?!The |A |An |His |Her |Their |This |That |My |Your |Our |No )(?:US|UK|EU|[A-Z][a-z]{2,14}) )?(?i:passport)(?: (?i:number|no|num))?[.:#]{0,2} {0,2}(?:[A-Z]{1,2}[0-9]{6,8}|[0-9]{9}|[0-9]{2}[A-Z]{2}[0-9]{5})\b"),
+    Rule("nhs", "national identification number", r"\b(?:NHS|National Health Service)(?: (?i:number|no|num))?[.:]? ?#? ?[0-9]{3}[ -]?[0-9]{3}[ -]?[0-9]{4}\b", 1.0, "uk.nhs"),
+    Rule("fr-cni", "identity card number", r"\b(?:CNI|Carte [Nn]ationale [Dd][’'][Ii]dentit[ée])(?: ?(?:n[º°o]|[Nn]o\.?))?[ :]{1,2}[0-9]{2}[A-Z]{2}[0-9]{5}\b"),
+    Rule("cy-tic", "tax identification number", r"\b(?i:cyprus TIC)[: ]{1,2}[0-9]{8}[A-Z]\b"),
+    Rule("cy-id", "identity card number", r"\b(?i:cypriot ID card)(?: (?i:no|number))?[.:]? [0-9]{6,8}\b"),
+    Rule("uk-licence", "identity card number", r"\bUK (?i:driving licen[cs]e)(?: (?i:no|number))?[.:]? [A-Z][A-Z9]{4}[0-9]{6}[A-Z][A-Z9][0-9A-Z][A-Z]{2}\b"),
+    Rule("ca-licence", "identity card number", r"\b(?:CA|California) (?i:driver(?:[’']?s)? licen[cs]e)(?: (?i:no|number))?[.:]? [A-Z][0-9]{7}\b"),
+    Rule("gmc", "registration number", r"\bGMC (?i:number|no\.?)[:]? [0-9]{7}\b"),
+    Rule("nmc", "registration number", r"\bNMC (?i:PIN)[:]? [0-9]{2}[A-Z][0-9]{4}[A-Z]\b"),
+    Rule("companies-house", "registration number", r"(?i:companies house)(?: (?i:no|number))?[.:]{0,2} {0,2}(?:[A-Z]{2}[0-9]{6}|[0-9]{8})\b", 0.9, cue=r"^(?i)companies house(?: (?:no|number))?[.:]{0,2} {0,2}"),
+    Rule("signing-place", "address", r"(?<=(?:Done at |Signed at |Executed at |Fait à |Hecho en |Fatto a ))\p{Lu}[\p{L}-]{1,30}(?: \p{Lu}[\p{L}-]{1,30}){0,2}(?=,? (?:on|this|le|el|il) )|(?<=\bV )\p{Lu}\p{Ll}{2,30}(?= dne )|\b\p{Lu}\p{Ll}{2,30}(?=, den [0-9])", 0.9, digit=False),
     Rule("cn-ric", "national identification number", r"(?<![0-9A-Za-z])[1-9][0-9]{16}[0-9Xx](?![0-9A-Za-z])", 1.0, "cn.ric"),
     Rule("cz-birth", "birth number", r"(?<![\w/])[0-9]{6}/[0-9]{3,4}(?![\w/])", 1.0, "cz.birth", needs="/"),
     Rule("es-dni", "identity card number", r"\b(?:[0-9]{8}|[XYZ][0-9]{7})-?[A-Z]\b", 1.0, "es.dni"),
     Rule("br-cpf", "tax identification number", r"(?<![\w.])[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}(?!\w)", 1.0, "br.cpf"),
     Rule("br-cnpj", "registration number", r"(?<![\w.])[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}(?!\w)", 1.0, "br.cnpj"),
     Rule("ch-uid", "registration number", r"\bCHE-?[0-9]{3}\.?[0-9]{3}\.?[0-9]{3}(?: (?:MWST|TVA|IVA))?\b", 1.0, "ch.uid", needs="CHE"),
-    Rule("au-abn", "registration number", r"\bABN[: ]{1,2}[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", 1.0, "au.abn", needs="ABN", cue=r"^ABN[: ]{1,2}"),
-    Rule("no-org", "registration number", r"\b[0-9]{3} ?[0-9]{3} ?[0-9]{3} ?MVA\b", 1.0, "no.orgnr", needs="MVA"),
+    Rule("au-abn", "tax identification number", r"\bABN[: ]{1,2}[0-9]{2} ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", 1.0, "au.abn", needs="ABN", cue=r"^ABN[: ]{1,2}"),
+    Rule("no-mva", "tax identification number", r"\b(?:NO ?)?[0-9]{3} ?[0-9]{3} ?[0-9]{3} ?MVA\b", 1.0, "no.mva", needs="MVA"),
+    Rule("no-org", "registration number", r"(?i:\borg\.? ?nr\.?|organisasjonsnummer)[: ]{1,2}[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", 1.0, "no.orgnr", cue=r"^(?i)(?:org\.? ?nr\.?|organisasjonsnummer)[: ]{1,2}"),
     Rule("us-ein", "tax identification number", r"(?<![\w-])[0-9]{2}-[0-9]{7}(?![\w-])", 1.0, "us.ein"),
     Rule("de-idnr", "tax identification number", r"(?i:Steuer-?ID|IdNr|Identifikationsnummer)[.:]{0,2} {0,2}[1-9][0-9] ?[0-9]{3} ?[0-9]{3} ?[0-9]{3}\b", 1.0, "de.idnr", cue=r"^(?i)(?:Steuer-?ID|IdNr|Identifikationsnummer)[.:]{0,2} {0,2}"),
-    Rule("uk-utr", "tax identification number", r"\bUTR[: ]{1,2}[0-9]{5} ?[0-9]{5}\b", 1.0, "uk.utr", needs="UTR", cue=r"^UTR[: ]{1,2}"),
+    Rule("uk-utr", "tax identification number", r"\bUTR[: ]{1,2}[0-9]{5} ?[0-9]{5}\b", 0.9, needs="UTR", cue=r"^UTR[: ]{1,2}"),
     Rule("uk-postcode", "address", r"\b(?:GIR ?0AA|[A-PR-UWYZ](?:[0-9]{1,2}|[A-HK-Y][0-9]{1,2}|[0-9][A-HJKSTUW]|[A-HK-Y][0-9][ABEHMNPRVWXY]) [0-9][ABD-HJLNP-UW-Z]{2})\b"),
     Rule("us-zip", "address", r"\b(?:A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|P[AR]|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY]) [0-9]{5}(?:-[0-9]{4})?(?![\w-])"),
+    Rule("eu-vat", "tax identification number", r"\b(?:ATU[0-9]{8}|BE ?[01][0-9]{9}|BG[0-9]{9,10}|CY[0-9]{8}[A-Z]|CZ[0-9]{8,10}|DE[0-9]{9}|DK ?[0-9]{8}|EE[0-9]{9}|EL[0-9]{9}|ES[A-Z0-9][0-9]{7}[A-Z0-9]|FI[0-9]{8}|FR[0-9A-Z]{2} ?[0-9]{9}|GB ?[0-9]{9}|HR[0-9]{11}|HU[0-9]{8}|IE[0-9][0-9A-Z][0-9]{5}[A-Z]{1,2}|LT[0-9]{9,12}|LU[0-9]{8}|LV[0-9]{11}|MT[0-9]{8}|NL[0-9]{9}B[0-9]{2}|PT[0-9]{9}|RO[0-9]{2,10}|SI[0-9]{8}|SK[0-9]{10})\b", 1.0, "eu.vat"),
+    Rule("it-fiscal", "tax identification number", r"\b[A-Z]{6}[0-9]{2}[A-EHLMPRST][0-9]{2}[A-Z][0-9]{3}[A-Z]\b", 1.0, "it.codiceFiscale"),
+    Rule("de-svnr", "social security number", r"(?i:rentenversicherungsnummer|sozialversicherungsnummer|SVNR)[.: ]{1,2}[0-9]{2} ?[0-9]{6} ?[A-Z] ?[0-9]{3}\b", 1.0, "de.svnr", cue=r"^(?i)(?:rentenversicherungsnummer|sozialversicherungsnummer|svnr)[.: ]{1,2}"),
+    Rule("ie-pps", "social security number", r"\bPPS[: ]{1,2}[0-9]{7}[A-W][A-IWTX]?\b", 1.0, "ie.pps", needs="PPS", cue=r"^PPS[: ]{1,2}"),
+    Rule("fi-hetu", "national identification number", r"(?<![\w-])[0-3][0-9][01][0-9]{3}[-+A][0-9]{3}[0-9A-FHJ-NPR-Y](?![\w-])", 1.0, "fi.hetu"),
     Rule("ecli", "case number", r"\bECLI:[A-Z]{2}:[A-Z0-9]{1,7}:[0-9]{4}:[A-Z0-9.]{1,25}\b", needs="ECLI"),
     Rule("neutral-citation", "case number", r"\[(?:19|20)[0-9]{2}\] (?:UKSC|UKPC|EWCA (?:Civ|Crim)|EWHC|UKUT|UKFTT|CSIH|CSOH|NICA|IESC|IEHC) [0-9]{1,5}\b", needs="["),
     Rule("us-docket", "case number", r"\b[0-9]{1,2}:[0-9]{2}-(?:cv|cr|bk|md|mc|mj|ap)-[0-9]{3,6}(?:-[A-Z]{2,4})*\b"),

@@ -18,7 +18,7 @@ ACCEPT = [
     ("card", "pay 4111 1111 1111 1111 now", "4111 1111 1111 1111"), ("iban", "IBAN DE89 3704 0044 0532 0130 00.", "DE89 3704 0044 0532 0130 00"), ("phone-international", "call +420 777 123 456.", "+420 777 123 456"),
     ("phone-nanp", "call (212) 555-0123 today", "(212) 555-0123"), ("phone-german", "Tel 030 12345678", "030 12345678"), ("ssn", "no 123-45-6789 x", "123-45-6789"), ("nino", "NI AB123456C.", "AB123456C"),
     ("date-iso", "on 2024-02-29.", "2024-02-29"), ("date-numeric", "am 5. 3. 2024 in", "5. 3. 2024"), ("percent", "at 3.875% a year", "3.875%"), ("eth", "0x" + "aB" * 20, "0x" + "aB" * 20),
-    ("passport", "US passport number X12345678", "X12345678"), ("nhs", "NHS number 943 476 5919", "943 476 5919"), ("cn-ric", "id 11010519491231002X ok", "11010519491231002X"), ("cz-birth", "r.č. 900101/0008 x", None),
+    ("passport", "US passport number X12345678", "US passport number X12345678"), ("nhs", "NHS number 943 476 5919", "NHS number 943 476 5919"), ("cn-ric", "id 11010519491231002X ok", "11010519491231002X"), ("cz-birth", "r.č. 900101/0008 x", None),
     ("es-dni", "DNI 12345678Z", "12345678Z"), ("br-cpf", "CPF 529.982.247-25", "529.982.247-25"), ("ch-uid", "CHE-116.281.710 MWST", None), ("au-abn", "ABN 51 824 753 556", "51 824 753 556"),
     ("us-ein", "EIN 12-3456789", "12-3456789"), ("us-zip", "Austin, TX 78701-1234", "TX 78701-1234"), ("ecli", "see ECLI:EU:C:2019:123 ok", "ECLI:EU:C:2019:123"), ("neutral-citation", "[2024] UKSC 1", "[2024] UKSC 1"),
     ("us-docket", "No. 1:23-cv-04567", "1:23-cv-04567"), ("de-aktenzeichen", "Az. 1 BvR 123/24", "Az. 1 BvR 123/24"), ("pl-sygnatura", "sygn. akt III CZP 10/23", "sygn. akt III CZP 10/23"),
@@ -241,3 +241,57 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["text"]: r["placeholder"] for r in spark.sql("select * from placed").collect()} == {"Ann": "[PERSON_s_1]", "Bob": "[PERSON_s_2]", "ann": "[PERSON_s_1]"}
+
+
+#: Published examples of valid numbers.
+NUMBERS = {
+    "au.acn": ["004 085 616"], "at.businessid": ["FN 122119m"], "at.tin": ["59-119/9013"], "at.uid": ["AT U13585627"], "be.vat": ["BE403019261"], "bg.vat": ["BG 175 074 752"], "cy.vat": ["CY-10259033P"],
+    "cz.dic": ["CZ 25123891", "7103192745", "640903926"], "de.svnr": ["15 070649 C 10 3"], "de.vat": ["DE 136695976"], "dk.vat": ["DK 13585628"], "ee.ik": ["36805280109"], "ee.vat": ["EE 100 931 558"],
+    "es.cif": ["J99216582", "A13 585 625"], "es.dni": ["54362315-K"], "es.nie": ["X-2482300W"], "es.vat": ["ES54362315K"], "fi.hetu": ["131052-308T"], "fi.vat": ["FI 20774740"], "fi.ytunnus": ["2077474-0"],
+    "fr.tva": ["FR 40 303 265 045"], "gb.vat": ["GB 980 7806 84"], "gr.vat": ["EL 094259216", "GR 94259216"], "hr.vat": ["HR 33392005961"], "hu.vat": ["HU-12892312"], "ie.pps": ["6433435F", "6433435FT"], "ie.vat": ["IE 6433435F", "IE 8D79739I"],
+    "it.codiceFiscale": ["RCCMNL83S18D969H"], "lt.asmens": ["33309240064"], "lt.vat": ["119511515", "100001919017"], "lu.vat": ["LU 150 274 42"], "lv.vat": ["LV 4000 3521 600", "161175-19997"], "mt.vat": ["MT-1167-9112"],
+    "nl.vat": ["NL004495445B01", "NL002455799B11"], "no.mva": ["NO 995 525 828 MVA"], "pt.cc": ["00000000 0 ZZ4"], "pt.vat": ["PT 501 964 843"], "ro.vat": ["RO 185 472 90"], "se.personnummer": ["880320-0016"],
+    "si.vat": ["SI 5022 3054"], "sk.dic": ["SK 202 274 96 19"], "us.rtn": ["111000025"], "dk.cpr": ["211062-5629"], "de.stnr": ["181/815/08155"], "eu.vat": ["DE136695976", "ATU13585627"],
+}
+#: No checksum, or none over the last digit.
+UNCHECKED = {"at.businessid", "dk.cpr", "de.stnr", "NL004495445B01"}
+
+
+def test_numbers_of_all_countries(spark):
+    from spanveil.functions.idnumbers import ALL
+
+    rows = [(name, v, True) for name, values in NUMBERS.items() for v in values]
+    for name, values in NUMBERS.items():
+        for v in values:
+            at = max(i for i, c in enumerate(v) if c.isdigit())
+            rows += [(name, v[:at] + str((int(v[at]) + 1) % 10) + v[at + 1 :], False)] if not {name, v} & UNCHECKED else []
+            rows += [(name, v + "77777", False), (name, "", False)]
+    for name in sorted({r[0] for r in rows}):
+        mine = [r for r in rows if r[0] == name]
+        got = {r["v"]: r["ok"] for r in spark.createDataFrame(mine, "name string, v string, want boolean").select("v", F.coalesce(ALL[name](F.col("v")), F.lit(False)).alias("ok")).collect()}
+        assert got == {v: want for _, v, want in mine}, name
+
+
+def test_contextual_identifiers(spark):
+    lines = [
+        ("ETH wallet 0x742d35Cc6634C0532925a3b844Bc454e4438f44e.", "crypto", "0x742d35Cc6634C0532925a3b844Bc454e4438f44e"), ("BTC wallet 1BoatSLRHtKNngkdXEeobR76b53LETtpyT.", "crypto", "BTC wallet 1BoatSLRHtKNngkdXEeobR76b53LETtpyT"),
+        ("Bitcoin address BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4.", "crypto", "BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4"), ("US passport number X12345678 was inspected.", "passport number", "US passport number X12345678"),
+        ("UK passport no 123456789 was copied.", "passport number", "UK passport no 123456789"), ("Passport No. A1234567 was listed.", "passport number", "Passport No. A1234567"), ("French passport number 12AB34567 was checked.", "passport number", "French passport number 12AB34567"),
+        ("NHS No. 401 023 2137 was present.", "national identification number", "NHS No. 401 023 2137"), ("National Health Service # 401 023 2137 again.", "national identification number", "National Health Service # 401 023 2137"),
+        ("CNI nº 12AB34567 was attached.", "identity card number", "CNI nº 12AB34567"), ("Carte Nationale D’Identité n° 12AB34567 was attached.", "identity card number", "Carte Nationale D’Identité n° 12AB34567"),
+        ("Cyprus TIC: 12345678X was recorded.", "tax identification number", "Cyprus TIC: 12345678X"), ("Cypriot ID card no 123456 was copied.", "identity card number", "Cypriot ID card no 123456"),
+        ("UK driving licence MORGA657054SM9IJ was verified.", "identity card number", "UK driving licence MORGA657054SM9IJ"), ("UK driving licence LEE99706030J99AB was verified.", "identity card number", "UK driving licence LEE99706030J99AB"),
+        ("CA driver’s license no D1234567 was scanned.", "identity card number", "CA driver’s license no D1234567"), ("GMC number: 1234567 was checked.", "registration number", "GMC number: 1234567"), ("NMC PIN 12A3456B was checked.", "registration number", "NMC PIN 12A3456B"),
+        ("(Companies House: 09876543) is the parent.", "registration number", "09876543"), ("Self Assessment UTR: 1234567890 was filed.", "tax identification number", "1234567890"), ("ABN 83 914 571 673", "tax identification number", "83 914 571 673"),
+        ("Norwegian orgnr 923 609 016", "registration number", "923 609 016"), ("Norwegian VAT NO 995 525 828 MVA", "tax identification number", "NO 995 525 828 MVA"), ("EIN 04-2103594", "tax identification number", "04-2103594"),
+        ("The company UID is CHE-101.374.515.", "registration number", "CHE-101.374.515"), ("Signed at Cork on 3 May", "address", "Cork"), ("V Praze dne 3. 5.", "address", "Praze"), ("Wien, den 3. Mai", "address", "Wien"), ("VAT DE136695976", "tax identification number", "DE136695976"),
+    ]
+    wrong = ["NHS number 401 023 2138 was a typo.", "The company UID is CHE-101.374.516.", "VAT DE136695977"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([x[0] for x in lines] + wrong)], "doc_id long, text string")
+    got = {}
+    for r in detect(docs).collect():
+        got.setdefault(r["doc_id"], set()).add((r["label"], r["text"]))
+    for i, (_, label, value) in enumerate(lines):
+        assert (label, value) in got.get(i, set()), (lines[i], got.get(i))
+    kinds = {"national identification number", "registration number", "tax identification number"}
+    assert not any(label in kinds for i in range(len(lines), len(lines) + len(wrong)) for label, _ in got.get(i, set()))
