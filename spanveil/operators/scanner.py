@@ -165,12 +165,16 @@ def extend_money(text: str, found: list[Entity]) -> list[Entity]:
 SCAN, PATTERN_SCAN = 2048, 512
 
 
+STOPS = regex.compile(r"(?<!\d),|,(?!\d)|[\n()\[\]{}]|[.!?](?=\s+\p{Lu}|\s*$)|(?= (?:hereinafter|whose|acting|residing|born|with its)\b)")
+TITLE_END = regex.compile(rf"(?<!\w)(?:{any_of(V.TITLES)})$")
+
+
 def trigger_value(text: str, at: int, strategy: str, p: dict) -> tuple[int, int] | None:
     """The span of the value after a cue."""
     at += len(regex.match(r"[ \t]*[:;#=]?[ \t]*", text[at : at + 40]).group())
     window = text[at : at + SCAN]
     if strategy == "comma":
-        stop = regex.search(r"(?<!\d),|,(?!\d)|[\n()\[\]{}]|[.!?](?=\s+\p{Lu}|\s*$)", window)
+        stop = next((m for m in STOPS.finditer(window) if not (m.group() == "," and GOES_ON.match(window, m.end() + 1)) and not (m.group() == "." and TITLE_END.search(window[: m.end()]))), None)
         if stop is None and len(window) == SCAN:
             return None  # fail closed
         size = min(stop.start() if stop else len(window), p.get("most", SCAN))
@@ -203,9 +207,42 @@ def trigger_value(text: str, at: int, strategy: str, p: dict) -> tuple[int, int]
     return (at + lead, at + len(cut)) if cut.strip() else None
 
 
+#: After a comma, these go on with a value: degrees, and the currencies of decimal amounts.
+GOES_ON = regex.compile(r"(?:Ph\.?D|MBA|LL\.?M|CSc|DrSc|Esq|Jr|Sr|M\.?D|Inc|Ltd|LLC|GmbH|a\.s|s\.r\.o)\b\.?")
+
+
+def expand_triggers(rules, extensions: tuple[str, ...] = ("add-colon", "normalize-spaces")):
+    """Rules with variants of their cues: a colon after them, a space after them or both, no-break spaces. The first rule with a cue keeps it."""
+    made = {"add-colon": lambda c: c + ":", "add-trailing-space": lambda c: c + " ", "add-colon-space": lambda c: c + ": ", "normalize-spaces": lambda c: c.replace(" ", "\u00a0")}
+    seen, out = set(), []
+    for cues, *rest in rules:
+        mine = []
+        for cue in cues:
+            for form in dict.fromkeys([cue, *(made[x](cue) for x in extensions)]):
+                if form.lower() not in seen:
+                    seen.add(form.lower())
+                    mine.append(form)
+        out.append((mine, *rest))
+    return out
+
+
 def valid(value: str, checks: list[str]) -> bool:
     tests = {"upper": lambda v: regex.match(r"[\p{Lu}\p{N}\"„“]", v), "digit": lambda v: regex.search(r"\d", v), "no-digit": lambda v: not regex.search(r"\d", v), "phone": lambda v: len(regex.sub(r"\D", "", v)) >= 5 and not regex.match(r"\d{4}-\d{2}-\d{2}$", v)}
-    return all(tests[c](value) for c in checks)
+    for check in checks:
+        name, _, given = check.partition(":")
+        if name == "min-length":
+            ok = len(value) >= int(given)
+        elif name == "max-length":
+            ok = len(value) <= int(given)
+        elif name == "matches":
+            ok = regex.search(given, value) is not None
+        elif name == "valid-id":
+            ok = regex.search(r"\d", value) is not None and regex.fullmatch(r"[\p{L}\d][\p{L}\d ./-]{2,40}", value) is not None
+        else:
+            ok = bool(tests[name](value))
+        if not ok:
+            return False
+    return True
 
 
 def triggers(text: str, rules=V.TRIGGERS) -> list[Entity]:
@@ -286,7 +323,14 @@ def signatures(text: str) -> list[Entity]:
 
 # --- organisations ------------------------------------------------------------------------
 
+# Words of a name before its legal form, and lower-case words between them.
 HEAD_TOKENS, BRIDGES = 20, 4
+FORMS = frozenset(V.LEGAL_FORMS)
+JURISDICTION = regex.compile(r"\((?:[A-Z]{2,3}|\p{Lu}\p{Ll}+)\)")
+#: Parts of documents, with letters or Roman numerals: no names.
+STRUCTURE = regex.compile(r"(?:Section|Article|Annex|Part|Schedule|Chapter|Title|Appendix|Exhibit) [A-Z0-9.]+|(?:(?:Section|Article|Chapter|Title|Part) )?[IVXLCDM]+|[A-Z]")
+#: Words that lead into a name and aren't part of it.
+LEADING = regex.compile(r"(?:(?:The|This|Between|And|Whereas|By|With|From|For|When|While|Where|If|Under|Both|Neither|Either|Dear|Re) )+(?=\p{Lu})")
 
 
 def legal_forms(text: str) -> list[Entity]:
@@ -294,9 +338,9 @@ def legal_forms(text: str) -> list[Entity]:
     out: dict[int, int] = {}
     form = compiled(rf"(?<=[\s,])(?:{any_of(V.LEGAL_FORMS)})(?![\p{{L}}\p{{N}}])")
     for m in form.finditer(text) if any(f in text for f in V.LEGAL_FORMS) else ():
-        begin, tokens, bridges = m.start(), 0, 0
+        begin, tokens, bridges, compound, wrapped = m.start(), 0, 0, False, False
         gap = text[max(0, begin - 2) : begin]
-        if regex.search(r"[.;:!?] $", gap):
+        if regex.search(r"[.;:!?] $", gap) and not text[max(0, begin - 16) : begin - 1].endswith(tuple(V.LEGAL_FORMS)):
             continue
         start = None
         for w in reversed(list(compiled(r"\S+").finditer(text, max(0, begin - 300), begin))):
@@ -305,12 +349,16 @@ def legal_forms(text: str) -> list[Entity]:
             if "\n\n" in between or (start is not None and ("\n" in between or regex.search(r"[.;:!?)]$", word) and not regex.match(r"(?:\p{Lu}\.)+$", word))):
                 break
             bare = word.strip("\"'“”„(),")
-            if start is not None and word.endswith(","):
-                break
+            if start is None and JURISDICTION.fullmatch(word):
+                continue  # "Acme (UK) LLP"
+            if start is not None and (word.endswith(",") or (bare in FORMS and not compound)):
+                break  # the end of another name in a list
             if bare.lower() in V.CONNECTORS and start is not None and bridges < BRIDGES:
                 bridges += 1
             elif regex.match(r"[\p{Lu}\p{N}&]", bare) and bare.lower() not in V.ROLES:
                 start, tokens, bridges = a + word.index(bare), tokens + 1, 0
+                compound = bare in FORMS  # "GmbH & Co. KG"
+                wrapped = wrapped or "\n" in between
                 if tokens >= HEAD_TOKENS or word[0] in "\"“„(":
                     break
             else:
@@ -318,10 +366,12 @@ def legal_forms(text: str) -> list[Entity]:
         if start is None:
             continue
         name = text[start : m.start()].strip(" ,")
-        if regex.fullmatch(r"(?:Section|Article|Annex|Part|Schedule) [A-Z0-9]|[A-Z]", name) or len(name) < 2:
+        if STRUCTURE.fullmatch(name) or len(name) < 2:
             continue
-        clip = regex.match(r"(?:The|This|Between|And|Whereas|By) (?=\p{Lu})", text[start : m.end()])
-        start += clip.end() if clip else 0
+        if wrapped and tokens == 1 and text.rfind("\n", 0, start) + 1 == start:
+            continue  # a word alone on the line above isn't evidence of a name that was wrapped
+        clip = LEADING.match(text, start, m.end())
+        start = clip.end() if clip else start
         out[start] = max(out.get(start, 0), m.end())
     formed, heads = Covered(out.items()), {}
     word = r"(?:\p{Lu}[\p{L}'’-]+|" + any_of(V.CONNECTORS) + ")"
@@ -494,7 +544,7 @@ def addresses(text: str, found: list[Entity], standalone: bool = False) -> list[
 
 
 def address_context(text: str, found: list[Entity]) -> list[Entity]:
-    """House numbers and street lines near known addresses: 'Word 12/3' near by or in the header, 'Word 12' on the same line."""
+    """House numbers and street lines near known addresses: 'Word 12/3' near by or in the header, street lines of the header, 'Word 12' on the same line."""
     known = [e for e in found if e.label == "address"]
     header = min(len(text) * 15 // 100, 32 << 10)
     out = []
@@ -503,6 +553,13 @@ def address_context(text: str, found: list[Entity]) -> list[Entity]:
         if (near or m.start() < header) and not any(e.start < m.end() and m.start() < e.end for e in found):
             score = 0.95 if ":" in text[max(0, m.start() - 5) : m.start()] else 0.85 if m.start() < header else 0.8
             out.append(entity(text, *m.span(), "address", score, "regex", source_detail="address-context"))
+    if known:
+        at = 0
+        for line in text[:header].split("\n"):  # street lines of their own in the header
+            m = compiled(rf"\s*((?:\d{{1,5}} )?(?:\p{{Lu}}[\p{{L}}.'’-]* ){{1,4}}(?:{any_of(V.STREETS)})(?: \d{{1,4}})?),?\s*").fullmatch(line)
+            if m and not any(e.start < at + m.end(1) and at + m.start(1) < e.end for e in [*found, *out]):
+                out.append(entity(text, at + m.start(1), at + m.end(1), "address", 0.85, "regex", source_detail="address-context"))
+            at += len(line) + 1
     for m in regex.finditer(r"\b\p{Lu}\p{L}{3,} \d{1,4}\b(?![/.,]\d)", text):
         near = any("\n" not in text[min(e.end, m.end()) : max(e.start, m.start())] and max(0, e.start - m.end(), m.start() - e.end) <= 50 for e in known)
         stop = m.group().split()[0].lower() in {"section", "article", "page", "schedule", "annex", *V.MONTHS["en"]}
@@ -678,6 +735,8 @@ def false_positive(text: str, e: Entity) -> str | None:
         return "page-footer"
     if e.label == "address" and regex.fullmatch(r"(?i)(?:in|v|ve|à) \p{Lu}\p{L}+,? (?:on|dne|am|le)", t):
         return "signing-place"
+    if e.label == "address" and e.source == "deny-list" and len(words) > 1 and words[-1].strip(".,;:").lower() in V.PERSON_STOP:
+        return "address-noun"
     if e.label == "organization" and regex.search(r" (?:Reform|Protection|Exchange)(?: and [\p{Lu}\p{L} ]+)? Act$", t) and not regex.search(r"\d", t):
         return "statute"
     component = regex.search(rf"\d|(?<!\w)(?:{any_of(V.STREETS + V.CITIES + V.COUNTRIES)})(?!\w)", t)
@@ -689,6 +748,42 @@ def false_positive(text: str, e: Entity) -> str | None:
     return None
 
 
+PARTY = regex.compile(rf"(?i)(?:the )?(?:{any_of(V.ROLES)})(?:'s)?(?: address)?\s*[:,–-]\s*")
+PROSE = regex.compile(r",? (?:hereinafter|which|who|where|that|and its|represented|vertreten|zastoupen\w*|ci-après|en adelante|dále jen)\b.*", regex.S | regex.I)
+OPEN_END = regex.compile(r"(?: \p{Ll}{3,}){3,}.*", regex.S)
+
+
+def normalise(text: str, entities: list[Entity]) -> list[Entity]:
+    """Spans without what detectors took in too much: a party before an address, prose after an address or an organisation."""
+    out = []
+    for e in entities:
+        a, b = e.start, e.end
+        if e.label == "address" and e.source != "caller":
+            lead = PARTY.match(text, a, b)
+            a = lead.end() if lead and lead.end() < b else a
+            tail = PROSE.search(text, a, b)
+            b = tail.start() if tail and tail.start() > a else b
+        elif e.label == "organization" and e.source in ("trigger", "coreference"):
+            tail = OPEN_END.search(text, a, b)
+            b = tail.start() if tail and tail.start() > a else b
+        while b > a and text[b - 1] in " ,;:-–":
+            b -= 1
+        out.append(replace(e, start=a, end=b, text=text[a:b]) if (a, b) != (e.start, e.end) else e)
+    return [e for e in out if e.size]
+
+
+WRAPPED_CITY = regex.compile(rf"(?:[ \n]\p{{Lu}}[\p{{L}}'’-]+){{0,2}}, (?:{any_of(V.STATES)}) \d{{5}}(?:-\d{{4}})?\b")
+
+
+def wrapped_cities(text: str, entities: list[Entity]) -> list[Entity]:
+    """A person that goes on, perhaps over a line break, as 'City, ST 12345' is an address."""
+    out = []
+    for e in entities:
+        m = WRAPPED_CITY.match(text, e.end) if e.label == "person" else None
+        out.append(replace(e, end=m.end(), label="address", text=text[e.start : m.end()], score=max(e.score, 0.9), source="regex") if m else e)
+    return out
+
+
 def drop_false_positives(text: str, entities: list[Entity]) -> list[Entity]:
     return [e for e in entities if false_positive(text, e) is None]
 
@@ -757,9 +852,9 @@ def resolve(text: str, entities: list[Entity], threshold: float = 0.3, labels: s
         kept = [e for e in found if (not labels or e.label in labels) and (e.score >= threshold or e.source_detail == "address-context")]
         kept = extend_money(text, merge(kept))
         kept = join_adjacent(text, trim_crossing(text, cut_persons(text, grow_words(text, kept))))
-        return drop_false_positives(text, sanitise(text, kept))
+        return drop_false_positives(text, normalise(text, sanitise(text, kept)))
 
-    first = once(entities)
+    first = once(wrapped_cities(text, entities))
     aliases = coreferences(text, first) if coreference else []
     final = once([*first, *aliases]) if aliases else first
     final = [e for e in final if (not labels or e.label in labels) and (e.score >= threshold or e.source_detail == "address-context")]

@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import spans as S
+from ..functions.vocab import HOTWORDS
 from ..operators import dictionary as D
 from ..operators import lookup as L
 from ..operators import redact as R
 from ..operators import rules as rule_catalogue
+from ..operators.curated import declensions
 from ..operators.filters import BAND, BONUS, ANCHOR, NEAR, ZONE_BOOST, HEADING, SIGNING
 
 #: Detectors in the fixed order in which their results are concatenated.
@@ -71,6 +73,7 @@ class Tables:
     gazetteer: DataFrame | None = None  # canonical, label, variants
     countries: DataFrame | None = None  # surface, code
     ambiguous: DataFrame | None = None  # surface
+    names: DataFrame | None = None  # name, kind (first or last), declined (whether case forms count, too)
     caller: DataFrame | None = None  # doc_id, start, end, label, score: of external.detections()
 
 
@@ -111,6 +114,14 @@ def literal_hits(docs: DataFrame, config: PipelineConfig, tables: Tables) -> Dat
     return out.select("doc_id", "text", "found", F.array_sort("literal").alias("literal"), *more)
 
 
+def searched(config: PipelineConfig) -> set[str]:
+    """The labels to look for: the wanted ones, and those that a hotword can turn into a wanted one. Empty: all."""
+    wanted = set(config.labels)
+    if wanted and config.hotwords:
+        wanted |= {label for _, labels, _, _, _, new in HOTWORDS if new in wanted for label in labels}
+    return wanted
+
+
 def tagged(found: Column, rule: rule_catalogue.Rule) -> Column:
     custom = F.lit(rule.rule_id.startswith("custom-")).alias("custom")
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(rule.label).alias("label"), F.lit(rule.score).alias("score"), custom))
@@ -118,7 +129,8 @@ def tagged(found: Column, rule: rule_catalogue.Rule) -> Column:
 
 def rule_matches(docs: DataFrame, config: PipelineConfig, id_col: str, text: str) -> DataFrame:
     """docs (doc_id, text, and its other columns) with `found`: matches of the wanted regex rules, array of structs."""
-    chosen = [r for r in rule_catalogue.RULES if not config.labels or r.label in config.labels] if "regex" in config.detectors else []
+    wanted = searched(config)
+    chosen = [r for r in rule_catalogue.RULES if not wanted or r.label in wanted] if "regex" in config.detectors else []
     chosen += [rule_catalogue.Rule(f"custom-{i}", label, pattern, score, digit=False) for i, (pattern, label, score) in enumerate(config.custom_regex)]
     kind = "array<struct<start:int,end:int,label:string,score:double,custom:boolean>>"
     more = [c for c in docs.columns if c not in (id_col, text)]
@@ -144,6 +156,11 @@ def carried(config: PipelineConfig, tables: Tables) -> tuple[dict, Tables]:
         terms = {L.folded(r["surface"]) for r in rows if r["surface"]}
         out["countries"] = L.Lexicon((t, "country") for t in sorted(terms - no) if len(t) > 3)
         left = replace(left, countries=None)
+    if "names" in config.detectors and tables.names is not None:
+        if (rows := L.small(tables.names, "name")) is None:
+            raise ValueError(f"names are looked up word by word: at most {L.SMALL_TERMS} of them")
+        forms = lambda r: declensions(r["name"]) if r["declined"] else {r["name"]}
+        out["names"] = {kind: {f for r in rows if r["name"] and r["kind"] == kind for f in forms(r)} for kind in ("first", "last")}
     return out, left
 
 
@@ -169,19 +186,22 @@ def lexical(text: str, lexicons: dict, config: PipelineConfig) -> list[dict]:
     return out
 
 
-def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[dict] = ()):
+def analyse(text: str, found: list[dict], config: PipelineConfig, literal: list[dict] = (), more_names: dict[str, set[str]] | None = None):
     """Resolved entities of one text, from its rule matches, literal hits and the other detectors."""
     import regex
 
     from ..functions import vocab as V
     from ..operators import scanner as C
+    from ..operators.curated import curated
 
     entities = [C.entity(text, f["start"], f["end"], f["label"], f["score"], "regex", source_detail="custom-regex" if f["custom"] else None) for f in found]
     given = {c: [C.entity(text, h["start"], h["end"], h["label"], h["score"], h["source"], source_detail=h["source_detail"]) for h in literal if (h["source"] == "caller") == c and 0 <= h["start"] < h["end"] <= len(text)] for c in (False, True)}
-    entities += given[False]
+    dealt = [e for e in given[False] if e.source == "deny-list" and e.source_detail is None]
+    entities += [e for e in given[False] if e not in dealt] + curated(text, dealt) if dealt else given[False]
     search, on = text.translate(C.FOLD), config.detectors
+    known = (C.FIRST | more_names["first"], C.LAST | more_names["last"]) if more_names else (None, None)
     languages = (config.language,) if config.language in V.MONTHS else tuple(V.MONTHS)
-    for name, run in (("dates", lambda t: C.dates(t, languages)), ("money", C.money), ("triggers", C.triggers), ("signatures", C.signatures), ("legal_forms", C.legal_forms), ("names", lambda t: C.names(t, mode=config.name_mode))):
+    for name, run in (("dates", lambda t: C.dates(t, languages)), ("money", C.money), ("triggers", C.triggers), ("signatures", C.signatures), ("legal_forms", C.legal_forms), ("names", lambda t: C.names(t, *known, mode=config.name_mode))):
         if name in on:
             entities += run(search)
     if "addresses" in on:
@@ -266,7 +286,7 @@ def resolved_arrays(docs: DataFrame, config: PipelineConfig | None = None, id_co
                     if body:
                         if lexicons:
                             literal = sorted([*literal, *lexical(body.translate(C.FOLD), lexicons, config)], key=lambda h: (h["rank"], h["start"], h["end"], h["label"]))
-                        for k, e in enumerate(analyse(body, found, config, literal)):
+                        for k, e in enumerate(analyse(body, found, config, literal, lexicons.get("names"))):
                             for c, v in zip(cols, (e.start, e.end, e.label, e.text, e.score, e.source, e.source_detail, e.kind, e.source_text, k), strict=True):
                                 c.append(v)
                     ends.append(len(cols[0]))
