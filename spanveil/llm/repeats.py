@@ -64,7 +64,9 @@ PLACE = [("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("s", "<u4"),
 KINDS = {"anchor": PLACE, "place": PLACE, "also": PLACE, "lone": PLACE, "part": [*PLACE, ("o", "<u4")], "mark": [("doc", "<i8"), ("s", "<u4"), ("n", "<u4")], "window": [("f", "<u8"), ("g", "<u8"), ("h", "<u8"), ("doc", "<i8"), ("s", "<u4")]}
 SHIFTS = (5, 11, 23)
 #: Anchors that one task combines and hands on at a time.
-FLUSH = 1_000_000
+FLUSH = 400_000
+#: Windows that one suffix array holds, if no anchor alone has more: contexts of different anchors have no window in common.
+WINDOWS = 200_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -385,31 +387,65 @@ def joined(marks: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"doc": doc[new], "s": s[new], "n": reach[ends] - (group + s)[new]}
 
 
+def fingerprints(data: np.ndarray, starts: np.ndarray, length: int, step: int = 1 << 20) -> np.ndarray:
+    """Two hashes of the `length` bytes at each start; only parts of the data that hold a start are read."""
+    out = np.zeros((2, len(starts)), np.uint64)
+    part = starts // step
+    for k in np.unique(part).tolist():
+        some, seg = np.flatnonzero(part == k), data[k * step : (k + 1) * step + length - 1]
+        for which in (0, 1):
+            out[which, some] = hashes(seg, length, which)[starts[some] - k * step]
+    return out
+
+
+def groups_of(h: np.ndarray, windows: np.ndarray, most: int = WINDOWS) -> Iterator[np.ndarray]:
+    """Records in groups of whole anchors, of about `most` windows each."""
+    order = np.argsort(h, kind="stable")
+    ends = np.cumsum(windows[order])
+    begins = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))  # of the anchors
+    lo = 0
+    while lo < len(order):
+        at = np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")
+        cut = begins[np.searchsorted(begins, at, "right") - 1] if at < len(order) else len(order)
+        if cut <= lo:  # an anchor that has more windows alone
+            later = begins[begins > lo]
+            cut = later[0] if len(later) else len(order)
+        yield order[lo:cut]
+        lo = cut
+
+
 def by_array(hot: np.ndarray, doc_buckets: int, buckets: int, minimum: int):
     """Step 3, for a bucket of contexts; windows of hot anchors that are not settled go on."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         with_bytes = pdf[pdf["bytes"].notna()]
-        more = unpack(pdf["blob"][pdf["bytes"].isna()], "also")
+        further = unpack(pdf["blob"][pdf["bytes"].isna()], "also")
         parts = [unpack([blob], "part") for blob in with_bytes["blob"]]
         if not parts:
             return table_of([])
-        p = {n: np.concatenate([x[n] for x in parts]) for n in parts[0]}
+        every = {n: np.concatenate([x[n] for x in parts]) for n in parts[0]}
         counts = [len(x["h"]) for x in parts]
-        lone = np.repeat((with_bytes["kind"] == "lone").to_numpy(), counts)
+        alone = np.repeat((with_bytes["kind"] == "lone").to_numpy(), counts)
         sizes = np.array([len(x) for x in with_bytes["bytes"]], np.int64)
-        begins = np.repeat(np.cumsum(sizes) - sizes, counts) + p["o"]
+        places = np.repeat(np.cumsum(sizes) - sizes, counts) + every["o"]
         data = np.frombuffer(b"".join(with_bytes["bytes"]), np.uint8)
-        marks, record, starts, settled = repeat_marks(p, begins, lone, more, data, minimum)
-        marks = joined(marks)
-        rows = [("mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))]
-        on = np.flatnonzero(is_in(p["h"], hot)[record] & ~settled)
-        if len(on):
-            r = record[on]
-            f, g = (hashes(data, minimum, k)[starts[on]] for k in (0, 1))
-            windows = {"f": f, "g": g, "h": p["h"][r], "doc": p["doc"][r], "s": p["s"][r].astype(np.int64) + starts[on] - begins[r]}
-            rows += [("window", b, x) for b, x in dealt(windows, "window", (windows["f"] % np.uint64(buckets)).astype(np.int64))]
-        return table_of(rows)
+        del pdf, with_bytes, parts
+        by_h = np.argsort(further["h"], kind="stable")
+        further = {n: v[by_h] for n, v in further.items()}
+        found, rows = [], []
+        for some in groups_of(every["h"], np.where(alone, 1, every["w"])):
+            p, begins, lone = {n: v[some] for n, v in every.items()}, places[some], alone[some]
+            lo, hi = np.searchsorted(further["h"], p["h"].min(), "left"), np.searchsorted(further["h"], p["h"].max(), "right")
+            marks, record, starts, settled = repeat_marks(p, begins, lone, {n: v[lo:hi] for n, v in further.items()}, data, minimum)
+            found.append(marks)
+            on = np.flatnonzero(is_in(p["h"], hot)[record] & ~settled)
+            if len(on):
+                r = record[on]
+                f, g = fingerprints(data, starts[on], minimum)
+                windows = {"f": f, "g": g, "h": p["h"][r], "doc": p["doc"][r], "s": p["s"][r].astype(np.int64) + starts[on] - begins[r]}
+                rows += [("window", b, x) for b, x in dealt(windows, "window", (windows["f"] % np.uint64(buckets)).astype(np.int64))]
+        marks = joined({n: np.concatenate([m[n] for m in found]) for n in found[0]})
+        return table_of(rows + [("mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))])
 
     return run
 

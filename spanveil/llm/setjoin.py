@@ -62,7 +62,7 @@ SHARE = 4096
 LEAD, TIE = 0.45, 0.25
 #: Share of pairs of similarity LAMBDA that the comparison of their sketches may miss.
 MISS = 1e-6
-CACHE = 400_000
+CACHE = 150_000
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 

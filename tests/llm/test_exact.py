@@ -74,6 +74,19 @@ def test_leaves_of_several_places_are_groups():
         assert (marks["doc"].tolist(), marks["s"].tolist(), marks["n"].tolist()) == ([8], [0], [len(context)])
 
 
+def test_groups_of_whole_anchors():
+    r = np.random.default_rng(3)
+    for most in (1, 7, 50, 10_000):
+        h, w = r.integers(0, 40, 300).astype(np.uint64), r.integers(1, 9, 300)
+        groups = list(repeats.groups_of(h, w, most))
+        assert sorted(np.concatenate(groups).tolist()) == list(range(300))
+        keys = [set(h[g].tolist()) for g in groups]
+        assert sum(map(len, keys)) == len(set(h.tolist())) and all(len(k) == 1 or w[g].sum() <= most for k, g in zip(keys, groups))
+    data = r.integers(97, 110, 5000).astype(np.uint8)
+    starts = np.array([0, 17, 2047, 2048, 2049, 4899])
+    assert (repeats.fingerprints(data, starts, 100, 1024) == np.stack([repeats.hashes(data, 100, k)[starts] for k in (0, 1)])).all()
+
+
 def test_marks_are_joined():
     marks = {"doc": np.int64([7, 3, 7, 3, 3]), "s": np.uint32([5, 0, 0, 10, 21]), "n": np.uint32([5, 10, 5, 10, 4])}
     got = repeats.joined(marks)
