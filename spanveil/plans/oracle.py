@@ -84,11 +84,13 @@ def rendered(entities: str, repl: str, source: str = "documents") -> str:
 
 
 HTML = "html"
-for _pattern, _to in ((r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", ""), (r"(?i)</?(?:p|div|br|li|ul|ol|tr|table|h1|h2|h3|h4|h5|h6|section|article|header|footer|blockquote|pre|hr)\b[^>]*>", "\n"), (r"<[^>]*>", " ")):
+for _pattern, _to in ((r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>", " "), (r"(?s)<!--.*?-->", " "), (r"(?i)</(?:p|div|tr|h[1-6]|li|blockquote|pre)>|<br\b[^>]*>", "\n"), (r"<[^>]+>", " ")):
     HTML = f"regexp_replace({HTML}, '{q(_pattern)}', '{_to}', 'g')"
-for _from, _to in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&nbsp;", " "), ("&#39;", "''"), ("&mdash;", "—"), ("&ndash;", "–"), ("&amp;", "&")):
-    HTML = f"replace({HTML}, '{_from}', '{_to}')"
-for _pattern, _to in ((r"[ \t\r\f]+", " "), (r" ?\n ?", "\n"), (r"\n{2,}", "\n"), (r"^[ \n]+|[ \n]+$", "")):
+_ENTITY, _NUMBER = "&(?:#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z]+);", "TRY_CAST(CASE WHEN lower(x[3]) = 'x' THEN '0x' || x[4:-2] ELSE x[3:-2] END AS BIGINT)"
+_NAMES = "CASE lower(x) WHEN '&amp;' THEN '&' WHEN '&apos;' THEN chr(39) WHEN '&gt;' THEN '>' WHEN '&lt;' THEN '<' WHEN '&nbsp;' THEN ' ' WHEN '&quot;' THEN chr(34) WHEN '&ldquo;' THEN chr(8220) WHEN '&rdquo;' THEN chr(8221) WHEN '&lsquo;' THEN chr(8216) WHEN '&rsquo;' THEN chr(8217) ELSE x END"
+_ONE = f"CASE WHEN x[2] = '#' THEN CASE WHEN {_NUMBER} BETWEEN 1 AND 55295 OR {_NUMBER} BETWEEN 57344 AND 1114111 THEN chr(CAST({_NUMBER} AS INTEGER)) ELSE x END ELSE {_NAMES} END"
+HTML = f"""list_transform([{HTML}], lambda t: array_to_string(list_transform(list_zip(string_split_regex(t, '{_ENTITY}'), list_transform(regexp_extract_all(t, '{_ENTITY}'), lambda x: {_ONE})), lambda z: z[1] || coalesce(z[2], '')), ''))[1]"""
+for _pattern, _to in ((r"[ \t\r\f\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+$", "")):
     HTML = f"regexp_replace({HTML}, '{_pattern}', '{_to}', 'g')"
 
 FOLDED = "translate(text, chr(160) || chr(8199) || chr(8239) || chr(8211) || chr(8212) || chr(8220) || chr(8221) || chr(8222), '   --\"\"\"')"

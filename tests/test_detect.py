@@ -295,3 +295,13 @@ def test_contextual_identifiers(spark):
         assert (label, value) in got.get(i, set()), (lines[i], got.get(i))
     kinds = {"national identification number", "registration number", "tax identification number"}
     assert not any(label in kinds for i in range(len(lines), len(lines) + len(wrong)) for label, _ in got.get(i, set()))
+
+
+def test_html(spark):
+    pages = {
+        "<p>a&#233;b&#x1F600;&#x110000;&#xD800;&amp;lt; &LDQUO;q&rdquo; &copy;</p><p></p><p></p><br/><div>x&nbsp;&nbsp;y</div>": "aéb😀&#x110000;&#xD800;&lt; “q” &copy;\n\nx y",
+        "<script>no</script>one<!-- no\n-->two<STYLE a=b>no</STYLE >": "one two no",
+        "a<b>c": "a c", "": "", "&;&#;&#abc;": "&;&#;&#abc;", "  \n\n z \u3000w ": "z w",
+    }
+    rows = spark.createDataFrame([(k,) for k in pages] + [(None,)], "html string").select("html", text_source.html_to_text("html").alias("t")).collect()
+    assert {r["html"]: r["t"] for r in rows} == pages | {None: None}
