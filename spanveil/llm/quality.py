@@ -127,9 +127,12 @@ def with_score(docs: DataFrame, make, model: dict, text: str = "text", out: str
         score = make(shared.value)
         for batch in batches:
             got = [score(batch.column(at).slice(lo, 512).to_pylist()) for lo in range(0, batch.num_rows, 512)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], names=[*inner, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    # Names with a dot don't pass through mapInArrow: columns have plain names inside.
+    inner = [f"c{i}" for i in range(len(names))]
+    fields = [T.StructField(n, f.dataType, f.nullable) for n, f in zip(inner, docs.schema.fields, strict=True)]
+    return docs.toDF(*inner).mapInArrow(run, T.StructType([*fields, T.StructField(out, T.DoubleType())])).toDF(*names, out)
 
 
 #: Inner column of accepted().
