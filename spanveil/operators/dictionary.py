@@ -9,8 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import spans as S
+from . import lookup as L
 
 WORD = r"[\p{L}\p{N}][\p{L}\p{N}\p{M}'’.-]*"
 MAX_WORDS = 6  # of ngrams() by itself; the detectors take the longest term of their dictionary
@@ -75,8 +77,39 @@ def region_codes(regions: DataFrame, wanted: list[str]) -> DataFrame:
     return regions.where(F.col("region").isin(wanted)).groupBy("code").agg(F.min(rank[F.col("region")]).alias("k")).orderBy("k", "code").select("code")
 
 
-def deny_list(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | None = None, **names: str) -> DataFrame:
-    """Curated hits: must begin in upper case; a single stopword and a hit inside a longer one lose."""
+HITS = "start int, end int, label string, text string, score double, source string, seq long"
+
+
+def carried(docs: DataFrame, found, score: float, source: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of hits from found(text) -> (start, end, label) that runs on each text with a small dictionary."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", "start", "end", "label", "text", "score", "source", "seq"]
+        for batch in batches:
+            rows, at = [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                for a, b, label in found(body.translate(L.FOLD)) if body else ():
+                    rows.append((a, b, label, body[a:b], score, source, 0))
+                    at.append(i)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64())
+            cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.DataType.fromDDL(HITS).fields]))
+
+
+def deny_list(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | None = None, joined: bool | None = None, **names: str) -> DataFrame:
+    """Curated hits: must begin in upper case; a single stopword and a hit inside a longer one lose.
+
+    joined: True joins on n-grams, False carries the dictionary with the tasks, None decides by its size.
+    """
+    rows = L.small(dictionary, "term") if joined is not True else None
+    stop = L.small(stopwords, "word") if rows is not None and stopwords is not None else []
+    if rows is not None and stop is not None:
+        lexicon, words_ = L.Lexicon((r["term"], r["labels"]) for r in rows), {L.folded(r["word"]) for r in stop if r["word"]}
+        return carried(docs, lambda t: L.deny_list(t, lexicon, words_), 0.9, "deny-list", **names)
     hits = ngrams(docs, most_words(dictionary), **names).withColumn("term", fold(F.col("surface"))).join(dictionary, "term")
     hits = hits.where(F.col("surface").rlike(r"^[\p{Lu}\p{N}]"))
     if stopwords is not None:

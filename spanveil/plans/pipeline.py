@@ -93,7 +93,7 @@ def literal_hits(docs: DataFrame, config: PipelineConfig, tables: Tables) -> Dat
 
     texts = docs.where(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("doc_id"), "text")
     runs = {
-        "deny_list": lambda t: D.deny_list(texts, t, tables.stopwords),
+        "deny_list": lambda t: D.deny_list(texts, t, tables.stopwords, joined=True),
         "custom_deny_list": lambda t: D.custom_deny_list(texts, t),
         "gazetteer": lambda t: D.gazetteer(texts, D.gazetteer_terms(t)),
         "countries": lambda t: D.countries(texts, t, tables.ambiguous),

@@ -119,7 +119,8 @@ def test_small_dictionaries_find_what_joins_find(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     terms = spark.createDataFrame([("united kingdom", ["country"]), ("st. kitts group", ["organization"]), ("acme ltd", ["organization", "misc"]), ("peru", ["country"]), ("long name of seven words here now", ["organization"]), ("name of", ["misc"])], "term string, labels array<string>")
     stop = spark.createDataFrame([("peru",)], "word string")
-    want = sorted((r["doc_id"], r["start"], r["end"], r["label"]) for r in deny_list(docs, terms, stop).collect())
+    want = sorted((r["doc_id"], r["start"], r["end"], r["label"]) for r in deny_list(docs, terms, stop, joined=True).collect())
+    assert sorted((r["doc_id"], r["start"], r["end"], r["label"]) for r in deny_list(docs, terms, stop).collect()) == want
     lexicon = lookup.Lexicon((r["term"], r["labels"]) for r in terms.collect())
     got = sorted((i, *hit) for i, t in enumerate(texts) if t for hit in lookup.deny_list(t.translate(lookup.FOLD), lexicon, {"peru"}))
     assert got == want and len(want) >= 4
@@ -183,3 +184,32 @@ def test_labels_that_hotwords_make(spark):
 
 def test_word_tables_are_disjoint_in_case():
     assert len(set(V.ROLES)) == len(V.ROLES) and all(w == w.lower() for w in [*V.ROLES, *V.PERSON_STOP])
+
+
+def test_batches_of_sessions(spark, tmp_path):
+    from spanveil.operators import session
+
+    text = {1: "a@x.example and b@x.example", 2: "a@x.example", 3: "see [EMAIL_ADDRESS_s1_1]", 4: "c@x.example"}
+    docs = spark.createDataFrame([("s1", d, t) for d, t in text.items()] + [("bad id", 5, "a@x.example"), ("s2", 6, "a@x.example b@x.example c@x.example"), ("s3", 7, "a@x.example")], "session_id string, doc_id long, text string")
+    es = detect_arrays(docs).select("session_id", "doc_id", F.col("doc_id").alias("doc_seq"), F.explode("entities").alias("e")).select("session_id", "doc_id", "doc_seq", "e.*")
+    life = spark.createDataFrame([("s1", "active"), ("s2", "active"), ("bad id", "active"), ("s3", "expired")], "session_id string, status string")
+    empty = session.current(spark, str(tmp_path), 0)
+    planned, after, errors = session.plan_batch(docs, es, empty, life, most=2)
+    assert {(r["doc_id"], r["error_code"]) for r in errors.collect()} == {(1, "too-many-mappings"), (2, "too-many-mappings"), (4, "too-many-mappings"), (3, "session-token-collision"), (5, "bad-session-id"), (6, "too-many-mappings"), (7, "session-not-active")} and planned.count() == 0
+    planned, after, errors = session.plan_batch(docs, es, empty, life, most=3)
+    assert {r["doc_id"] for r in errors.collect()} == {3, 5, 7} and {r["doc_id"] for r in planned.collect()} == {1, 2, 4, 6}
+    session.commit(after, str(tmp_path), 1)
+    with pytest.raises(Exception, match="exist"):
+        session.commit(after, str(tmp_path), 1)
+    again, more, _ = session.plan_batch(docs.where("doc_id = 4"), es.where("doc_id = 4"), session.current(spark, str(tmp_path), 1), life)
+    assert [r["placeholder"] for r in again.collect()] == [r["placeholder"] for r in planned.where("doc_id = 4").collect()] and more.count() == after.count() == 6
+
+
+def test_states_are_validated(spark):
+    from spanveil.operators import session
+
+    entry = '{"key":"K","number":1,"ident":"i","placeholder":"[K_s_1]","original":"o"}'
+    states = [f'{{"version":2,"session_id":"s","entries":[{entry}]}}', f'{{"version":1,"session_id":"s","entries":[{entry}]}}', f'{{"version":2,"session_id":"s s","entries":[{entry}]}}', f'{{"version":2,"session_id":"s","entries":[{entry},{entry}]}}', "{", '{"version":2,"session_id":"s","entries":[{"key":"K","number":0,"ident":"i","placeholder":"p","original":"o"}]}']
+    df = spark.createDataFrame([(s,) for s in states], "state string")
+    assert {r["state"]: r["error_code"] for r in session.invalid_states(df).collect()} == dict(zip(states[1:], ["unknown-version", "bad-session-id", "repeated-entry", "not-a-state", "bad-entry"]))
+    assert session.from_json(df).count() == 1
