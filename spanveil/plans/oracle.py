@@ -102,6 +102,7 @@ ADJACENT = f"""(WITH o AS (SELECT x.*, text, max(e) OVER (PARTITION BY x.doc_id
   g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM f)
   SELECT doc_id, min(s) AS span_start, max(e) AS span_end, substr(any_value(text), min(s) + 1, max(e) - min(s)) AS text FROM g GROUP BY doc_id, g.g)"""
 WORDS_OF = "(SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)"
+TOKENS_OF = f"(SELECT doc_id, regexp_replace(unnest(regexp_extract_all({FOLDED}, '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}\\p{{M}}''’.-]*')), '[.''’-]+$', '') AS w FROM documents)"
 TERMS = "(SELECT DISTINCT lower(regexp_extract(text, '^([A-Z][a-z]{4,12})\\b', 1)) AS term FROM documents WHERE lang = 'en' AND regexp_extract(text, '^([A-Z][a-z]{4,12})\\b', 1) <> '')"
 HITS = " UNION ALL ".join(
     f"SELECT doc_id, s AS hs, e AS he, {k} AS rule, '{label}' AS target, {change} AS adj, {before} AS bef, {after} AS aft, {'NULL' if new is None else repr(new)} AS newlabel FROM ({spans(rf'\b{word}\b', '(SELECT doc_id, lower(text) AS text FROM documents)')})"
@@ -177,7 +178,7 @@ def oracle_sql() -> dict[str, str]:
       FROM {FIVE} x LEFT JOIN {lines('documents')} z ON x.doc_id = z.doc_id AND (x.s + x.e) // 2 BETWEEN z.a AND z.b"""
     conv = "(SELECT conv_id * 100 + turn AS doc_id, CASE WHEN turn % 2 = 0 THEN 'HEAD' || chr(10) || '1. Terms' || chr(10) ELSE 'a' || chr(9) || 'b' || chr(9) || 'c' || chr(10) END || text || chr(10) || 'signed by x' || chr(10) || 'end' AS text FROM conversations)"
     out["zone_lines"] = f"SELECT zone, count(*) AS n_lines, CAST(sum(a) AS BIGINT) AS sum_start FROM {lines(conv)} GROUP BY zone"
-    out["dictionary_terms"] = f"SELECT lower(w) AS term, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM {WORDS_OF} WHERE regexp_matches(w, '^[A-Z]') AND lower(w) IN (SELECT term FROM {TERMS}) GROUP BY lower(w)"
+    out["dictionary_terms"] = f"SELECT lower(w) AS term, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM {TOKENS_OF} WHERE regexp_matches(w, '^[\\p{{Lu}}\\p{{N}}]') AND lower(w) IN (SELECT term FROM {TERMS}) GROUP BY lower(w)"
     out["dictionary_anti"] = f"SELECT doc_id, count(*) AS n_unknown FROM {WORDS_OF} WHERE regexp_matches(w, '^[A-Z]') AND lower(w) NOT IN (SELECT term FROM {TERMS}) GROUP BY doc_id"
     out["dictionary_assembly"] = """SELECT term, string_agg(DISTINCT label, '|' ORDER BY label) AS labels, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM (
       SELECT lower(c_mktsegment) AS term, 'organization' AS label, 'deny-list' AS source FROM customer UNION ALL SELECT lower(n_name), 'country', 'country' FROM nation
@@ -204,6 +205,7 @@ def oracle_sql() -> dict[str, str]:
       o AS (SELECT DISTINCT doc_id, '[REDACTED]' AS p, op FROM h UNION ALL SELECT DISTINCT doc_id, {MASKED}, op FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc_id = m.doc_id AND h.s < m.e AND m.s < h.e) UNION ALL SELECT DISTINCT doc_id, v, op FROM k)
       SELECT op AS operator, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM o GROUP BY op"""
     out["restore_roundtrip"] = f"SELECT count(*) AS n_docs, count(*) AS n_restored, (SELECT count(DISTINCT doc_id) FROM {FIVE}) AS n_changed FROM documents"
+    out["pipeline_roundtrip"] = "SELECT count(*) AS n_docs, count(text) AS n_restored, CAST(0 AS BIGINT) AS n_crossing, CAST(0 AS BIGINT) AS n_other FROM documents"
     out["invalid_spans"] = f"SELECT CASE WHEN seq % 3 = 0 THEN 'empty-or-reversed-span' ELSE 'score-out-of-range' END AS error_code, count(*) AS n FROM {MIXED} WHERE seq % 3 = 0 OR seq % 5 = 0 GROUP BY ALL"
     out["session_cross_document"] = f"""WITH x AS (SELECT * FROM {SESSION}), f AS (SELECT session_id, key, ident, min(doc_id % 2) AS odd, arg_min((doc_id, s), (doc_id % 2, doc_id, s)) AS first_at FROM x GROUP BY ALL),
       r AS (SELECT *, row_number() OVER (PARTITION BY session_id, key ORDER BY odd, first_at, ident) AS n FROM f)

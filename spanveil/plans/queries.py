@@ -158,10 +158,11 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dictionary_terms(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    terms = dictionary(spark, sf_dir).select(F.lower("value").alias("term")).distinct()
-    tokens = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]+"), F.lit(0))).alias("w")).where(F.col("w").rlike("^[A-Z]"))
-    return tokens.withColumn("term", F.lower("w")).join(terms, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
+    """Hits of the deny list, all of one word, by term."""
+    ready(spark)
+    terms = terms_of.assemble(dictionary(spark, sf_dir).withColumns({"label": F.lit("organization"), "source": F.lit("deny-list")}))
+    hits = terms_of.deny_list(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), terms)
+    return hits.groupBy(F.lower("text").alias("term")).agg(F.count(F.lit(1)).alias("n_hits"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def dictionary_anti(spark, sf_dir):
@@ -411,6 +412,18 @@ def pipeline_redacted(spark, sf_dir):
     return out.select("doc_id", "redacted_text", F.col("entity_count").cast("long").alias("entity_count"))
 
 
+def pipeline_roundtrip(spark, sf_dir):
+    """Documents whose redacted text gives the original back, and entities that overlap or aren't what stands in the text."""
+    ready(spark)
+    found = pipeline.resolved_arrays(table(spark, sf_dir, "documents").select("doc_id", "text"), tables=nations(spark, sf_dir))
+    es = F.col("entities")
+    crossing = F.size(F.filter(es, lambda e, i: (i > 0) & (e["start"] < F.coalesce(F.get(es, i - 1)["end"], F.lit(0)))))
+    other = F.size(F.filter(es, lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"]) != e["text"]))
+    out = redact.redact_arrays(found.withColumns({"original": F.col("text"), "crossing": crossing, "other": other}))
+    same = redact.restore(F.col("redacted_text"), F.col("redaction_map")) == F.col("original")
+    return out.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(same.cast("long")).alias("n_restored"), F.sum("crossing").alias("n_crossing"), F.sum("other").alias("n_other"))
+
+
 def all_rules(spark, sf_dir):
     """All built-in regex rules over all documents."""
     return detect(table(spark, sf_dir, "documents")).groupBy("rule_id", "label").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
@@ -423,6 +436,6 @@ def queries() -> dict:
         threshold_and_labels, hotword_decay, zone_of_entity, zone_lines, dictionary_terms, dictionary_anti, dictionary_assembly, country_hits, fuzzy_gazetteer, placeholder_numbers, placeholder_reserved,
         redact_constant, redact_replace, mask_last4, operator_counts, restore_roundtrip, invalid_spans, session_cross_document, session_status, coref_alias_asof, page_pii, prf_by_label, prf_overlap,
         char_precision_recall, entity_recall, run_diff, label_quality, benchmark_overlap, blocks_neighbourhood, document_facts, block_findings, offsets, label_keys, validators, tumbling_event_counts,
-        session_windows, percentile_report, all_rules, pipeline_entities, pipeline_redacted, merge_adjacent_all, coref_alias_asof_all,
+        session_windows, percentile_report, all_rules, pipeline_entities, pipeline_redacted, pipeline_roundtrip, merge_adjacent_all, coref_alias_asof_all,
     ]
     return named | {f.__name__: f for f in plain}
