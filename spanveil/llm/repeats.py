@@ -432,18 +432,18 @@ def by_array(hot: np.ndarray, doc_buckets: int, buckets: int, minimum: int):
         del pdf, with_bytes, parts
         by_h = np.argsort(further["h"], kind="stable")
         further = {n: v[by_h] for n, v in further.items()}
-        found, rows = [], []
+        found, on = [], []  # marks; windows of hot anchors that are left: record, place in data
         for some in groups_of(every["h"], np.where(alone, 1, every["w"])):
             p, begins, lone = {n: v[some] for n, v in every.items()}, places[some], alone[some]
             lo, hi = np.searchsorted(further["h"], p["h"].min(), "left"), np.searchsorted(further["h"], p["h"].max(), "right")
             marks, record, starts, settled = repeat_marks(p, begins, lone, {n: v[lo:hi] for n, v in further.items()}, data, minimum)
             found.append(marks)
-            on = np.flatnonzero(is_in(p["h"], hot)[record] & ~settled)
-            if len(on):
-                r = record[on]
-                f, g = fingerprints(data, starts[on], minimum)
-                windows = {"f": f, "g": g, "h": p["h"][r], "doc": p["doc"][r], "s": p["s"][r].astype(np.int64) + starts[on] - begins[r]}
-                rows += [("window", b, x) for b, x in dealt(windows, "window", (windows["f"] % np.uint64(buckets)).astype(np.int64))]
+            left = np.flatnonzero(is_in(p["h"], hot)[record] & ~settled)
+            on.append(np.stack([some[record[left]], starts[left]]))
+        record, starts = np.concatenate(on, axis=1)
+        f, g = fingerprints(data, starts, minimum)
+        windows = {"f": f, "g": g, "h": every["h"][record], "doc": every["doc"][record], "s": every["s"][record].astype(np.int64) + starts - places[record]}
+        rows = [("window", b, x) for b, x in dealt(windows, "window", (windows["f"] % np.uint64(buckets)).astype(np.int64))]
         marks = joined({n: np.concatenate([m[n] for m in found]) for n in found[0]})
         return table_of(rows + [("mark", b, x) for b, x in dealt(marks, "mark", bucket_of(marks["doc"], doc_buckets))])
 
