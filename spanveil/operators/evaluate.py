@@ -109,6 +109,41 @@ def char_precision_recall(counts: DataFrame) -> DataFrame:
     return t.select("hidden", "gold", "both", F.when(F.col("hidden") > 0, F.col("both") / F.col("hidden")).otherwise(0.0).alias("precision"), F.when(F.col("gold") > 0, F.col("both") / F.col("gold")).otherwise(0.0).alias("recall"))
 
 
+def mandatory_contextual(gold: DataFrame, masks: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: span_recall and char_recall of mandatory gold spans, and accepted_precision.
+
+    gold: doc_id, start, end, kind (mandatory or contextual). A masked code point is accepted if
+    it lies in a gold span of either kind: what is contextual may be masked but need not be.
+    """
+    must = gold.where("kind = 'mandatory'")
+    spans = covered(must, masks).agg(F.coalesce(F.avg(F.col("covered").cast("double")), F.lit(0.0)).alias("span_recall"))
+
+    def listed(rows: DataFrame, name: str) -> DataFrame:
+        return islands(rows.select("doc_id", "start", "end"), ["doc_id"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias(name))
+
+    def shared(a: Column, b: Column) -> Column:
+        cut = lambda x, y: F.struct(F.greatest(x["start"], y["start"]).alias("start"), F.least(x["end"], y["end"]).alias("end"))
+        return F.filter(F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: cut(x, y)))), lambda s: s["start"] < s["end"])
+
+    def chars(found: Column) -> Column:
+        size = lambda s: F.length(F.regexp_replace(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), r"\s", ""))
+        return F.coalesce(F.sum(F.aggregate(F.transform(found, size), F.lit(0), lambda n, x: n + x)), F.lit(0))
+
+    rows = docs.select("doc_id", "text")
+    for name, part in (("must", must), ("all", gold), ("masks", masks)):
+        rows = rows.join(listed(part, name), "doc_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<struct<start:int,end:int>>")))
+    must_, all_, masks_ = F.col("must"), F.col("all"), F.col("masks")
+    counts = rows.agg(chars(shared(masks_, must_)).alias("hit"), chars(must_).alias("must"), chars(shared(masks_, all_)).alias("accepted"), chars(masks_).alias("masked"))
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return spans.crossJoin(counts.select(share("hit", "must").alias("char_recall"), share("accepted", "masked").alias("accepted_precision")))  # one row each
+
+
+def shareable(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Feedback rows whose text can be shared: letters become x or X and digits 0, so that only lengths, case and punctuation are left."""
+    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), r"\p{Lu}", "X"), r"[\p{L}&&[^X]]", "x"), r"\p{N}", "0")
+    return rows.withColumn(text, shape)
+
+
 def last_verdicts(verdicts: DataFrame) -> DataFrame:
     """The last verdict (by pos) of each doc_id, start, end, label."""
     return verdicts.groupBy("doc_id", "start", "end", "label").agg(F.max_by("verdict", "pos").alias("verdict"))

@@ -20,15 +20,20 @@ def detect_stream(docs: DataFrame, rules: list[Rule] | None = None, **names) ->
     return detect(docs, rules, **names)
 
 
-def session_placeholders(entities: DataFrame) -> DataFrame:
+def session_placeholders(entities: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Placeholders of streaming entities (session_id, doc_seq, start, label, text), numbered in a session as they arrive.
 
     The state of a session holds the number of each identity and the last number of each
-    label. Rows of one micro-batch are numbered in the order of doc_seq and start.
+    label. Rows of one micro-batch are numbered in the order of doc_seq and start. A session that
+    has had no rows for `idle_ms` milliseconds expires: its state is dropped and its numbers begin
+    again; without it, state is kept for ever.
     """
     keyed = entities.select("session_id", F.col("doc_seq").cast("long"), F.col("start").cast("int"), S.label_key("label").alias("key"), identity(F.col("label"), F.col("text")).alias("ident"), "text")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         idents, numbers, lasts = state.get if state.exists else ([], [], [])
         known = dict(zip(idents, numbers, strict=True))
         last = {k: int(n) for k, _, n in (x.rpartition("=") for x in lasts)}
@@ -40,10 +45,12 @@ def session_placeholders(entities: DataFrame) -> DataFrame:
                 known[name] = last[r.key] = last.get(r.key, 0) + 1
             out.append((r.session_id, r.doc_seq, r.start, r.key, known[name], r.text))
         state.update((list(known), list(known.values()), [f"{k}={n}" for k, n in last.items()]))
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "doc_seq", "start", "key", "number", "text"])
 
     numbered = keyed.groupBy("session_id").applyInPandasWithState(
-        run, "session_id string, doc_seq long, start int, key string, number long, text string", "idents array<string>, numbers array<long>, lasts array<string>", "append", GroupStateTimeout.NoTimeout
+        run, "session_id string, doc_seq long, start int, key string, number long, text string", "idents array<string>, numbers array<long>, lasts array<string>", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout
     )
     return numbered.withColumn("placeholder", token(F.col("session_id"), F.col("key"), F.col("number")))
 

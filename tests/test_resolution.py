@@ -213,3 +213,46 @@ def test_states_are_validated(spark):
     df = spark.createDataFrame([(s,) for s in states], "state string")
     assert {r["state"]: r["error_code"] for r in session.invalid_states(df).collect()} == dict(zip(states[1:], ["unknown-version", "bad-session-id", "repeated-entry", "not-a-state", "bad-entry"]))
     assert session.from_json(df).count() == 1
+
+
+def test_mandatory_and_contextual(spark):
+    from spanveil.operators import evaluate
+
+    docs = spark.createDataFrame([(1, "abcdefghij klmnop")], "doc_id long, text string")
+    gold = spark.createDataFrame([(1, 0, 4, "mandatory"), (1, 6, 8, "mandatory"), (1, 11, 14, "contextual")], "doc_id long, start int, end int, kind string")
+    masks = spark.createDataFrame([(1, 0, 5), (1, 7, 8), (1, 11, 13)], "doc_id long, start int, end int")
+    r = evaluate.mandatory_contextual(gold, masks, docs).first()
+    assert (r["span_recall"], r["char_recall"], r["accepted_precision"]) == (0.5, 5 / 6, 7 / 8)
+    rows = spark.createDataFrame([("Jan Novák, 12/3",), (None,)], "text string")
+    assert [x["text"] for x in evaluate.shareable(rows).collect()] == ["Xxx Xxxxx, 00/0", None]
+
+
+def test_sessions_of_a_stream_expire(spark, tmp_path):
+    import json
+    import time
+
+    from spanveil.streaming import streams
+
+    def put(n, row):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{n}.json").write_text(json.dumps(row))
+
+    schema = "session_id string, doc_seq long, start int, label string, text string"
+    put(1, {"session_id": "s", "doc_seq": 1, "start": 0, "label": "person", "text": "A"})
+    source = spark.readStream.schema(schema).json(str(tmp_path / "in"))
+    out = streams.session_placeholders(source, idle_ms=1).writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(processingTime="300 milliseconds").start()
+    seen = set()
+
+    def wait(n):  # batches without data go on, as time passes; so the result is polled
+        nonlocal seen
+        end = time.time() + 60
+        while len(seen) < n and time.time() < end:
+            time.sleep(0.5)
+            seen = {(r["text"], r["number"]) for r in spark.sql("select * from expiring").collect()}
+
+    wait(1)
+    time.sleep(3)
+    put(2, {"session_id": "s", "doc_seq": 2, "start": 0, "label": "person", "text": "B"})
+    wait(2)
+    out.stop()
+    assert seen == {("A", 1), ("B", 1)}  # numbers begin again
