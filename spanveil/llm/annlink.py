@@ -50,7 +50,7 @@ SUBSPACES, CODES, SAMPLE = 8, 64, 20_000
 #: Lists for each root of the number of vectors, and the sampled vectors that a list has at least.
 LISTS_A_ROOT, LEAST_A_LIST = 2.0, 8
 #: Sampled vectors that are searched exactly to choose the probes, and the fewest probes.
-QUERIES, LEAST_PROBES = 2000, 4
+QUERIES, LEAST_PROBES = 2000, 6
 BLOCK = 2048
 #: Rows of the index that one task takes, about.
 TASK_ROWS = 50_000
