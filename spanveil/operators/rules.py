@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,17 @@ def matches(text: Column, rule: Rule) -> Column:
     return found
 
 
+_BUILT: dict[tuple[int, Rule], Column] = {}
+
+
+def found_by(rule: Rule) -> Column:
+    """matches() in the column _t. An expression of a rule is large, so it is built once for a JVM and shared by all plans."""
+    key = (id(SparkContext._gateway), rule)
+    if key not in _BUILT:
+        _BUILT[key] = matches(F.col("_t"), rule)
+    return _BUILT[key]
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """docs over all cores, if their scan has fewer partitions than there are cores (small inputs)."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -143,7 +155,7 @@ def detect_arrays(docs: DataFrame, rules: list[Rule] | None = None, labels: list
     chosen = [r for r in (rules if rules is not None else RULES) if not labels or r.label in labels]
     rows = docs.withColumns({"_t": S.normalize_search(F.col(text)), "_found": F.array().cast(FOUND)})
     for lo in range(0, len(chosen), GROUP):
-        part = [numbered(matches(F.col("_t"), r), r, lo + n) for n, r in enumerate(chosen[lo : lo + GROUP])]
+        part = [numbered(found_by(r), r, lo + n) for n, r in enumerate(chosen[lo : lo + GROUP])]
         rows = rows.withColumn("_found", F.concat("_found", *part).cast(FOUND))
     cut = lambda e: F.substring(F.col(text), e["start"] + 1, e["end"] - e["start"])
     entity = lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["label"].alias("label"), cut(e).alias("text"), e["score"].alias("score"), F.lit("regex").alias("source"), e["rule_id"].alias("rule_id"), e["seq"].alias("seq"))

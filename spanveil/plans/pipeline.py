@@ -136,7 +136,7 @@ def rule_matches(docs: DataFrame, config: PipelineConfig, id_col: str, text: str
     more = [c for c in docs.columns if c not in (id_col, text)]
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), S.normalize_search(text).alias("_t"), F.array().cast(kind).alias("found"), *more)
     for lo in range(0, len(chosen), RULES_PER_PROJECTION):
-        parts = [tagged(rule_catalogue.matches(F.col("_t"), r), r) for r in chosen[lo : lo + RULES_PER_PROJECTION]]
+        parts = [tagged(rule_catalogue.found_by(r), r) for r in chosen[lo : lo + RULES_PER_PROJECTION]]
         out = out.withColumn("found", F.concat("found", *parts).cast(kind))
     return out.drop("_t")
 
