@@ -56,7 +56,8 @@ def sample(docs: DataFrame, usable, per_language: int = PER_LANGUAGE, text: str
     rows = docs.where(usable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.lit("lid"), F.col("doc_id").cast("string"), F.col(text)).alias("rank"))
     counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     least = F.lit(-(2.0**63)) + 2.0**64 * F.least(F.lit(1.0), (per_language * SPARE[0] + SPARE[1]) / F.col("n"))
-    chosen = rows.join(counts, "l").where(F.col("rank").cast("double") <= least)
+    # One row a language: as many as the model has dictionaries, which is broadcast itself. Without it, whole texts would be shuffled by language.
+    chosen = rows.join(F.broadcast(counts), "l").where(F.col("rank").cast("double") <= least)
     size = F.greatest(F.lit(LEAST_PIECE), F.least(F.lit(PIECE), F.floor(F.lit(DICT_BYTES) / F.col("n")))).cast("int")
     at = F.when(F.length("t") > size, F.crc32(F.col("t").cast("binary")) % (F.length("t") - size)).otherwise(0).cast("int")
     best = Window.partitionBy("l").orderBy("rank", "piece")
