@@ -68,12 +68,32 @@ def empty_of(kind: T.DataType):
     return lambda _: F.array().cast(T.ArrayType(kind))
 
 
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_sql(column: str, pattern: str) -> str:
+    """spans() of a column as SQL text, which is parsed at once: catalogues have many patterns, and built call by call each takes a hundred calls."""
+    c, p, kind = f"`{column}`", sql_string(pattern), "array<struct<start:int,end:int,value:string>>"
+    items = f"zip_with(split({c}, {p}, -1), regexp_extract_all({c}, {p}, 0), (g, v) -> named_struct('g', length(g), 'n', coalesce(length(v), 0), 'v', v))"
+    one = "(acc, x) -> named_struct('at', acc.at + x.g + x.n, 'out', if(x.v is null, acc.out, concat(acc.out, array(named_struct('start', acc.at + x.g, 'end', acc.at + x.g + x.n, 'value', x.v)))))"
+    begin = lambda at: f"named_struct('at', {at}, 'out', cast(array() as {kind}))"
+    steps = f"transform(sequence(0, cast(floor((size(all_) - 1) / {STEP}) as int)), k -> slice(all_, k * {STEP} + 1, {STEP}))"
+    step = f"(acc, part) -> element_at(transform(array(aggregate(part, {begin('acc.at')}, {one})), d -> named_struct('at', d.at, 'out', concat(acc.out, array(d.out)))), 1)"
+    many = f"aggregate({steps}, named_struct('at', 0, 'out', cast(array() as array<{kind}>)), {step}, acc -> flatten(acc.out))"
+    found = f"element_at(transform(array({items}), all_ -> if(size(all_) <= {STEP}, aggregate(all_, {begin(0)}, {one}, acc -> acc.out), {many})), 1)"
+    return f"if({c} is not null and rlike({c}, {p}), {found}, cast(array() as {kind}))"
+
+
 def spans(text: str | Column, pattern: str, when: Column | None = None) -> Column:
     """array<struct<start,end,value>> of all matches of a pattern that never matches nothing.
 
     Matches and the gaps between them alternate, so running lengths give the offsets. `when`
     is a cheap condition that must hold for any match; other texts skip the scan.
     """
+    if isinstance(text, str):
+        found = F.expr(spans_sql(text, pattern))
+        return F.when(when, found).otherwise(F.array().cast(T.ArrayType(SPAN))) if when is not None else found
     t = col(text)
     values = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     gaps = F.split(t, pattern, -1)

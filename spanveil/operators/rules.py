@@ -100,11 +100,12 @@ RULES: list[Rule] = [
 BY_ID = {r.rule_id: r for r in RULES}
 
 
-def matches(text: Column, rule: Rule) -> Column:
+def matches(column: str, rule: Rule) -> Column:
     """Spans of one rule with the number k of the match before it is validated: scan, cut the cue, validate, check the length."""
+    text = F.col(column)
     when = F.contains(text, F.lit(rule.needs)) if rule.needs else text.rlike("[0-9]") if rule.digit else None
     number = lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), i.cast("int").alias("k"))
-    found = F.transform(S.spans(text, rule.pattern, when), number)
+    found = F.transform(S.spans(column, rule.pattern, when), number)
     if rule.cue:
 
         def value(s: Column) -> Column:
@@ -126,7 +127,7 @@ def found_by(rule: Rule) -> Column:
     """matches() in the column _t. An expression of a rule is large, so it is built once for a JVM and shared by all plans."""
     key = (id(SparkContext._gateway), rule)
     if key not in _BUILT:
-        _BUILT[key] = matches(F.col("_t"), rule)
+        _BUILT[key] = matches("_t", rule)
     return _BUILT[key]
 
 

@@ -256,3 +256,16 @@ def test_sessions_of_a_stream_expire(spark, tmp_path):
     wait(2)
     out.stop()
     assert seen == {("A", 1), ("B", 1)}  # numbers begin again
+
+
+@pytest.mark.parametrize("pattern", [r"[0-9]+", r"(?i)\bAB?\b", r"'[^'\\]*'", r"\p{Lu}\p{Ll}+", r"a|\n"])
+def test_spans_as_sql_and_as_columns(spark, pattern):
+    import regex
+
+    from spanveil.functions import spans as S
+
+    texts = ["", None, "12 ab A aB 'q' 'x' Éa\n😀7", "ab 1'2' " * 300, "none"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.spans("t", pattern).alias("a"), S.spans(F.col("t"), pattern).alias("b")).collect()
+    for r in rows:
+        want = [(m.start(), m.end(), m.group()) for m in regex.finditer(pattern, r["t"] or "")]
+        assert [tuple(x) for x in r["a"]] == [tuple(x) for x in r["b"]] == want
