@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -55,6 +56,25 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gather(df: DataFrame) -> DataFrame:
+    """materialize() for a table much smaller than what it is made from: by its bytes, not a file a task.
+
+    For each file in a local folder Hadoop starts three `chmod` processes, and until such a child
+    runs its own program it counts as a second JVM of the executor's size.
+    """
+    return materialize(df.hint("rebalance"))
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """df computed now and held on the executors' disks until unpersist(); no files, so no processes (see gather).
+
+    For wide tables that end within the call. Lineage isn't cut: for scans, not for what was shuffled.
+    """
+    df = df.persist(StorageLevel.DISK_ONLY)
+    df.count()
+    return df
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialized table that is no longer needed."""
     jvm = spark.sparkContext._jvm

@@ -22,6 +22,8 @@ where it stands; only larger nodes are split further, down to DEPTH tokens.
 
 Only ids, paths and sketches are shuffled before step 3, and there only the sets of grouped
 documents: a fixed-size bit filter of their ids (`common.maybe`) is broadcast to the scan.
+Signatures are held on the executors' disks until step 3; the other tables that are written are
+small and get few files (`common.gather`).
 
 The result has one row a document: class_id (smallest id that its links reach), n_links
 (documents linked directly, copies included) and kept (doc_id = class_id).
@@ -55,6 +57,8 @@ BINS = 64
 RECALL = 0.999
 #: A node with more classes than this is split further.
 NODE = 512
+#: Large nodes that are broadcast, 8 bytes each, so that the children of others aren't shuffled; more are joined by a shuffle.
+SENT = 1 << 20
 BLOCK = 2048
 #: Rows of a node that are led in one place.
 SHARE = 4096
@@ -63,6 +67,8 @@ LEAD, TIE = 0.45, 0.25
 #: Share of pairs of similarity LAMBDA that the comparison of their sketches may miss.
 MISS = 1e-6
 CACHE = 150_000
+#: Hashes of tokens by nodes that are held at once, 8 bytes each.
+CELLS = 1 << 20
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -107,8 +113,12 @@ def sketch(s: np.ndarray, bins: int = BINS) -> bytes:
 
 
 def children(s: np.ndarray, parents: np.ndarray, limit: np.uint64) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the parent, child) for each token that a node chooses: all nodes of a level and all tokens at once."""
-    at, token = np.nonzero((s[None, :] ^ parents[:, None]) * (parents[:, None] | np.uint64(1)) * PRIME < limit)
+    """(place of the parent, child) for each token that a node chooses: all nodes of a level at once, CELLS hashes at a time."""
+    width, found = max(1, CELLS // len(parents)), []
+    for lo in range(0, len(s), width):
+        at, token = np.nonzero((s[None, lo : lo + width] ^ parents[:, None]) * (parents[:, None] | np.uint64(1)) * PRIME < limit)
+        found.append((at, token + lo))
+    at, token = (np.concatenate(x) for x in zip(*found, strict=True))
     return at.astype(np.uint64), mixed((s[token] * GOLD) ^ parents[at])
 
 
@@ -239,11 +249,11 @@ def sketched(nodes: DataFrame, sig: DataFrame) -> DataFrame:
 
 def all_ties(nodes: DataFrame, sig: DataFrame, parts: int, limit: int = NODE) -> DataFrame:
     """(a, b) of all nodes. Shares of a large node are led apart, then their leaders meet."""
-    first = common.materialize(ties(sketched(nodes, sig), parts, limit))
+    first = common.gather(ties(sketched(nodes, sig), parts, limit))
     heads = first.where("a = b").select("node", F.col("a").alias("doc")).withColumn("shares", F.lit(1))
     if heads.isEmpty():
         return first.select("a", "b")
-    again = common.materialize(ties(sketched(heads, sig), parts, limit))
+    again = common.gather(ties(sketched(heads, sig), parts, limit))
     return first.select("a", "b").unionByName(again.select("a", "b")).where("a != b")
 
 
@@ -255,7 +265,7 @@ def nodes_of(reps: DataFrame, limit: int = NODE, depth: int = DEPTH) -> DataFram
     rows = reps.select("doc", F.explode("l1").alias("node"))
     solve = None
     for level in range(1, depth + 1):
-        counts = common.materialize(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        counts = common.gather(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         last = level == depth
         now = counts if last else counts.where(F.col("n") <= limit)
         here = rows.join(now.select("node", F.ceil(F.col("n") / SHARE).cast("int").alias("shares")), "node")
@@ -263,11 +273,12 @@ def nodes_of(reps: DataFrame, limit: int = NODE, depth: int = DEPTH) -> DataFram
         if last:
             break
         large = counts.where(F.col("n") > limit).select(F.col("node").alias("parent"))
-        if large.isEmpty():
+        many = large.count()
+        if not many:
             break
         above, below = F.col(f"l{level}"), F.arrays_zip(F.col(f"p{level + 1}").alias("p"), F.col(f"l{level + 1}").alias("node"))
         down = reps.select("doc", F.explode(F.transform(below, lambda x: F.struct(F.get(above, x["p"]).alias("parent"), x["node"].alias("node")))).alias("x"))
-        rows = common.materialize(down.select("doc", "x.parent", "x.node").join(large, "parent").select("doc", "node"))
+        rows = common.gather(down.select("doc", "x.parent", "x.node").join(F.broadcast(large) if many <= SENT else large, "parent").select("doc", "node"))
     return solve
 
 
@@ -339,25 +350,25 @@ def tokens_of(docs: DataFrame) -> DataFrame:
 def links(docs: DataFrame, recall: float = RECALL, node: int = NODE, block: int = BLOCK) -> DataFrame:
     """(doc, class_id, n) of the documents with a link, from identified docs; class_id is an inner id."""
     parts = max(8, 2 * common.scan_parts(docs))
-    sig = common.materialize(signatures(docs, runs_for(recall)))
+    sig = common.hold(signatures(docs, runs_for(recall)))
     # Equal sets. The table of them is written, so that the join is free to split a hot digest.
-    equal = common.materialize(sig.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
-    copied = common.materialize(sig.select("doc", "digest").join(equal, "digest").select("doc", "rep", "copies"))
+    equal = common.gather(sig.groupBy("digest").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    copied = common.gather(sig.select("doc", "digest").join(equal, "digest").select("doc", "rep", "copies"))
     followers = copied.where("doc != rep")
     reps = sig.join(followers.select("doc"), "doc", "left_anti")
     found = all_ties(nodes_of(reps, node), sig, parts, node)
     groups = components(found).withColumnRenamed("v", "doc").withColumnRenamed("component", "grp")
-    common.drop(docs.sparkSession, sig)
+    sig.unpersist()
     common.release(docs.sparkSession)
     blocks = F.ceil(F.col("m") / block).cast("int")
     sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("m")), "grp").withColumn("blocks", blocks)
     copies = sized.join(copied.where("doc = rep").select("doc", "copies"), "doc", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    placed = common.materialize(copies.select("doc", "copies", "grp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("own")))
+    placed = common.gather(copies.select("doc", "copies", "grp", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("own")))
     near = common.maybe(docs.select(ID, TEXT), ID, placed.select("doc")).where("_maybe").drop("_maybe")
     with_sets = placed.join(tokens_of(near), "doc")
     pairs = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = pairs.select("doc", "copies", "set", "grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    solved = common.materialize(task.groupBy("grp", "i", "j").applyInPandas(solve, "doc long, n long, top long"))
+    solved = common.gather(task.groupBy("grp", "i", "j").applyInPandas(solve, "doc long, n long, top long"))
     common.release(docs.sparkSession)
     return classes(solved, copied)
 

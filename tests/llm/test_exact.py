@@ -1,6 +1,7 @@
 """Operators whose results are exact, against plain versions, and their edge cases."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -131,6 +132,33 @@ def test_setjoin_table(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in got} == want
 
 
+def test_setjoin_writes_few_files(spark, fixture_docs, monkeypatch, tmp_path):
+    # Each file that an executor writes to a local folder starts processes, which count as second JVMs.
+    places = (f"file://{tmp_path}/{k}" for k in range(1000))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: next(places))
+    monkeypatch.setattr(setjoin, "SENT", 0)
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    found = setjoin.links(spark.createDataFrame(fixture_docs, DOCS).repartition(12).withColumnsRenamed({"doc_id": repeats.ID, "text": repeats.TEXT}), node=3, block=4)
+    want = brute.classes([d for d, _ in fixture_docs], brute.jaccard_pairs(fixture_docs))
+    assert {r["doc"]: (r["class_id"], r["n"]) for r in found.collect()} == {d: (c, n) for d, (c, n) in want.items() if n}
+    files = [len(list(table.glob("part-*"))) for table in tmp_path.iterdir()]
+    assert len(files) > 5 and max(files) == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_chosen_paths_of_a_long_text(monkeypatch):
+    r = np.random.default_rng(3)
+    s, parents = np.unique(r.integers(0, 2**63, 1_000_000).astype(np.uint64)), r.integers(0, 2**63, 16).astype(np.uint64)
+    tracemalloc.start()
+    at, node = setjoin.children(s, parents, np.uint64(2**64 // 1000))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+    monkeypatch.setattr(setjoin, "CELLS", 1 << 40)
+    whole = setjoin.children(s, parents, np.uint64(2**64 // 1000))
+    assert len(at) > 10_000 and sorted(zip(at.tolist(), node.tolist())) == sorted(zip(*(x.tolist() for x in whole)))
+
+
 def test_packing(spark, fixture_docs):
     from tokenizers import Tokenizer
 
