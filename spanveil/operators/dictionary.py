@@ -49,6 +49,25 @@ def ngrams(docs: DataFrame, most: int | Column = MAX_WORDS, id_col: str = "doc_i
     return rows.where(~F.contains("surface", F.lit("\n"))).select("doc_id", "start", (F.col("start") + F.length(cut)).alias("end"), cut.alias("surface"))
 
 
+def begun(docs: DataFrame, most: int, begins, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """ngrams() whose first character matches `begins`: the other words, most of a text, never become rows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in (b.slice(lo, 200) for b in batches for lo in range(0, b.num_rows, 200)):
+            at, starts, ends, surfaces = [], [], [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                for a, b in L.runs(L.plain(body), most, begins) if body else ():
+                    at.append(i)
+                    starts.append(a)
+                    ends.append(b)
+                    surfaces.append(body[a:b])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(surfaces, pa.string())], names=["doc_id", "start", "end", "surface"])
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *T.DataType.fromDDL("start int, end int, surface string").fields]))
+
+
 def assemble(terms: DataFrame, common_words: DataFrame | None = None, months: DataFrame | None = None) -> DataFrame:
     """term, labels, sources: admitted terms with merged labels. terms: value, label, source.
 
@@ -90,7 +109,7 @@ def carried(docs: DataFrame, found, score: float, source: str, id_col: str = "do
         for batch in batches:
             rows, at = [], []
             for i, body in enumerate(batch.column(1).to_pylist()):
-                for a, b, label in found(body.translate(L.FOLD)) if body else ():
+                for a, b, label in found(L.plain(body)) if body else ():
                     rows.append((a, b, label, body[a:b], score, source, 0))
                     at.append(i)
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.int64())
@@ -110,8 +129,8 @@ def deny_list(docs: DataFrame, dictionary: DataFrame, stopwords: DataFrame | Non
     if rows is not None and stop is not None:
         lexicon, words_ = L.Lexicon((r["term"], r["labels"]) for r in rows), {L.folded(r["word"]) for r in stop if r["word"]}
         return carried(docs, lambda t: L.deny_list(t, lexicon, words_), 0.9, "deny-list", **names)
-    hits = ngrams(docs, most_words(dictionary), **names).withColumn("term", fold(F.col("surface"))).join(dictionary, "term")
-    hits = hits.where(F.col("surface").rlike(r"^[\p{Lu}\p{N}]"))
+    most = dictionary.agg(F.max(F.regexp_count("term", F.lit(WORD)))).first()[0] or 1
+    hits = begun(docs, most, L.UPPER_OR_DIGIT, **names).withColumn("term", fold(F.col("surface"))).join(dictionary, "term")
     if stopwords is not None:
         hits = hits.join(stopwords.select(fold(F.col("word")).alias("term")), "term", "left_anti")
     rows = hits.select("doc_id", "start", "end", F.explode("labels").alias("label"), F.col("surface").alias("text"), F.lit(0.9).alias("score"), F.lit("deny-list").alias("source"), F.lit(0).cast("long").alias("seq"))

@@ -30,8 +30,13 @@ def small(terms: DataFrame | None, text: str) -> list[Row] | None:
     return terms.collect() if rows["rows"] <= SMALL_TERMS and (rows["chars"] or 0) <= SMALL_CHARS else None
 
 
+def plain(text: str) -> str:
+    """text.translate(FOLD); most texts have nothing to fold, and a plain search finds that out much faster."""
+    return text.translate(FOLD) if any(c in text for c in S.FOLD_FROM) else text
+
+
 def folded(text: str) -> str:
-    return SPACE.sub(" ", text.translate(FOLD).strip(" ")).lower()
+    return SPACE.sub(" ", plain(text).strip(" ")).lower()
 
 
 class Lexicon:
@@ -48,12 +53,17 @@ class Lexicon:
                 first = words[0] if len(words) > 1 else words[0].rstrip(TRAILING)
                 self.sizes.setdefault(first, set()).add(len(words))
 
-    def hits(self, text: str) -> Iterator[tuple[int, int, str, list]]:
-        """(start, end, surface, what belongs to the term) of a text that `translate(FOLD)` has been applied to."""
+    def hits(self, text: str, begins: regex.Pattern | None = None) -> Iterator[tuple[int, int, str, list]]:
+        """(start, end, surface, what belongs to the term) of a text that `translate(FOLD)` has been applied to.
+
+        begins: what the first character must be; other words aren't looked up.
+        """
         if not self.sizes:
             return
         places = [m.span() for m in WORD.finditer(text)]
         for i, (a, b) in enumerate(places):
+            if begins and not begins.match(text, a):
+                continue
             word = text[a:b].lower()
             bare = word.rstrip(TRAILING)
             sizes = self.sizes.get(word, set()) | (self.sizes.get(bare, set()) if bare != word else set())
@@ -64,9 +74,21 @@ class Lexicon:
                         yield a, a + len(surface), surface, what
 
 
+def runs(text: str, most: int, begins: regex.Pattern) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of 1 to `most` words of a line whose first character is as wanted, as dictionary.ngrams() cuts them."""
+    places = [m.span() for m in WORD.finditer(text)]
+    for i, (a, _) in enumerate(places):
+        if begins.match(text, a):
+            for _, b in places[i : i + most]:
+                surface = text[a:b]
+                if "\n" in surface:
+                    break
+                yield a, a + len(surface.rstrip(TRAILING))
+
+
 def deny_list(text: str, lexicon: Lexicon, stopwords: set[str]) -> list[tuple[int, int, str]]:
     """(start, end, label) of curated hits: must begin in upper case; a stopword and a hit inside a longer one lose."""
-    found = [(a, -b, label) for a, b, surface, labels in lexicon.hits(text) if UPPER_OR_DIGIT.match(surface) and folded(surface) not in stopwords for many in labels for label in many]
+    found = [(a, -b, label) for a, b, surface, labels in lexicon.hits(text, UPPER_OR_DIGIT) if folded(surface) not in stopwords for many in labels for label in many]
     out, reach = [], (-1, 0)
     for a, b, label in sorted(found):
         if not (-b < reach[0] or (-b == reach[0] and a > -reach[1])):

@@ -269,3 +269,17 @@ def test_spans_as_sql_and_as_columns(spark, pattern):
     for r in rows:
         want = [(m.start(), m.end(), m.group()) for m in regex.finditer(pattern, r["t"] or "")]
         assert [tuple(x) for x in r["a"]] == [tuple(x) for x in r["b"]] == want
+
+
+def test_large_deny_lists_look_up_capitalised_words_only(spark):
+    from spanveil.operators import dictionary, lookup
+
+    texts = ["the Orbi-tex’s bank\nÉlan Vital a 4 Ab.", "kein Wort hier", "", None, "x “Ab Cd”"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = ("doc_id", "start", "end", "surface")
+    every = [tuple(r[c] for c in key) for r in dictionary.ngrams(docs, 3).collect()]
+    got = [tuple(r[c] for c in key) for r in dictionary.begun(docs, 3, lookup.UPPER_OR_DIGIT).collect()]
+    assert sorted(got) == sorted(x for x in every if x[3][0].isupper() or x[3][0].isdigit()) and len(got) < len(every)
+    terms = spark.createDataFrame([("ab cd", ["a"]), ("élan", ["b"])], "term string, labels array<string>")
+    plan = dictionary.deny_list(docs, terms, joined=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "regexp_extract_all" not in plan
