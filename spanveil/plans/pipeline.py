@@ -134,11 +134,11 @@ def rule_matches(docs: DataFrame, config: PipelineConfig, id_col: str, text: str
     chosen += [rule_catalogue.Rule(f"custom-{i}", label, pattern, score, digit=False) for i, (pattern, label, score) in enumerate(config.custom_regex)]
     kind = "array<struct<start:int,end:int,label:string,score:double,custom:boolean>>"
     more = [c for c in docs.columns if c not in (id_col, text)]
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), S.normalize_search(text).alias("_t"), F.array().cast(kind).alias("found"), *more)
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), S.normalize_search(text).alias("_t"), F.array().cast(kind).alias("found"), *more).withColumn("_d", rule_catalogue.near_digits(F.col("_t")))
     for lo in range(0, len(chosen), RULES_PER_PROJECTION):
         parts = [tagged(rule_catalogue.found_by(r), r) for r in chosen[lo : lo + RULES_PER_PROJECTION]]
         out = out.withColumn("found", F.concat("found", *parts).cast(kind))
-    return out.drop("_t")
+    return out.drop("_t", "_d")
 
 
 def carried(config: PipelineConfig, tables: Tables) -> tuple[dict, Tables]:

@@ -305,3 +305,22 @@ def test_html(spark):
     }
     rows = spark.createDataFrame([(k,) for k in pages] + [(None,)], "html string").select("html", text_source.html_to_text("html").alias("t")).collect()
     assert {r["html"]: r["t"] for r in rows} == pages | {None: None}
+
+
+def test_clues_of_rules_lose_no_match(spark):
+    """Far from a digit, a text isn't scanned for digit rules; what stands next to long prose, at seams and in one run is still found."""
+    from dataclasses import replace
+
+    from spanveil.operators import rules as R
+
+    prose = "Lorem ipsum dolor sit amet consectetur " * 12
+    held = ["bc1" + "q" * 71, "Sozialversicherungsnummer: 65 170839 J 003", "bitcoin wallet address: 1BoatSLRHtKNngkdXEeobR76b53LETtpyT", "My US passport number: 123456789", "Fait à Paris, le 3", "V Praze dne 4", "Berlin, den 3",
+            "write joe at example dot org", "fe80::1", "00:1b:44:11:3a:b7", "www.example.org/x", "api_key = abcdefabcdef0123", "a!b@c.example.d@e.example", "x.y@z@q.example", "4111 1111 1111 1111", "10.0.0.1"]
+    texts = [t for h in held for t in (h, prose + h, h + " " + prose, prose + h + "é " + prose + "7 " + prose + h)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    bare = lambda r: replace(r, needs=None, clue=None, near=False, digit=False, pattern=r.pattern.replace(R.RUN, ""))
+    chosen = [R.BY_ID[k] for k in ("email", "email-written", "ipv4", "ipv6", "mac", "url", "card", "bech32", "base58", "passport", "signing-place", "de-svnr", "secret")]
+    got, want = (sorted(map(tuple, R.detect(docs, rules).select("doc_id", "start", "end", "rule_id", "seq").collect())) for rules in (chosen, [bare(r) for r in chosen]))
+    assert got == want and {g[3] for g in got} == {r.rule_id for r in chosen}
+    short = spark.createDataFrame([(prose + "12" + prose,)], "t string").select(R.near_digits(F.col("t"))).first()[0]
+    assert len(short) == 4 * R.NEAR + 4 and short[2 * R.NEAR + 1 : 2 * R.NEAR + 3] == "12"
